@@ -54,7 +54,20 @@ def dropped(df: DataFrame) -> None:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.translate(_LOWER)
-
-
-_LOWER = {65 + i: 97 + i for i in range(26)}
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def pieces(batches, column: str, limit: int = 4 << 20):
+    """Record batches cut into runs of rows with at most limit bytes in a string or binary column (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(size):
+            n = max(1, int(np.searchsorted(np.cumsum(size[at:]), limit, side="right")))
+            yield batch.slice(at, n)
+            at += n

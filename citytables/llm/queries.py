@@ -8,10 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citytables.llm.common import table
+from citytables.llm.licenses import license_scan
+from citytables.llm.packing import packed_documents
 from citytables.llm.sharding import kd_shards
+from citytables.llm.tokenfile import read_token_files, token_file_path, write_token_files
 from citytables.llm.topk import exact_topk
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy short notices of every document."""
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written as frequency-ranked variable-length codes and read back."""
+    path = token_file_path(spark)
+    write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
+    return read_token_files(spark, path, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest integer inner products of every vector whose id is divisible by 100."""
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, k=10)
@@ -25,10 +41,19 @@ def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids cut and packed into sequences of at most 1024."""
+    packed = packed_documents(table(spark, sf_dir, "documents"), end_id=0, capacity=1024)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_token_files": op2_token_files,
         "op6_exact_topk": op6_exact_topk,
         "op8_kd_sharding": op8_kd_sharding,
+        "op10_ffd_packing": op10_ffd_packing,
     }
 
 
