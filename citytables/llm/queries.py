@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citytables.llm.common import table
+from citytables.llm.language import identify, train
 from citytables.llm.licenses import license_scan
 from citytables.llm.packing import packed_documents
 from citytables.llm.sharding import kd_shards
@@ -28,6 +29,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labels of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest integer inner products of every vector whose id is divisible by 100."""
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, k=10)
@@ -51,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_token_files": op2_token_files,
+        "op3_language_id": op3_language_id,
         "op6_exact_topk": op6_exact_topk,
         "op8_kd_sharding": op8_kd_sharding,
         "op10_ffd_packing": op10_ffd_packing,
