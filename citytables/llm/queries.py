@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citytables.llm.common import table
+from citytables.llm.decontam import contamination
+from citytables.llm.html import extract
 from citytables.llm.language import identify, train
 from citytables.llm.licenses import license_scan
 from citytables.llm.packing import packed_documents
@@ -38,6 +40,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page, by the site style trees of the hosts."""
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest integer inner products of every vector whose id is divisible by 100."""
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, k=10)
@@ -62,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_token_files": op2_token_files,
         "op3_language_id": op3_language_id,
+        "op4_html_extraction": op4_html_extraction,
+        "op5_decontamination": op5_decontamination,
         "op6_exact_topk": op6_exact_topk,
         "op8_kd_sharding": op8_kd_sharding,
         "op10_ffd_packing": op10_ffd_packing,
