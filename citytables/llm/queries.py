@@ -14,6 +14,7 @@ from citytables.llm.language import identify, train
 from citytables.llm.licenses import license_scan
 from citytables.llm.packing import packed_documents
 from citytables.llm.sharding import kd_shards
+from citytables.llm.substring import dedup_digest
 from citytables.llm.tokenfile import read_token_files, token_file_path, write_token_files
 from citytables.llm.topk import exact_topk
 
@@ -56,6 +57,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, k=10)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left after the repeats of 20-word windows are removed."""
+    return dedup_digest(table(spark, sf_dir, "documents"), size=20)
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards of nearly equal bytes, by a k-d tree over its metadata."""
     placed = kd_shards(table(spark, sf_dir, "documents"), shards=24)
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_extraction": op4_html_extraction,
         "op5_decontamination": op5_decontamination,
         "op6_exact_topk": op6_exact_topk,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_kd_sharding": op8_kd_sharding,
         "op10_ffd_packing": op10_ffd_packing,
     }
