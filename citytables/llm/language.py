@@ -184,7 +184,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int =
     return labels
 
 
-def _labelled(sent, penalty):
+def _labelled(sent, penalty, carry=()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = sent.value
         for b in pieces(batches, "text", 2 << 20):
@@ -204,11 +204,9 @@ def _labelled(sent, penalty):
                 letters = unique_size[code]
                 k = len(model.languages)
                 text_of = np.repeat(np.arange(n), sizes)
-                own = np.zeros((n, k))
-                np.add.at(own, (text_of, labels), letters)
+                own = np.bincount(text_of * k + labels, weights=letters, minlength=n * k).reshape(n, k)
                 known = (s.max(axis=1) - s.min(axis=1)) > 0
-                sure = np.zeros(n)
-                np.add.at(sure, text_of[known], letters[known])
+                sure = np.bincount(text_of[known], weights=letters[known], minlength=n)
                 total = np.maximum(1, own.sum(axis=1))
                 pick = (own + 1e-6 * model.prior[None, :]).argmax(axis=1)
                 edge = np.flatnonzero(np.diff(labels, prepend=-1) | np.isin(np.arange(len(labels)), bounds[:-1]))
@@ -219,6 +217,9 @@ def _labelled(sent, penalty):
                 for i in np.flatnonzero(sizes):
                     lang[i] = model.languages[pick[i]]
                     score[i] = float(own[i, pick[i]] / total[i] * max(0.01, sure[i] / total[i]))
+            if carry:
+                yield pa.record_batch([*(b.column(c) for c in carry), pa.array(lang), pa.array(score, pa.float64())], names=[*carry, "__lang", "__score"])
+                continue
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
             rows = [[dict(zip(("lang", "first_word", "end_word"), x, strict=True)) for x in own_spans] for own_spans in spans]
             yield pa.record_batch(
@@ -250,9 +251,15 @@ def train(labelled: DataFrame, sample_docs: int = 400, sample_words: int = 2000)
     return fit(out)
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0) -> DataFrame:
-    """doc_id, lang_pred, score (share of the letters in that language) and spans (lang, first_word, end_word); no shuffle."""
+def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score (share of the letters in that language) and spans (lang, first_word, end_word); no shuffle.
+
+    With carry, those columns (text among them) with __lang and __score instead.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    if carry:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+        return docs.select(*carry).mapInArrow(_labelled(sent, penalty, tuple(carry)), f"{kinds}, __lang string, __score double")
     return docs.select("doc_id", "text").mapInArrow(
         _labelled(sent, penalty), "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:int,end_word:int>>"
     )

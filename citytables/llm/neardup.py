@@ -8,16 +8,16 @@ candidates, and every link is confirmed on the full sets.
 
 1. Equal sets are one class, and stand for all their documents.
 2. In each bucket every member is compared with the bucket's least member. A pair that meets in
-   several buckets is compared in the first of its tables only, which both members know from
-   their half keys. Links make components.
+   several buckets is compared once. Links make components.
 3. Buckets whose members are not all in one component yet, or were not all compared, are searched
    to the end: members and sets come together in tasks of bounded size (a large bucket as pairs of
-   blocks), each member is compared with those that aren't linked to it, and only links that join
-   something leave the task. So no task emits all pairs of a group, and no link is lost.
+   blocks), each member is compared with those that aren't linked to it - in the first of their
+   common tables only, which both know from their half keys - and only links that join something
+   leave the task. So no task emits all pairs of a group, and no link is lost.
 4. Components by alternating hooking to the least neighbour and shortening, as joins.
 
-Null texts and texts without words have empty sets and no links; with fewer words than a shingle
-the whole sequence is the set's one element. Repeated rows (equal ids) count as one document.
+Null texts and texts without words have empty sets and no links; with fewer words than a shingle the
+whole sequence is the set's one element. Repeated rows of one id count as one document.
 Shingles are compared by 64-bit fingerprints of their words. An empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citytables.llm.common import dropped, lower_ascii, pieces, written
@@ -67,30 +67,48 @@ def half_keys(sets: list[np.ndarray], rows: int = ROWS, per_half: int = PER_HALF
     return out
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, content bigint, content2 bigint, halves binary, shingles binary"
+SIGNED = "doc_id bigint, n_shingles bigint, cid bigint, halves binary"
+
+
+def _sets_of(texts: list, size: int) -> list[np.ndarray]:
+    return shingle_sets(Words([None if t is None else lower_ascii(t) for t in texts]), size)
+
+
+def class_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit id of each set's content; 0 for the empty one."""
+    out = np.zeros(len(sets), dtype=np.uint64)
+    for i, s in enumerate(sets):
+        if len(s):
+            out[i] = np.bitwise_xor.reduce(mixed(s)) + mixed(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return mixed(out).view(np.int64)
 
 
 def _signed(size, rows, per_half):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
-            words = Words([None if t is None else lower_ascii(t) for t in b.column("text").to_pylist()])
-            sets = shingle_sets(words, size)
+            sets = _sets_of(b.column("text").to_pylist(), size)
             some = [i for i, s in enumerate(sets) if len(s)]
             halves: list = [None] * len(sets)
-            digest = np.zeros((2, len(sets)), dtype=np.uint64)
             if some:
-                keys = half_keys([sets[i] for i in some], rows, per_half)
-                for k, i in enumerate(some):
-                    halves[i] = keys[k].tobytes()
-                    digest[0, i] = np.bitwise_xor.reduce(mixed(sets[i])) ^ np.uint64(len(sets[i]))
-                    digest[1, i] = mixed(sets[i] + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+                for i, k in zip(some, half_keys([sets[i] for i in some], rows, per_half), strict=True):
+                    halves[i] = k.tobytes()
             yield pa.record_batch(
-                [
-                    b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                    pa.array(halves, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "content", "content2", "halves", "shingles"],
-            )
+                [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_ids(sets)), pa.array(halves, pa.binary())],
+                names=["doc_id", "n_shingles", "cid", "halves"],
+            )
+
+    return run
+
+
+def _fetched(size):
+    """The sets of classes, from the text of their least document; another text of the same id is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 2 << 20):
+            sets = _sets_of(b.column("text").to_pylist(), size)
+            good = np.flatnonzero(class_ids(sets) == b.column("cid").to_numpy())
+            take = pa.array(good, pa.int64())
+            yield pa.record_batch([b.column("cid").take(take), b.column("halves").take(take), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["id", "halves", "shingles"])
 
     return run
 
@@ -134,19 +152,6 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirmed(percent, rows):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for tab, x, y, hx, hy, sx, sy in zip(*(b.column(c).to_pylist() for c in ("tab", "id", "hub", "halves", "hub_halves", "shingles", "hub_shingles")), strict=True):
-                h = [np.frombuffer(v, dtype=np.uint64)[None, :] for v in (hx, hy)]
-                if first_tables(*h, rows)[0] == tab and _close(np.frombuffer(sx, dtype=np.uint64), np.frombuffer(sy, dtype=np.uint64), percent):
-                    kept.append((x, y))
-            yield pa.record_batch([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["a", "b"])
-
-    return run
-
-
 def _searched(percent, rows):
     """Links that join members of a bucket (or of two blocks of one) that aren't joined yet."""
 
@@ -219,45 +224,53 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, per_half: int = PER_HALF, block: int = 1000
+    docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, per_half: int = PER_HALF, block: int = 1000, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable over links), kept (it is that id itself).
 
     Documents are linked when 100 x |A and B| >= percent x |A or B| on their sets of size-word shingles.
     """
-    signed = written(docs.select("doc_id", "text").mapInArrow(_signed(size, rows, per_half), SIGNED), "signatures")
-    members = signed.select("doc_id", "n_shingles", "content", "content2")
-    full = signed.where("n_shingles > 0")
-    # a class is known by its least id; the sets are fetched for those alone
-    leaders = full.groupBy("content", "content2").agg(F.min("doc_id").alias("id"))
-    classes = full.join(leaders.select(F.col("id").alias("doc_id"), F.col("content"), F.col("content2")), ["doc_id", "content", "content2"], "left_semi")
-    classes = written(classes.groupBy(F.col("doc_id").alias("id")).agg(F.first("halves").alias("halves"), F.first("shingles").alias("shingles")), "classes")
-
-    keys = classes.select("id", "halves").mapInArrow(_table_keys(rows), "key bigint, tab smallint, id bigint")
+    docs = docs.select("doc_id", "text")
+    signed = written(docs.mapInArrow(_signed(size, rows, per_half), SIGNED), "signatures")
+    classes = written(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves")), "classes")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """id, halves, shingles of the classes in ids (id)."""
+        wanted = classes.join(ids.select(F.col("id").alias("cid")).distinct(), "cid")
+        if wanted.count() <= broadcast_rows:
+            wanted = F.broadcast(wanted)
+        found = docs.join(wanted, "doc_id").select("cid", "halves", "text").mapInArrow(_fetched(size), "id bigint, halves binary, shingles binary")
+        return written(found.dropDuplicates(["id"]), "sets")
+
+    keys = classes.select(F.col("cid").alias("id"), "halves").mapInArrow(_table_keys(rows), "key bigint, tab smallint, id bigint")
     buckets = keys.groupBy("key", "tab").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     found = written(keys.join(buckets, ["key", "tab"]), "buckets")
-    pairs = found.where("id <> hub").groupBy("id", "hub").agg(F.min("tab").alias("tab"))
-    x, y = classes, classes.select(F.col("id").alias("hub"), F.col("halves").alias("hub_halves"), F.col("shingles").alias("hub_shingles"))
-    # the least table in which a pair meets with this hub may come after its first table; -1 stands for that
-    links = written(pairs.join(x, "id").join(y, "hub").mapInArrow(_checked(percent), "a bigint, b bigint"), "links")
+    pairs = written(found.where("id <> hub").select("id", "hub").distinct(), "pairs")
+    x = sets_of(pairs.select("id").union(pairs.select("hub")))
+    y = x.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    links = written(pairs.join(x.select("id", "shingles"), "id").join(y, "hub").mapInArrow(_checked(percent), "a bigint, b bigint"), "links")
     comp = components(links)
 
-    labelled = found.join(comp, "id", "left").select("key", "tab", "id", "hub", "n", F.coalesce("comp", "id").alias("comp"))
-    rest = labelled.where("n > 2").groupBy("key", "tab").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo < hi").select("key", "tab", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    left = labelled.drop("n", "hub").join(rest, ["key", "tab"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # member of block i goes to the tasks (i, j) and (j, i) of all j; a task of one block compares all its members
+    labelled = found.join(comp, "id", "left").select("key", "tab", "id", "n", F.coalesce("comp", "id").alias("comp")).where("n > 2")
+    rest = labelled.groupBy("key", "tab").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo < hi").select("key", "tab", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    left = labelled.drop("n").join(rest, ["key", "tab"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a member of block i goes to the tasks of (i, j) for all j; a task of one block compares all its members
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "tab", "id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side")
-    )
-    with_sets = dealt.join(classes, "id")
-    more = written(with_sets.groupBy("key", "lo", "hi").applyInArrow(_searched(percent, rows), "a bigint, b bigint"), "links")
-    comp = components(links.unionByName(more))
+        "key", "tab", "id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
+    )
+    more = written(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(_searched(percent, rows), "a bigint, b bigint"), "links")
     dropped(found)
-
-    of_class = leaders.join(comp, "id", "left").select("content", "content2", F.coalesce("comp", "id").alias("component"))
-    joined = members.join(of_class, ["content", "content2"], "left")
+    dropped(x)
+    if more.limit(1).count():
+        comp = components(links.unionByName(more))
+
+    rooted = classes.select("cid", "doc_id").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
+    of_class = rooted.join(least, "root").select("cid", "component")
+    joined = signed.join(of_class, "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _checked(percent):
@@ -273,13 +286,11 @@ def _checked(percent):
     return run
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """docs, all columns, with one document of each component: that of the least id.
 
     Of repeated rows of a kept id all stay, as they count as one document.
     """
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-
-
-__all__ = ["Window", "components", "keep_one", "near_duplicates"]
+    gone = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    small = gone.count() <= broadcast_rows
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")

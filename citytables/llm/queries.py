@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from citytables.llm.decontam import contamination
 from citytables.llm.html import extract
 from citytables.llm.language import identify, train
 from citytables.llm.licenses import license_scan
+from citytables.llm.neardup import near_duplicates
 from citytables.llm.packing import packed_documents
 from citytables.llm.sharding import kd_shards
 from citytables.llm.substring import dedup_digest
@@ -70,6 +72,11 @@ def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on 3-word shingles at 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids cut and packed into sequences of at most 1024."""
     packed = packed_documents(table(spark, sf_dir, "documents"), end_id=0, capacity=1024)
@@ -86,7 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_topk": op6_exact_topk,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_kd_sharding": op8_kd_sharding,
+        "op9_minhash_neardup": op9_minhash_neardup,
         "op10_ffd_packing": op10_ffd_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
