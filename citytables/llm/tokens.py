@@ -2,8 +2,9 @@
 
 In this vocabulary a space before a character that is no white space always begins a new
 pre-token, so a text is cut there and the parts, most of which come again and again, are
-encoded once per Python worker. A cache of two generations bounds the memory: when the young
-one is full it becomes the old one, and parts found in the old one move up.
+encoded once per Python worker; of parts that are plain words and marks, each pre-token on its
+own. Caches of two generations bound the memory: when the young one is full it becomes the old
+one, and what is found in the old one moves up.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED = 150_000
+CACHED = 80_000
+CACHED_TOKENS = 250_000
 LONGEST_CACHED = 48
 
 # a space that is followed by white space or nothing: only then is a cut at every space unsafe
@@ -24,6 +26,38 @@ _UNSAFE = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 _SAFE_CUT = re.compile(r" (?=\S)")
 
 
+# words of Latin letters, a mark, one line feed: each group is a pre-token of its own, whatever stands around
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SIMPLE = re.compile(rf"( ?[{_L}]+)([.,;:!?]+)?(?:(\n)([{_L}]+)([.,;:!?]+)?)?\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Cache:
+    """Two generations of ids by string; what is found in the old one moves to the young one."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
+    def put(self, key: str, ids: bytes) -> None:
+        self.young[key] = ids
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
     """Encodes batches of texts; one lives in each Python worker."""
 
@@ -32,8 +66,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts, self.tokens = Cache(CACHED), Cache(CACHED_TOKENS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -41,24 +76,33 @@ class Encoder:
             out += [np.asarray(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
         return out
 
+    def _pre_token(self, token: str) -> bytes:
+        """Ids of one pre-token, straight from the library's model."""
+        ids = self.tokens.get(token)
+        if ids is None:
+            spelled = token.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype=np.uint32).tobytes()
+            self.tokens.put(token, ids)
+        return ids
+
     def _look_up(self, parts: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = [young.get(p) for p in parts]
-        missing = []
+        get, put = self.parts.get, self.parts.put
+        found = [get(p) for p in parts]
+        hard = []
         for i, f in enumerate(found):
             if f is None:
-                f = old.get(parts[i])
-                if f is None:
-                    missing.append(i)
-                else:
-                    found[i] = young[parts[i]] = f
-        if missing:
-            for i, ids in zip(missing, self._encode([parts[i] for i in missing]), strict=True):
+                p = parts[i]
+                simple = _SIMPLE.match(p)
+                if simple is None:
+                    hard.append(i)
+                    continue
+                found[i] = ids = b"".join([self._pre_token(t) for t in simple.groups() if t])
+                put(p, ids)
+        if hard:
+            for i, ids in zip(hard, self._encode([parts[i] for i in hard]), strict=True):
                 found[i] = ids
                 if len(parts[i]) <= LONGEST_CACHED:
-                    young[parts[i]] = ids
-        if len(young) > CACHED:
-            self.old, self.young = young, {}
+                    put(parts[i], ids)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
