@@ -14,7 +14,6 @@ Without any labelled document every text is `und`. Repeated rows are rows of the
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from citytables.llm.common import pieces
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
-CACHED = 200_000
+FLOOR = -30.0
 
 #: First and last code point of the letters of a script.
 SCRIPTS = (
@@ -44,20 +43,53 @@ _SCRIPT_OF = np.array([_NAMES.index(n) for n, _, _ in SCRIPTS])
 OTHER = len(_NAMES)
 
 
-def script_of(word: str) -> int:
-    """The number of the script of a word's first letter; OTHER outside all ranges."""
-    c = ord(word[0])
-    i = int(np.searchsorted(_STARTS, c, side="right")) - 1
-    return int(_SCRIPT_OF[i]) if i >= 0 and c <= _ENDS[i] else OTHER
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """The number of the script of each code point; OTHER outside all ranges."""
+    i = np.searchsorted(_STARTS, points, side="right") - 1
+    inside = (i >= 0) & (points <= _ENDS[np.maximum(i, 0)])
+    return np.where(inside, _SCRIPT_OF[np.maximum(i, 0)], OTHER)
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word's 1- to 4-grams with its ends marked."""
-    w = f"<{word.lower()[:40]}>"
-    out = [zlib.crc32(w.encode()) % BUCKETS]
-    for n in (1, 2, 3, 4):
-        out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)]
-    return out
+_P = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 48)], dtype=np.uint64)
+_LONGEST = 40
+
+
+class Grams:
+    """Buckets of the 1- to 4-grams of some words, ends marked, and of the words as wholes.
+
+    All words stand in one array of code points; buckets has a row for each gram length (the last
+    for whole words) and a column for each place, -1 where no gram of the word begins.
+    """
+
+    def __init__(self, words: list[str]):
+        line = "".join([f"<{w[:_LONGEST]}>" for w in words]).lower()
+        a = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.start = np.flatnonzero(a == ord("<"))
+        size = np.diff(np.append(self.start, len(a)))
+        left = np.repeat(size, size) - (np.arange(len(a)) - np.repeat(self.start, size))  # characters from here to the word's end
+        self.buckets = np.full((5, len(a)), -1, dtype=np.int64)
+        h = np.zeros(len(a), dtype=np.uint64)
+        for n in range(4):
+            h[: len(a) - n] += a[n:] * _P[n]
+            self.buckets[n] = np.where(left > n, _bucket(h, n), -1)
+        within = np.arange(len(a)) - np.repeat(self.start, size)
+        whole = np.add.reduceat(a * _P[np.minimum(within, len(_P) - 1)], self.start)
+        self.buckets[4, self.start] = _bucket(whole, 4)
+        self.count = np.add.reduceat((self.buckets >= 0).sum(axis=0), self.start)
+        self.script = scripts_of(a[self.start + 1].astype(np.int64))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each word the sum of values [bucket, label] over its grams; the last row of values belongs to bucket -1."""
+        total = np.zeros((self.buckets.shape[1], values.shape[1]), dtype=np.float32)
+        for row in self.buckets:
+            total += values[row]
+        return np.add.reduceat(total, self.start, axis=0)
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    x = (h + np.uint64(n + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class Model:
@@ -65,42 +97,23 @@ class Model:
 
     def __init__(self, languages, log_p, prior, scripts):
         self.languages, self.log_p, self.prior, self.scripts = languages, log_p, prior, scripts
-        self.cache: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "scores")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, cache={}, scores=[])
-
-    def word_score(self, word: str) -> np.ndarray:
-        """Mean n-gram log-probability of each language, weighted by length; excluded languages are far below."""
-        g = grams(word)
-        s = self.log_p[g].sum(axis=0) / len(g) ** 0.5
-        s = s - s.max()
-        allowed = self.scripts[:, script_of(word)]
-        if allowed.any():
-            s = np.where(allowed, s, -30.0)
-        else:  # no learned language has this script
-            s = np.zeros_like(s)
-        return np.maximum(s, -30.0)
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Score of each word for each language: 0 for the best, and at least FLOOR.
+
+        Languages that don't use the word's script get FLOOR; where no language does, all get 0.
+        """
+        g = Grams(words)
+        s = g.sums(self.log_p) / np.sqrt(g.count)[:, None]
+        allowed = self.scripts[:, g.script].T
+        s = np.where(allowed, s - np.where(allowed, s, -np.inf).max(axis=1, keepdims=True, initial=-1e9), FLOOR)
+        s[~allowed.any(axis=1)] = 0.0
+        return np.maximum(s, FLOOR)
 
     def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code of each word and the scores by code."""
         code, unique = pd.factorize(words)
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-            self.scores.clear()
-        cache, scores = self.cache, self.scores
-        rows = []
-        for w in unique:
-            i = cache.get(w)
-            if i is None:
-                i = cache[w] = len(scores)
-                scores.append(self.word_score(w))
-            rows.append(i)
-        return code, np.array([scores[i] for i in rows]).reshape(len(rows), len(self.languages))
+        return code, self.word_scores(unique.tolist())
 
 
 def fit(rows: list[tuple[str, list[str]]]) -> Model | None:
@@ -117,12 +130,18 @@ def fit(rows: list[tuple[str, list[str]]]) -> Model | None:
         prior[i] += 1
         by_language[i].update(words)
     for i, words in enumerate(by_language):
-        for w, n in words.items():
-            np.add.at(counts[:, i], grams(w), min(n, 50))
-            seen[i, script_of(w)] += n
+        if not words:
+            continue
+        g = Grams(list(words))
+        n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+        weight = np.repeat(np.minimum(n, 50), np.diff(np.append(g.start, g.buckets.shape[1])))
+        for row in g.buckets:
+            counts[:, i] += np.bincount(row[row >= 0], weights=weight[row >= 0], minlength=BUCKETS)
+        seen[i] = np.bincount(g.script, weights=n, minlength=OTHER + 1)
     log_p = np.log(counts) - np.log(counts.sum(axis=0))
+    log_p = np.concatenate([log_p, np.zeros((1, len(languages)))]).astype(np.float32)  # bucket -1: no gram
     share = seen / np.maximum(1, seen.sum(axis=1, keepdims=True))
-    return Model(languages, log_p.astype(np.float32), prior / prior.sum(), share >= 0.01)
+    return Model(languages, log_p, prior / prior.sum(), share >= 0.01)
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int = 32) -> np.ndarray:
@@ -197,7 +216,7 @@ def _labelled(sent, penalty, carry=()):
             if model is not None and bounds[-1]:
                 words = np.array([w for f in found for w in f], dtype=object)
                 code, by_code = model.of_words(words)
-                s = by_code[code] + 0.0
+                s = by_code[code].astype(np.float64)
                 labels = viterbi(s, bounds, penalty)
                 unique_size = np.zeros(len(by_code), dtype=np.int64)
                 unique_size[code] = np.fromiter(map(len, words), dtype=np.int64, count=len(words))

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from citytables.llm.language import fit, identify, script_of, train, viterbi
+from citytables.llm.language import OTHER, fit, identify, scripts_of, train, viterbi
 from citytables.llm.queries import op3_language_id
 
 SCHEMA = "doc_id long, text string, lang string, score double"
@@ -39,7 +39,9 @@ def test_mixed_text_and_edges(spark):
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 and by[i]["spans"] == [] for i in (2, 3, 4))
     assert by[5]["lang_pred"] == "ru" and by[7]["lang_pred"] == "en" and by[6]["lang_pred"] in model.languages and by[6]["score"] < 0.1
     assert all(0 <= r["score"] <= 1 for r in got)
-    assert script_of("é") == script_of("z") != script_of("д")
+    points = scripts_of(np.array([ord(c) for c in "ézд\u0300"]))
+    assert points[0] == points[1] != points[2] and points[3] == OTHER
+    assert np.allclose(model.word_scores(["the", "über", "the" * 40]), np.concatenate([model.word_scores([w]) for w in ("the", "über", "the" * 40)]), atol=1e-3)
     empty = spark.createDataFrame([], SCHEMA)
     assert train(empty) is None and identify(empty, None).collect() == []
     assert {r["lang_pred"] for r in identify(spark.createDataFrame(rows, SCHEMA), None).collect()} == {"und"}
