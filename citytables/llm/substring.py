@@ -13,10 +13,10 @@ windows are judged on the input, not on what is left.
    travel once. A shard builds a compressed FM-index of its segments, streams the windows of the
    segments through it by backward search over the wavelet tree (matching statistics of at least
    `size`), and locates the earliest occurrence of each.
-4. Repeats go back to their documents as intervals.
+4. Repeats go back to their documents as starts of windows.
 
-A hot anchor (over hot_segments segments) is dealt out window by window under the hash of the
-whole window, so no shard grows with one passage. Words are compared by 64-bit fingerprints.
+A hot anchor (over hot_segments unlike segments) is dealt out window by window under the hash of
+the whole window, so no shard grows with one passage. Words are compared by 64-bit fingerprints.
 
 Null or empty texts have no words. Repeated rows (same id and text) count as one document, so
 none removes the other; rows of one id with different texts are ordered by the text's hash. A
@@ -103,7 +103,14 @@ def anchors(prints: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.nd
     return g[place[first]], first, np.diff(np.append(first, n))
 
 
-_KEY = "doc_id bigint, th bigint"
+def stretch_hashes(prints: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of the fingerprints in each stretch, alike for equal stretches."""
+    ahead = np.concatenate([[np.uint64(0)], np.cumsum(prints * _powers(_R, len(prints)), dtype=np.uint64)])
+    back = _powers(_R_INVERSE, max(1, len(prints)))
+    return mixed((ahead[start + length] - ahead[start]) * back[start] + length.astype(np.uint64) * _M)
+
+
+_ANCHORS = "anchor bigint, content bigint, doc_id bigint, th bigint, first int, n int"
 
 
 def _anchored(size, gram):
@@ -112,39 +119,52 @@ def _anchored(size, gram):
             words = Words(b.column("text").to_pylist())
             found = [anchors(words.prints[a:z], size, gram) for a, z in zip(words.bounds, words.bounds[1:], strict=False)]
             row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            anchor, first, n = (np.concatenate([f[i] for f in found]) for i in range(3))
+            content = stretch_hashes(words.prints, words.bounds[row] + first, n + size - 1) if len(row) else np.zeros(0, np.uint64)
             take = pa.array(row, pa.int64())
             yield pa.record_batch(
-                [
-                    pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), b.column("doc_id").take(take), b.column("th").take(take),
-                    pa.array(np.concatenate([f[1] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)),
-                ],
-                names=["anchor", "doc_id", "th", "first", "n"],
-            )
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), b.column("doc_id").take(take), b.column("th").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                names=["anchor", "content", "doc_id", "th", "first", "n"],
+            )
 
     return run
 
 
-SEGMENTS = "shard_key bigint, content bigint, words binary, doc_id bigint, th bigint, first int, n int"
+SEGMENTS = "hot boolean, parent bigint, shard_key bigint, content bigint, words binary, many boolean, doc_id bigint, th bigint, first int"
+
+
+def _binary(prints: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The fingerprints of each stretch as one binary value."""
+    ends = np.cumsum(length)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.concatenate([[0], ends * 8]).astype(np.int32)), pa.py_buffer(prints[at].tobytes())])
 
 
-def _cut_out(size, hot_segments):
+def _cut_out(size):
+    """The words of segments; of those with a hot anchor each window on its own, under the window's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
             words = Words(b.column("text").to_pylist())
-            out: list[tuple] = []
-            for i, (doc, th, runs) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("runs").to_pylist(), strict=True)):
-                own = words.prints[words.bounds[i] : words.bounds[i + 1]]
-                for r in runs:
-                    first, n, anchor = r["first"], r["n"], r["anchor"]
-                    if r["c"] > hot_segments:  # window by window, under the hash of the whole window
-                        h = gram_hashes(own[first : first + n + size - 1], size).view(np.int64)
-                        out += [(int(h[j]), int(h[j]), own[first + j : first + j + size].tobytes(), doc, th, first + j, 1) for j in range(n)]
-                    else:
-                        part = own[first : first + n + size - 1]
-                        out.append((anchor, int(gram_hashes(part, len(part)).view(np.int64)[0]), part.tobytes(), doc, th, first, n))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard_key", "content", "words", "doc_id", "th", "first", "n"])
+            runs = b.column("runs")
+            row = np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
+            flat = runs.flatten()
+            first, n, anchor, content, many, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n", "anchor", "content", "many", "hot"))
+            times = np.where(hot, n, 1)
+            pick = np.repeat(np.arange(len(row)), times)
+            step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
+            begin = first[pick] + step
+            start = words.bounds[row[pick]] + begin
+            length = np.where(hot[pick], size, n[pick] + size - 1).astype(np.int64)
+            own = stretch_hashes(words.prints, start, length).view(np.int64) if len(pick) else np.zeros(0, np.int64)
+            take = pa.array(row[pick], pa.int64())
+            yield pa.record_batch(
+                [
+                    pa.array(hot[pick]), pa.array(content[pick]), pa.array(np.where(hot[pick], own, anchor[pick])), pa.array(np.where(hot[pick], own, content[pick])), _binary(words.prints, start, length),
+                    pa.array(many[pick]), b.column("doc_id").take(take), b.column("th").take(take), pa.array(begin.astype(np.int32)),
+                ],
+                names=["hot", "parent", "shard_key", "content", "words", "many", "doc_id", "th", "first"],
+            )
 
     return run
 
@@ -198,47 +218,53 @@ def _shard_searched(size):
 
 
 def repeats(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, shard_words: int = 1 << 18, hot_segments: int = 2000, broadcast_rows: int = 150_000) -> DataFrame:
-    """doc_id, th, copied (the whole text is), and spans (first word, end word) of the repeats of keyed (doc_id, th, text)."""
+    """doc_id, th, copied (the whole text is), and starts (of the windows that are repeats) of keyed (doc_id, th, text)."""
     keys = keyed.select("doc_id", "th")
     first_of = keys.groupBy("th").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
     copies = keys.join(first_of, "th").where("doc_id > keeper").select("doc_id", "th").distinct()
 
-    found = written(keyed.mapInArrow(_anchored(size, gram), f"anchor bigint, {_KEY}, first int, n int"), "anchors")
+    found = written(keyed.mapInArrow(_anchored(size, gram), _ANCHORS), "anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     some = written(found.join(often, "anchor", "left_semi").join(copies, ["doc_id", "th"], "left_anti"), "anchors-often")
     dropped(found)
-    again = some.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    by_doc = written(some.join(again, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "anchor", "c")).alias("runs")), "runs")
-    small = by_doc.count() <= broadcast_rows  # one row a document with candidates, bounded by that many
-    texts = keyed.join(F.broadcast(by_doc) if small else by_doc, ["doc_id", "th"])
-    segments = written(texts.mapInArrow(_cut_out(size, hot_segments), SEGMENTS), "segments")
-    dropped(some)
-
-    # equal segments travel once, with their earliest place
-    one = segments.groupBy("content").agg(F.first("shard_key").alias("shard_key"), F.first("words").alias("words"), F.min(F.struct("doc_id", "th", "first")).alias("e"), (F.count("*") > 1).alias("many"))
-    one = one.select("shard_key", "content", "words", "many", "e.doc_id", "e.th", "e.first")
+
+    # of equal segments the earliest stands for all; only its words are read and travel
+    leaders = some.groupBy("content").agg(F.min(F.struct("doc_id", "th", "first")).alias("e"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), (F.count("*") > 1).alias("many"))
+    leaders = written(leaders.select("content", "anchor", "n", "many", "e.doc_id", "e.th", "e.first"), "leaders")
+    again = leaders.groupBy("anchor").agg(F.count("*").alias("c"), F.bool_or("many").alias("m")).where("c > 1 or m").select("anchor", (F.col("c") > hot_segments).alias("hot"))
+    run_of = F.struct("first", "n", "anchor", "content", "many", "hot")
+    by_doc = written(leaders.join(again, "anchor").groupBy("doc_id", "th").agg(F.collect_list(run_of).alias("runs")), "runs")
+    wanted = by_doc.select("doc_id", "th")
+    texts = keyed.join(F.broadcast(wanted), ["doc_id", "th"], "left_semi") if wanted.count() <= broadcast_rows else keyed
+    segments = written(texts.join(by_doc.hint("merge"), ["doc_id", "th"]).mapInArrow(_cut_out(size), SEGMENTS), "segments")
+
+    one = segments.where("hot").groupBy("content").agg(F.first("shard_key").alias("shard_key"), F.first("words").alias("words"), F.min(F.struct("doc_id", "th", "first")).alias("e"), (F.bool_or("many") | (F.count("*") > 1)).alias("many"))
+    columns = ["shard_key", "content", "words", "many"]
+    one = one.select(*columns, "e.doc_id", "e.th", "e.first").unionByName(segments.where("not hot").select(*columns, "doc_id", "th", "first"))
     n = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-n // (8 * shard_words)))
     sharded = one.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    earliest = sharded.groupBy("shard").applyInArrow(_shard_searched(size), "content bigint, earliest array<struct<doc_id:bigint,th:bigint,at:int>>")
-    places = segments.select("content", "doc_id", "th", "first").join(earliest, "content")
-    late = F.transform(
-        "earliest",
-        lambda e, i: F.when(e.isNotNull() & ~((e["doc_id"] == F.col("doc_id")) & (e["th"] == F.col("th")) & (e["at"] == F.col("first") + i)), F.struct((F.col("first") + i).alias("first"), (F.col("first") + i + size).alias("end"))),
-    )
-    spans = places.select("doc_id", "th", F.filter(late, lambda s: s.isNotNull()).alias("s")).where(F.size("s") > 0)
-    spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"), F.lit(False).alias("copied"))
-    whole = copies.select("doc_id", "th", F.array().cast("array<struct<first:int,end:int>>").alias("spans"), F.lit(True).alias("copied"))
+    earliest = written(sharded.groupBy("shard").applyInArrow(_shard_searched(size), "content bigint, earliest array<struct<doc_id:bigint,th:bigint,at:int>>"), "earliest")
+
+    places = some.select("content", "doc_id", "th", "first")
+    late = F.transform("earliest", lambda e, i: F.when(e.isNotNull() & ~((e["doc_id"] == F.col("doc_id")) & (e["th"] == F.col("th")) & (e["at"] == F.col("first") + i)), F.col("first") + i))
+    cold = places.join(earliest, "content").select("doc_id", "th", F.filter(late, lambda s: s.isNotNull()).alias("s")).where("size(s) > 0")
+    windows = segments.where("hot").join(earliest, "content").join(leaders.select(F.col("content").alias("parent"), F.col("first").alias("lead")), "parent")
+    windows = windows.select(F.col("parent").alias("content"), (F.col("first") - F.col("lead")).alias("i"), F.col("earliest")[0].alias("e"))
+    at = F.col("first") + F.col("i")
+    hot = places.join(windows, "content").where(~((F.col("e.doc_id") == F.col("doc_id")) & (F.col("e.th") == F.col("th")) & (F.col("e.at") == at))).select("doc_id", "th", F.array(at).alias("s"))
+    spans = cold.unionByName(hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("starts"), F.lit(False).alias("copied"))
+    whole = copies.select("doc_id", "th", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copied"))
     return spans.unionByName(whole)
 
 
-def _mask(n: int, spans, copied: bool, size: int) -> np.ndarray:
+def _mask(n: int, starts, copied: bool, size: int) -> np.ndarray:
     if copied:
         return np.full(n, n >= size)
     mark = np.zeros(n + 1, dtype=np.int64)
-    for s in spans or ():
-        mark[s["first"]] += 1
-        mark[s["end"]] -= 1
+    starts = np.asarray(starts, dtype=np.int64)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, starts + size, -1)
     return np.cumsum(mark[:n]) > 0
 
 
@@ -248,9 +274,9 @@ def _finished(size, digest):
             texts = b.column("text").to_pylist()
             words = Words(texts)
             removed, out = [], []
-            for i, (spans, copied) in enumerate(zip(b.column("__spans").to_pylist(), b.column("__copied").to_pylist(), strict=True)):
+            for i, (starts, copied) in enumerate(zip(b.column("__starts").to_pylist(), b.column("__copied").to_pylist(), strict=True)):
                 n = int(words.bounds[i + 1] - words.bounds[i])
-                gone = _mask(n, spans, bool(copied), size) if spans or copied else None
+                gone = _mask(n, starts, bool(copied), size) if starts or copied else None
                 removed.append(0 if gone is None else int(gone.sum()))
                 if digest:
                     own = words.of(i)
@@ -284,9 +310,9 @@ def _joined(docs: DataFrame, text_cols: list[str], size: int, **options) -> Data
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
     found = written(repeats(docs.select(id_.alias("doc_id"), th.alias("th"), "text"), size=size, **options), "repeats")
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans"), F.col("copied").alias("__copied"))
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts"), F.col("copied").alias("__copied"))
     keyed = docs.select(*text_cols, id_.alias("__doc"), th.alias("__th"))
-    small = found.count() <= options.get("broadcast_rows", 150_000)
+    small = (found.agg(F.sum(F.size("__starts") + 4)).first()[0] or 0) <= 16 * options.get("broadcast_rows", 150_000)
     return keyed.join(F.broadcast(found) if small else found, ["__doc", "__th"], "left")
 
 
