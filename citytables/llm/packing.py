@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citytables.llm.common import pieces, written
-from citytables.llm.tokens import encoder, with_end
+from citytables.llm.tokens import BATCH_BYTES, encoder, with_end
 
 CAPACITY = 1024
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -67,7 +67,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[t
 def _cut(path, end_id, capacity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", BATCH_BYTES):
             ids, ends = with_end(*enc.encode(b.column("text")), end_id)
             data, begin, rows = ids.astype("<u4").tobytes(), 0, []
             for doc, end in zip(b.column("doc_id").to_pylist(), ends.tolist(), strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citytables.llm.common import dropped, new_path, pieces, written
-from citytables.llm.tokens import encoder, with_end
+from citytables.llm.tokens import BATCH_BYTES, encoder, with_end
 
 MAGIC = b"CTOK1\0\0\0"
 BLOCK_TOKENS = 1 << 17
@@ -88,7 +88,7 @@ def _tokenised(path, end_id):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         kind = np.dtype("<u2") if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", BATCH_BYTES):
             ids, ends = with_end(*enc.encode(b.column("text")), end_id)
             offsets = np.concatenate([[0], ends * kind.itemsize]).astype(np.int32)
             blob = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind).tobytes())])

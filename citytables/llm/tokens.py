@@ -10,6 +10,7 @@ one, and what is found in the old one moves up.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CACHED = 80_000
 CACHED_TOKENS = 250_000
 LONGEST_CACHED = 48
+#: Bytes of text that are encoded together: the more, the fewer parts come again; bounded for memory.
+BATCH_BYTES = 6 << 20
 
 # a space that is followed by white space or nothing: only then is a cut at every space unsafe
 _UNSAFE = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
@@ -81,17 +84,21 @@ class Encoder:
         ids = self.tokens.get(token)
         if ids is None:
             spelled = token.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype=np.uint32).tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
             self.tokens.put(token, ids)
         return ids
 
     def _look_up(self, parts: list[str]) -> list[bytes]:
         get, put = self.parts.get, self.parts.put
-        found = [get(p) for p in parts]
+        found = list(map(self.parts.young.get, parts))
         hard = []
         for i, f in enumerate(found):
             if f is None:
                 p = parts[i]
+                ids = get(p)
+                if ids is not None:
+                    found[i] = ids
+                    continue
                 simple = _SIMPLE.match(p)
                 if simple is None:
                     hard.append(i)
