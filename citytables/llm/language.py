@@ -206,7 +206,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int =
 def _labelled(sent, penalty, carry=()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = sent.value
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             found = [WORD.findall(t) if t else [] for t in b.column("text").to_pylist()]
             sizes = np.array([len(f) for f in found])
             bounds = np.concatenate([[0], np.cumsum(sizes)])

@@ -22,7 +22,7 @@ CACHED = 80_000
 CACHED_TOKENS = 250_000
 LONGEST_CACHED = 48
 #: Bytes of text that are encoded together: the more, the fewer parts come again; bounded for memory.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 
 # a space that is followed by white space or nothing: only then is a cut at every space unsafe
 _UNSAFE = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
