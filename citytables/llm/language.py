@@ -8,7 +8,8 @@ The model is fitted on a bounded sample: at most sample_docs documents of each l
 smallest hash of the id, and of each at most sample_words words (both are parameters). All texts
 are labelled whole. A text that is null or has no letter gives `und`, score 0 and no spans; a
 text in a script that no learned language uses gets the most frequent language with a low score.
-Without any labelled document every text is `und`. Repeated rows are rows of their own.
+With one learned language every text in its scripts is in it. Without any labelled document that has
+a word every text is `und`. Repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -103,21 +104,27 @@ class Model:
 
         Languages that don't use the word's script get FLOOR; where no language does, all get 0.
         """
+        return self._scored(words)[0]
+
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and which languages use each word's script."""
         g = Grams(words)
         s = g.sums(self.log_p) / np.sqrt(g.count)[:, None]
         allowed = self.scripts[:, g.script].T
         s = np.where(allowed, s - np.where(allowed, s, -np.inf).max(axis=1, keepdims=True, initial=-1e9), FLOOR)
         s[~allowed.any(axis=1)] = 0.0
-        return np.maximum(s, FLOOR)
+        return np.maximum(s, FLOOR), allowed
 
-    def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code of each word and the scores by code."""
+    def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code of each word; by code the scores, and whether any language uses the word's script."""
         code, unique = pd.factorize(words)
-        return code, self.word_scores(unique.tolist())
+        scores, allowed = self._scored(unique.tolist())
+        return code, scores, allowed.any(axis=1)
 
 
 def fit(rows: list[tuple[str, list[str]]]) -> Model | None:
-    """A model from (language, words) rows."""
+    """A model from (language, words) rows; languages without a word aren't learned."""
+    rows = [r for r in rows if r[1]]
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
@@ -211,11 +218,11 @@ def _labelled(sent, penalty, carry=()):
             sizes = np.array([len(f) for f in found])
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             n = len(found)
-            lang, score = ["und"] * n, [0.0] * n
+            lang, score, letters_in = ["und"] * n, [0.0] * n, [sum(map(len, f)) for f in found] if carry else []
             spans: list[list] = [[] for _ in range(n)]
             if model is not None and bounds[-1]:
                 words = np.array([w for f in found for w in f], dtype=object)
-                code, by_code = model.of_words(words)
+                code, by_code, of_script = model.of_words(words)
                 s = by_code[code].astype(np.float64)
                 labels = viterbi(s, bounds, penalty)
                 unique_size = np.zeros(len(by_code), dtype=np.int64)
@@ -224,7 +231,7 @@ def _labelled(sent, penalty, carry=()):
                 k = len(model.languages)
                 text_of = np.repeat(np.arange(n), sizes)
                 own = np.bincount(text_of * k + labels, weights=letters, minlength=n * k).reshape(n, k)
-                known = (s.max(axis=1) - s.min(axis=1)) > 0
+                known = of_script[code]
                 sure = np.bincount(text_of[known], weights=letters[known], minlength=n)
                 total = np.maximum(1, own.sum(axis=1))
                 pick = (own + 1e-6 * model.prior[None, :]).argmax(axis=1)
@@ -237,7 +244,7 @@ def _labelled(sent, penalty, carry=()):
                     lang[i] = model.languages[pick[i]]
                     score[i] = float(own[i, pick[i]] / total[i] * max(0.01, sure[i] / total[i]))
             if carry:
-                yield pa.record_batch([*(b.column(c) for c in carry), pa.array(lang), pa.array(score, pa.float64())], names=[*carry, "__lang", "__score"])
+                yield pa.record_batch([*(b.column(c) for c in carry), pa.array(lang), pa.array(score, pa.float64()), pa.array(letters_in, pa.int64())], names=[*carry, "__lang", "__score", "__letters"])
                 continue
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
             rows = [[dict(zip(("lang", "first_word", "end_word"), x, strict=True)) for x in own_spans] for own_spans in spans]
@@ -273,12 +280,12 @@ def train(labelled: DataFrame, sample_docs: int = 400, sample_words: int = 2000)
 def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, carry: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score (share of the letters in that language) and spans (lang, first_word, end_word); no shuffle.
 
-    With carry, those columns (text among them) with __lang and __score instead.
+    With carry, those columns (text among them) with __lang, __score and __letters (how many there are) instead.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     if carry:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-        return docs.select(*carry).mapInArrow(_labelled(sent, penalty, tuple(carry)), f"{kinds}, __lang string, __score double")
+        return docs.select(*carry).mapInArrow(_labelled(sent, penalty, tuple(carry)), f"{kinds}, __lang string, __score double, __letters bigint")
     return docs.select("doc_id", "text").mapInArrow(
         _labelled(sent, penalty), "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:int,end_word:int>>"
     )

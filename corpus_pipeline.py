@@ -27,9 +27,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or of no one language, go."""
+    """Documents whose text has a language; those without a letter, or of no one language, go.
+
+    Without labels to learn from no language can be told, and all documents with a letter stay.
+    """
     model = train(docs.select("doc_id", "text", "lang"))
     kept = identify(docs, model, carry=docs.columns)
+    if model is None:
+        return kept.where("__letters > 0").select(*docs.columns)
     return kept.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 

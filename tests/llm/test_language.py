@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from citytables.llm.language import OTHER, fit, identify, scripts_of, train, viterbi
 from citytables.llm.queries import op3_language_id
 
@@ -45,3 +46,15 @@ def test_mixed_text_and_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert train(empty) is None and identify(empty, None).collect() == []
     assert {r["lang_pred"] for r in identify(spark.createDataFrame(rows, SCHEMA), None).collect()} == {"und"}
+
+
+def test_one_language_corpus(spark):
+    rows = [(1, "the which that and with", "en", 1.0), (2, "with the that", "en", 1.0), (3, "что это", None, 1.0), (4, "12 !!", None, 1.0), (5, None, "en", 1.0)]
+    model = train(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang"))
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, 5)] == ["en", "en", "en", "und", "und"]
+    assert got[1]["score"] == got[2]["score"] == 1.0 and got[3]["score"] < 0.1
+    kept = lambda rows: {r["doc_id"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert kept(rows) == {1, 2}
+    assert kept([(i, t, None, s) for i, t, _, s in rows]) == {1, 2, 3}
+    assert kept([(i, t, "en" if i == 4 else None, s) for i, t, _, s in rows]) == {1, 2, 3}  # a label of a text without a word
