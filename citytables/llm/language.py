@@ -259,17 +259,22 @@ def _labelled(sent, penalty, carry=()):
 def train(labelled: DataFrame, sample_docs: int = 400, sample_words: int = 2000) -> Model | None:
     """Fit on documents (doc_id, text, lang) with a language: a bounded sample of each language."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    # the share of each language that is about twice the sample, then the exact cut by rank in that small rest
+    # hashes up to a bound that takes about twice the sample, then the exact cut by rank in that small rest; where
+    # repeated ids leave too few, a greater bound
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < F.lit(min(1_000_000, -(-2_000_000 * sample_docs // n)))))
+    draw = F.xxhash64("doc_id")
     words = F.slice(F.split(F.substring("text", 1, 12 * sample_words), r"\s+"), 1, sample_words)
-    sample = rows.where(keep).groupBy("lang", draw.alias("draw")).agg(F.min(F.struct("doc_id", words.alias("words"))).alias("one"))  # one of equal draws
     taken: dict[str, list] = {}
-    for r in sample.toLocalIterator():
-        taken.setdefault(r["lang"], []).append((r["draw"], r["one"]["doc_id"] or 0, r["one"]["words"]))
+    wanted = {lang: -(-(2 * sample_docs << 64) // n) for lang, n in sizes.items()}  # of the 2^64 hashes
+    while wanted:
+        keep = F.lit(False)
+        for lang, share in wanted.items():
+            keep = keep | ((F.col("lang") == lang) & (draw <= F.lit(min(share, 1 << 64) - (1 << 63) - 1)))
+        sample = rows.where(keep).groupBy("lang", draw.alias("draw")).agg(F.min(F.struct("doc_id", words.alias("words"))).alias("one"))  # one of equal ids
+        taken |= {lang: [] for lang in wanted}
+        for r in sample.toLocalIterator():
+            taken[r["lang"]].append((r["draw"], r["one"]["doc_id"] or 0, r["one"]["words"]))
+        wanted = {lang: 8 * share for lang, share in wanted.items() if len(taken[lang]) < sample_docs and share < 1 << 64}
     out = []
     for lang, own in taken.items():
         own.sort(key=lambda x: x[:2])

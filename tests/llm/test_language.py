@@ -1,11 +1,13 @@
 """Language ID: Viterbi against brute force, held-out accuracy, mixed texts, scripts, edge cases."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from citytables.llm import language
 from citytables.llm.language import OTHER, fit, identify, scripts_of, train, viterbi
 from citytables.llm.queries import op3_language_id
 
@@ -58,3 +60,11 @@ def test_one_language_corpus(spark):
     assert kept(rows) == {1, 2}
     assert kept([(i, t, None, s) for i, t, _, s in rows]) == {1, 2, 3}
     assert kept([(i, t, "en" if i == 4 else None, s) for i, t, _, s in rows]) == {1, 2, 3}  # a label of a text without a word
+
+
+def test_sample_does_not_shrink(spark, monkeypatch):
+    monkeypatch.setattr(language, "fit", lambda rows: rows)
+    docs = spark.range(4_000_000).select(F.col("id").alias("doc_id"), F.lit("the which").alias("text"), F.when(F.col("id") % 4000 == 0, "de").otherwise("en").alias("lang"))
+    assert Counter(lang for lang, _ in train(docs)) == {"en": 400, "de": 400}
+    repeated = docs.withColumn("doc_id", F.col("doc_id") % 600)  # each id many times
+    assert Counter(lang for lang, _ in train(repeated.where("lang = 'en'"))) == {"en": 400}
