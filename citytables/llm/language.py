@@ -2,7 +2,9 @@
 
 Unicode script ranges narrow the candidate languages of each word; words are scored by a naive
 Bayes model over their character n-grams; a Viterbi pass with a switching penalty labels spans.
-The text's language is that of most of its letters.
+The text's language is that of most of its letters. A word is a run of letters of one script, 40 at
+most: longer runs, such as sentences without spaces, are cut where the script changes and after each
+40 letters, and every piece is scored, labelled and counted in spans as a word of its own.
 
 The model is fitted on a bounded sample: at most sample_docs documents of each language, by the
 smallest hash of the id, and of each at most sample_words words (both are parameters). All texts
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,6 +58,39 @@ _P = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 48)], dtype
 _LONGEST = 40
 
 
+def _script_pieces() -> re.Pattern:
+    """At most _LONGEST letters of one script; letters outside all ranges go on with any."""
+    ranges = {n: "".join(f"{chr(a)}-{chr(z)}" for m, a, z in SCRIPTS if m == n) for n in _NAMES}
+    no = "[^" + "".join(ranges.values()) + "]"
+    kinds = [rf"(?={no}{{0,{_LONGEST - 1}}}[{own}])(?:[{own}]|{no}){{1,{_LONGEST}}}" for own in ranges.values()]
+    return re.compile("|".join([*kinds, rf"{no}{{1,{_LONGEST}}}"]))
+
+
+_PIECE = _script_pieces()
+
+
+@lru_cache(1 << 16)
+def _cut(run: str) -> list[str]:
+    return _PIECE.findall(run)
+
+
+def letter_runs(text: str) -> list[str]:
+    """The words of a text: its runs of letters, cut where the script changes and after each 40 letters."""
+    found = WORD.findall(text)
+    if max(map(len, found), default=0) <= _LONGEST and text.isascii():
+        return found
+    out: list[str] = []
+    for w in found:
+        if len(w) <= _LONGEST:
+            if w.isascii():
+                out.append(w)
+            else:
+                out += _cut(w)
+        else:
+            out += _PIECE.findall(w)  # too many kinds, and too long, to keep
+    return out
+
+
 class Grams:
     """Buckets of the 1- to 4-grams of some words, ends marked, and of the words as wholes.
 
@@ -63,7 +99,7 @@ class Grams:
     """
 
     def __init__(self, words: list[str]):
-        line = "".join([f"<{w[:_LONGEST]}>" for w in words]).lower()
+        line = "".join([f"<{w}>" for w in words]).lower()
         a = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         self.start = np.flatnonzero(a == ord("<"))
         size = np.diff(np.append(self.start, len(a)))
@@ -77,7 +113,7 @@ class Grams:
         whole = np.add.reduceat(a * _P[np.minimum(within, len(_P) - 1)], self.start)
         self.buckets[4, self.start] = _bucket(whole, 4)
         self.count = np.add.reduceat((self.buckets >= 0).sum(axis=0), self.start)
-        self.script = scripts_of(a[self.start + 1].astype(np.int64))
+        self.script = np.minimum.reduceat(scripts_of(a.astype(np.int64)), self.start)  # that of the letters inside a range
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """For each word the sum of values [bucket, label] over its grams; the last row of values belongs to bucket -1."""
@@ -214,7 +250,7 @@ def _labelled(sent, penalty, carry=()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = sent.value
         for b in pieces(batches, "text", 1 << 20):
-            found = [WORD.findall(t) if t else [] for t in b.column("text").to_pylist()]
+            found = [letter_runs(t) if t else [] for t in b.column("text").to_pylist()]
             sizes = np.array([len(f) for f in found])
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             n = len(found)
@@ -278,7 +314,7 @@ def train(labelled: DataFrame, sample_docs: int = 400, sample_words: int = 2000)
     out = []
     for lang, own in taken.items():
         own.sort(key=lambda x: x[:2])
-        out += [(lang, WORD.findall(" ".join(words))) for _, _, words in own[:sample_docs]]
+        out += [(lang, letter_runs(" ".join(words))) for _, _, words in own[:sample_docs]]
     return fit(out)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citytables.llm import language
-from citytables.llm.language import OTHER, fit, identify, scripts_of, train, viterbi
+from citytables.llm.language import OTHER, fit, identify, letter_runs, scripts_of, train, viterbi
 from citytables.llm.queries import op3_language_id
 
 SCHEMA = "doc_id long, text string, lang string, score double"
@@ -68,3 +68,18 @@ def test_sample_does_not_shrink(spark, monkeypatch):
     assert Counter(lang for lang, _ in train(docs)) == {"en": 400, "de": 400}
     repeated = docs.withColumn("doc_id", F.col("doc_id") % 600)  # each id many times
     assert Counter(lang for lang, _ in train(repeated.where("lang = 'en'"))) == {"en": 400}
+
+
+def test_long_runs_are_scored_whole(spark):
+    r = np.random.default_rng(3)
+    zh, ja = ["".join(r.choice(list(v), 30)) for v in ("的一是不了人我在有他", "日本語学校先生電車時")]
+    kana = "これはひらがなのぶんしょうです"
+    model = fit([("zh", letter_runs(zh * 20)), ("ja", letter_runs((ja + kana) * 20)), ("ru", letter_runs("это что как не " * 20))])
+    assert letter_runs("ab12 Привет漢字kana " + "x" * 95) == ["ab", "Привет", "漢字", "kana", "x" * 40, "x" * 40, "x" * 15]
+    assert letter_runs("azərbaycan əl") == ["azərbaycan", "əl"]  # letters outside all ranges go on with their run
+    assert model.word_scores(["əя"]).argmax() == model.languages.index("ru")
+    rows = [(1, zh * 2 + (ja + kana) * 10, None, 1.0), (2, "это" * 20 + kana * 40, None, 1.0), (3, zh * 9, None, 1.0)]
+    by = {x["doc_id"]: x for x in identify(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert [by[i]["lang_pred"] for i in (1, 2, 3)] == ["ja", "ja", "zh"]
+    assert [s["lang"] for s in by[2]["spans"]] == ["ru", "ja"] and by[1]["spans"][0]["lang"] == "zh"
+    assert language.Grams(["x" * 95]).count[0] > 2 * language.Grams(["x" * 40]).count[0]  # no letter is passed over
