@@ -9,8 +9,11 @@ that are seldom seen have no entropy worth the name; there, and for elements who
 names their purpose (nav, footer, advert, comments, ...), the presentation decides. Branches of
 low importance are removed from each page, and what is left of the article is its text.
 
-Only counts per (host, path, text hash) are shuffled, summed on the map side first; a host with
-a third of all pages is no single task's work. The paths to remove are broadcast when few, else
+Copies of a page are one page in these counts, as they say nothing of what the host repeats: in an
+article pages are the same if their articles are, elsewhere if all they show is (noise left out).
+
+Only hashes of nodes, one for each different page, and their counts are shuffled, summed on the map
+side first; a host with a third of all pages is no single task's work. The paths to remove are broadcast when few, else
 joined with salted hosts.
 
 Null or empty html gives an empty text. Broken markup (unclosed or stray tags) is read as far as
@@ -19,6 +22,7 @@ it goes. A null url counts as a host of its own; repeated rows are rows of their
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -131,8 +135,8 @@ def blocks(page: str | None) -> list[tuple[list[int], int, bool, str]]:
 
 
 _BLOCK = pa.struct([("chain", pa.list_(pa.int64())), ("main", pa.bool_()), ("noise", pa.bool_()), ("text", pa.string())])
-_NODE = pa.struct([("path", pa.int64()), ("main", pa.int64()), ("content", pa.int64()), ("style", pa.int64())])
-PARSED = "page_id bigint, url string, host string, blocks array<struct<chain:array<bigint>,main:boolean,noise:boolean,text:string>>, nodes array<struct<path:bigint,main:bigint,content:bigint,style:bigint>>"
+_NODE = pa.struct([("path", pa.int64()), ("main", pa.int64()), ("content", pa.int64()), ("style", pa.int64()), ("page", pa.int64())])
+PARSED = "page_id bigint, url string, host string, blocks array<struct<chain:array<bigint>,main:boolean,noise:boolean,text:string>>, nodes array<struct<path:bigint,main:bigint,content:bigint,style:bigint,page:bigint>>"
 
 
 def host_of(url: str | None) -> str:
@@ -140,6 +144,12 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
+def _same(own: list) -> int:
+    """A 64-bit hash of what blocks show (paths and texts), those that the presentation calls noise left out."""
+    shown = "\n".join(f"{c[-1] if c else 0} {t}" for c, _, noise, t in own if not noise)
+    return int.from_bytes(hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "html"):
         found, nodes, hosts = [], [], []
@@ -155,8 +165,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     below.setdefault(p, set()).add(chain[i + 1] if i + 1 < len(chain) else 0)
                 for p in chain[chain.index(main) + 1 :] if main else ():
                     main_of[p] = main
+            page_key, main_key = _same(own), _same([b for b in own if b[1]])
+            mains = {b[1] for b in own}
             found.append([{"chain": c, "main": m != 0, "noise": n, "text": t} for c, m, n, t in own])
-            nodes.append([{"path": p, "main": main_of.get(p, 0), "content": content[p], "style": zlib.crc32(str(sorted(below[p])).encode())} for p in content])
+            nodes.append([{"path": p, "main": main_of.get(p, 0), "content": content[p], "style": zlib.crc32(str(sorted(below[p])).encode()), "page": main_key if p in main_of or p in mains else page_key} for p in content])
             hosts.append(host_of(url))
         yield pa.record_batch(
             [b.column("page_id").cast(pa.int64()), b.column("url").cast(pa.string()), pa.array(hosts, pa.string()), pa.array(found, pa.list_(_BLOCK)), pa.array(nodes, pa.list_(_NODE))],
@@ -173,8 +185,9 @@ def _entropy(nodes: DataFrame, feature: str) -> DataFrame:
 
 
 def importance(parsed: DataFrame, style_share: float = 0.1) -> DataFrame:
-    """host, path, main, pages and importance of every node of the site style trees."""
-    nodes = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.path", "n.main", "n.content", "n.style")
+    """host, path, main, pages (different ones) and importance of every node of the site style trees."""
+    nodes = parsed.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.path", "n.page").agg(F.min(F.struct("n.main", "n.content", "n.style")).alias("n"))
+    nodes = nodes.select("host", "path", "n.main", "n.content", "n.style")
     both = _entropy(nodes, "content").join(_entropy(nodes, "style").drop("pages", "main"), ["host", "path"])
     value = style_share * F.col("style_entropy") + (1 - style_share) * F.col("content_entropy")
     return both.select("host", "path", "main", "pages", value.alias("importance"))
@@ -191,7 +204,7 @@ def extract(
     """page_id, url, text: the article of every page.
 
     A branch goes if its presentation calls it noise, or if its importance over at least
-    least_pages pages of the host is below low, in an article below low_in_main. Where the whole
+    least_pages different pages of the host is below low, in an article below low_in_main. Where the whole
     page (or article) has a low importance too, its pages are copies and nothing is learned from
     them. A page with an article or main element keeps nothing outside of it.
     """

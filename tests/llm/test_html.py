@@ -45,6 +45,22 @@ def test_copies_are_kept_and_notices_go(spark):
     assert set(run(spark, [(i, "http://c.example/", page) for i in range(9)]).values()) == {"T\nBy\na b\nc"}
 
 
+def test_copies_are_one_page(spark):
+    def article(i, more=""):
+        return f"<body><div class=chrome><p>Shop {i}</p></div><article><h1>Title {i}</h1><p>Story {i} of {i * i}</p>{more}</article></body>"
+
+    def bare(i):
+        return f"<body><div class=text><p>Story {i}</p><ul><li>Part {i}</ul></div><div class=x><p>Read our terms</p></div></body>"
+
+    copy = article(99, "<blockquote><p>Quoted</p></blockquote>")
+    rows = [(i, "http://a.example/", article(i)) for i in range(12)] + [(20 + i, "http://a.example/", copy.replace("Shop 99", f"Shop {i}")) for i in range(5)]
+    rows += [(100 + i, "http://b.example/", bare(min(i, 5))) for i in range(20)]  # 5 different pages and 15 copies
+    got = run(spark, rows)
+    assert {got[20 + i] for i in range(5)} == {"Title 99\nStory 99 of 9801\nQuoted"}
+    assert [got[i] for i in range(12)] == [f"Title {i}\nStory {i} of {i * i}" for i in range(12)]
+    assert [got[100 + i] for i in range(20)] == [f"Story {min(i, 5)}\nPart {min(i, 5)}" for i in range(20)]
+
+
 def test_blocks():
     assert blocks("a < b <!-- <p>x</p> --> c &lt;p&gt; &amp;amp;") and blocks("a < b <!-- <p>x</p> --> c &lt;p&gt; &amp;amp;")[0][3] == "a < b c <p> &amp;"
     assert [b[3] for b in blocks("<ul><li>a<li>b <b>c</b></ul><table><tr><td>x<td>y</table>" * 2)] == ["a", "b c", "x", "y"] * 2
