@@ -4,7 +4,10 @@ A document is the set of its word shingles. Two small collections of half keys a
 minimum hashes, each half key from a few of them; a table's key is a pair of half keys, one of
 each collection, so rows x rows tables cost only 2 x rows x per_half minimum hashes - about the
 square root of what as many independent keys would take. Documents that share a key are
-candidates, and every link is confirmed on the full sets.
+candidates, and every link is confirmed on the full sets. A pair of similarity s is a candidate with
+probability (1 - (1 - s^per_half)^rows)^2. rows is chosen by the threshold: 12 at least, and as many
+as give a pair at the threshold 0.9995; with 12 x 12 tables of 3 + 3 hashes that is 0.9996 at 0.8 and
+0.99998 at 0.85. Half keys that only one document has make no tables.
 
 1. Equal sets are one class, and stand for all their documents.
 2. In each bucket every member is compared with the bucket's least member. A pair that meets in
@@ -12,8 +15,9 @@ candidates, and every link is confirmed on the full sets.
 3. Buckets whose members are not all in one component yet, or were not all compared, are searched
    to the end: members and sets come together in tasks of bounded size (a large bucket as pairs of
    blocks), each member is compared with those that aren't linked to it - in the first of their
-   common tables only, which both know from their half keys - and only links that join something
-   leave the task. So no task emits all pairs of a group, and no link is lost.
+   common tables only, which both know from their half keys; of buckets with the same members only
+   that of the first table is searched - and only links that join something
+   leave the task. So no task emits all pairs of a group, and no link between candidates is lost.
 4. Components by alternating hooking to the least neighbour and shortening, as joins.
 
 Null texts and texts without words have empty sets and no links; with fewer words than a shingle the
@@ -33,8 +37,25 @@ from pyspark.sql import functions as F
 from citytables.llm.common import dropped, lower_ascii, pieces, written
 from citytables.llm.substring import Words, gram_hashes, mixed
 
-ROWS = 7
+ROWS = 12
 PER_HALF = 3
+#: A pair at the threshold becomes a candidate with this probability at least.
+RECALL = 0.9995
+
+
+def meeting(similarity: float, rows: int, per_half: int = PER_HALF) -> float:
+    """The probability that a pair shares a table's key."""
+    return (1 - (1 - similarity**per_half) ** rows) ** 2
+
+
+def rows_for(percent: int, per_half: int = PER_HALF) -> int:
+    """The half keys a side that a threshold needs."""
+    if percent <= 0:
+        raise ValueError("a threshold of 0 links everything")
+    rows = ROWS
+    while meeting(percent / 100, rows, per_half) < RECALL:
+        rows += 1
+    return rows
 
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
@@ -113,19 +134,36 @@ def _fetched(size):
     return run
 
 
-def _table_keys(rows):
-    """One row for each table a class is in."""
+def _half_rows(rows):
+    """One row for each half key of a class; place is its number among the 2 * rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            h = np.frombuffer(b"".join(b.column("halves").to_pylist()), dtype=np.uint64).reshape(b.num_rows, 2 * rows)
-            left, right = np.repeat(h[:, :rows], rows, axis=1), np.tile(h[:, rows:], (1, rows))
-            key = mixed(left ^ mixed(right + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-            take = pa.array(np.repeat(np.arange(b.num_rows), rows * rows), pa.int64())
-            table = pa.array(np.tile(np.arange(rows * rows, dtype=np.int16), b.num_rows))
-            yield pa.record_batch([pa.array(key.ravel()), table, b.column("id").take(take)], names=["key", "tab", "id"])
+            h = np.frombuffer(b"".join(b.column("halves").to_pylist()), dtype=np.int64)
+            place = pa.array(np.tile(np.arange(2 * rows, dtype=np.int16), b.num_rows))
+            take = pa.array(np.repeat(np.arange(b.num_rows), 2 * rows), pa.int64())
+            yield pa.record_batch([pa.array(h), place, b.column("id").take(take)], names=["half", "place", "id"])
+
+    return run
+
+
+def _table_keys(rows):
+    """One row for each table a class is in whose half keys other classes have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                h = np.frombuffer(b"".join(b.column("halves").to_pylist()), dtype=np.uint64).reshape(b.num_rows, 2 * rows)
+                shared = np.zeros(h.shape, dtype=bool)
+                places = b.column("shared")
+                shared[np.repeat(np.arange(b.num_rows), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = True
+                of, left, right = np.nonzero(shared[:, :rows, None] & shared[:, None, rows:])
+                key = mixed(h[of, left] ^ mixed(h[of, rows + right] + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                table = pa.array((left * rows + right).astype(np.int32))
+                yield pa.record_batch([pa.array(key), table, b.column("id").take(pa.array(of, pa.int64()))], names=["key", "tab", "id"])
 
     return run
 
@@ -224,12 +262,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, per_half: int = PER_HALF, block: int = 1000, broadcast_rows: int = 500_000
+    docs: DataFrame, size: int = 5, percent: int = 80, rows: int | None = None, per_half: int = PER_HALF, block: int = 1000, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable over links), kept (it is that id itself).
 
     Documents are linked when 100 x |A and B| >= percent x |A or B| on their sets of size-word shingles.
     """
+    rows = rows or rows_for(percent, per_half)
     docs = docs.select("doc_id", "text")
     signed = written(docs.mapInArrow(_signed(size, rows, per_half), SIGNED), "signatures")
     classes = written(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves")), "classes")
@@ -242,7 +281,12 @@ def near_duplicates(
         found = docs.join(wanted, "doc_id").select("cid", "halves", "text").mapInArrow(_fetched(size), "id bigint, halves binary, shingles binary")
         return written(found.dropDuplicates(["id"]), "sets")
 
-    keys = classes.select(F.col("cid").alias("id"), "halves").mapInArrow(_table_keys(rows), "key bigint, tab smallint, id bigint")
+    own = classes.select(F.col("cid").alias("id"), "halves")
+    halves = own.mapInArrow(_half_rows(rows), "half bigint, place smallint, id bigint")
+    common = halves.groupBy("half", "place").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = halves.join(common, ["half", "place"]).groupBy("id").agg(F.collect_set("place").alias("shared"))
+    several = written(own.join(shared, "id"), "shared-halves")
+    keys = several.mapInArrow(_table_keys(rows), "key bigint, tab int, id bigint")
     buckets = keys.groupBy("key", "tab").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     found = written(keys.join(buckets, ["key", "tab"]), "buckets")
     pairs = written(found.where("id <> hub").select("id", "hub").distinct(), "pairs")
@@ -252,7 +296,9 @@ def near_duplicates(
     comp = components(links)
 
     labelled = found.join(comp, "id", "left").select("key", "tab", "id", "n", F.coalesce("comp", "id").alias("comp")).where("n > 2")
-    rest = labelled.groupBy("key", "tab").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo < hi").select("key", "tab", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    open_ones = labelled.groupBy("key", "tab").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members")).where("lo < hi")
+    # of buckets of the same members only that of the first table: the first in which their pairs meet is never another
+    rest = open_ones.groupBy("members", "n", "lo", "hi").agg(F.min(F.struct("tab", "key")).alias("one")).select("one.*", "n").select("key", "tab", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     left = labelled.drop("n").join(rest, ["key", "tab"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a member of block i goes to the tasks of (i, j) for all j; a task of one block compares all its members
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -260,6 +306,7 @@ def near_duplicates(
         F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
     more = written(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(_searched(percent, rows), "a bigint, b bigint"), "links")
+    dropped(several)
     dropped(found)
     dropped(x)
     if more.limit(1).count():

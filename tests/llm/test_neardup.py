@@ -73,6 +73,24 @@ def test_tables_meet(spark):
     assert lost <= 6
 
 
+def test_pairs_at_the_threshold(spark):
+    r, rows = random.Random(4), []
+    for i in range(0, 1200, 2):
+        w = [f"w{r.randrange(10**9)}" for _ in range(182)]
+        other = list(w)
+        for at in range(20, 20 + 6 * 10, 10):  # 6 words change 18 of 180 shingles: 162 of 198 in common, 0.82
+            other[at] = f"x{r.randrange(10**9)}"
+        rows += [(i, " ".join(w), "x", 1), (i + 1, " ".join(other), "x", 1)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), size=3, percent=81).where("kept").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 1200, 2))
+
+
+def test_tables_by_threshold():
+    for percent in (40, 60, 80, 81, 85, 95, 100):
+        assert neardup.meeting(percent / 100, neardup.rows_for(percent)) >= neardup.RECALL
+    assert neardup.rows_for(80) == neardup.rows_for(85) == 12 and neardup.meeting(0.85, 12) > 0.99997
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
