@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citytables.functions.spatial import dequantize, overlaps
@@ -43,7 +43,10 @@ def scan_sources(lines: DataFrame) -> DataFrame:
 
 
 def scan_features(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row for each object key, with the package's box in world coordinates."""
+    """One row for each object key, with the package's box in world coordinates.
+
+    Ids count the object keys of a part of the scan in order, from part * 2^40 on; a package may have any number.
+    """
     rows = lines.where(F.get_json_object("value", "$.type") == FEATURE).select("path", "line", "value")
     rows = rows.join(sources.select("path", F.col("id").alias("source_id"), F.from_json(F.get_json_object("metadata", "$.transform"), "scale array<double>, translate array<double>").alias("t")), "path")
     rows = rows.withColumn("objects", F.from_json(F.get_json_object("value", "$.CityObjects"), "map<string,string>"))
@@ -56,8 +59,12 @@ def scan_features(lines: DataFrame, sources: DataFrame) -> DataFrame:
         for i, a in enumerate("xyz"):
             scale, move = F.coalesce(F.col("t.scale")[i], F.lit(1.0)), F.coalesce(F.col("t.translate")[i], F.lit(0.0))
             columns.append(dequantize(f(_member("w", i)), scale, move).alias(f"{name}_{a}"))
-    keyed = rows.select("path", "line", "source_id", "value", F.size("objects").cast("bigint").alias("cityobject_count"), *columns, F.posexplode(F.array_sort(F.map_keys("objects"))).alias("__k", "feature_id"))
-    return keyed.select((F.col("line") * 4096 + F.col("__k")).alias("id"), "feature_id", "source_id", "path", "value", "cityobject_count", *BOUNDS)
+    part = F.shiftright("line", 33)  # monotonically_increasing_id holds it there
+    ahead = Window.partitionBy(part).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.shiftleft(part, 40) + F.coalesce(F.sum(F.coalesce(F.size(F.map_keys("objects")), F.lit(0)).cast("bigint")).over(ahead), F.lit(0))
+    rows = rows.where("objects is not null").withColumn("first", first)
+    keyed = rows.select("path", "first", "source_id", "value", F.size("objects").cast("bigint").alias("cityobject_count"), *columns, F.posexplode(F.array_sort(F.map_keys("objects"))).alias("__k", "feature_id"))
+    return keyed.select((F.col("first") + F.col("__k")).alias("id"), "feature_id", "source_id", "path", "value", "cityobject_count", *BOUNDS)
 
 
 def build(spark: SparkSession, path: str, to: str) -> None:

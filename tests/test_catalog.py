@@ -43,3 +43,14 @@ def test_catalog(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(Exception):
         build(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/cat2")
+
+
+def test_large_package(spark, tmp_path):
+    large = feature("a", [[0, 0, 0]], [])
+    large["CityObjects"] |= {f"a{i}": {"type": "BuildingPart"} for i in range(5000)}
+    written(tmp_path / "data/x.jsonl", HEADER, large, feature("b", [[0, 0, 0]], []), feature("c", [[1, 1, 0]], []))
+    build(spark, f"file://{tmp_path}/data", f"file://{tmp_path}/cat")
+    c = Catalog(spark, f"file://{tmp_path}/cat")
+    ids = [r["id"] for r in c.page(None, 6000).collect()]
+    assert len(ids) == len(set(ids)) == 5003
+    assert len(c.page(ids[4096], 6000).collect()) == 5003 - 4097 and c.rows(ids[4090:4110]).count() == 20
