@@ -32,11 +32,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -52,6 +52,62 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores behind those that the columns already have in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def fields(schema) -> str:
+    """A schema as the text that mapInArrow takes."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _give_back() -> None:
+    """Return the memory that this worker has freed to the system: an idle worker lives on beside the next stage's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """An Arrow task function that gives freed memory back to the system at its end."""
+
+    def tidied(given):
+        try:
+            yield from run(given)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for a function of one group; often enough, as groups are small."""
+
+    def tidied(group):
+        try:
+            return run(group)
+        finally:
+            if group.nbytes > 1 << 20:
+                _give_back()
+
+    return tidied
+
+
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

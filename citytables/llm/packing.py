@@ -6,7 +6,8 @@ decreasing length, each into the first sequence with room, which a tournament tr
 sequences' free capacities finds in logarithmic time. No group grows with the data.
 
 A null text is empty and gives the end id alone. Repeated rows are packed as rows of their own;
-ties in length go by id, then by start. An empty table gives an empty result.
+ties in length go by id, then by start. An empty table gives an empty result. Further columns of
+documents are ignored, those of given pieces are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citytables.llm.common import pieces, written
+from citytables.llm.common import fields, free_names, pieces, tidy, tidy_group, written
 from citytables.llm.tokens import BATCH_BYTES, encoder, with_end
 
 CAPACITY = 1024
@@ -64,9 +65,9 @@ def first_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[t
     return out
 
 
-def _cut(path, end_id, capacity):
+def _cut(path, special, end_id, capacity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special)
         for b in pieces(batches, "text", BATCH_BYTES):
             ids, ends = with_end(*enc.encode(b.column("text")), end_id)
             data, begin, rows = ids.astype("<u4").tobytes(), 0, []
@@ -80,18 +81,21 @@ def _cut(path, end_id, capacity):
     return run
 
 
-def token_pieces(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32 (of the ids as little-endian 32-bit), doc_tokens."""
-    return docs.select("doc_id", "text").mapInArrow(_cut(vocabulary, end_id, capacity), PIECES)
+def token_pieces(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, vocabulary: str | None = None, special: bool = True) -> DataFrame:
+    """The pieces of every document: doc_id, start, length, ids_crc32 (of the ids as little-endian 32-bit), doc_tokens.
 
+    special: whether the strings of special tokens in a text stand for those tokens.
+    """
+    return docs.select("doc_id", "text").mapInArrow(tidy(_cut(vocabulary, special, end_id, capacity)), PIECES)
 
-def _packed(capacity):
+
+def _packed(capacity, row, group_of):
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("__row", "ascending")])
+        group = group.combine_chunks().sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), (row, "ascending")])
         placed = first_fit_decreasing(group.column("length").to_pylist(), capacity)
-        base = group.column("__group")[0].as_py() << _LOCAL_BITS
-        names = [c for c in group.column_names if not c.startswith("__")]
-        return group.select(names).append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64())).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+        base = group.column(group_of)[0].as_py() << _LOCAL_BITS
+        own = group.drop_columns([row, group_of])
+        return own.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64())).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
     return run
 
@@ -100,14 +104,14 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = 40
     """piece_rows (doc_id, start, length and more) with sequence_id and offset; no sequence exceeds capacity."""
     stored = written(piece_rows, "pack-pieces")
     groups = max(1, -(-stored.count() // group_pieces))
-    dealt = stored.withColumn("__row", F.monotonically_increasing_id()).withColumn("__group", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(groups)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return dealt.groupBy("__group").applyInArrow(_packed(capacity), f"{kinds}, sequence_id bigint, offset bigint")
+    row, group_of = free_names(stored.columns, "__row", "__group")
+    dealt = stored.withColumn(row, F.monotonically_increasing_id()).withColumn(group_of, F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(groups)))
+    return dealt.groupBy(group_of).applyInArrow(tidy_group(_packed(capacity, row, group_of)), f"{fields(stored.schema)}, sequence_id bigint, offset bigint")
 
 
-def packed_documents(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def packed_documents(docs: DataFrame, end_id: int = 0, capacity: int = CAPACITY, vocabulary: str | None = None, special: bool = True) -> DataFrame:
     """Every document cut and packed."""
-    return pack(token_pieces(docs, end_id, capacity, vocabulary), capacity)
+    return pack(token_pieces(docs, end_id, capacity, vocabulary, special), capacity)
 
 
 def padding(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

@@ -11,7 +11,7 @@ decodes a block by table lookup. A file set is a folder with
 written by Spark, so any store works. A payload is a block of its own: magic, counts, document
 ids with their null marks, lengths, control bytes, data bytes. Nulls: a null text is empty, and a
 null id sorts first. Equal ids are ordered by a hash of their token ids. An empty table gives
-empty files, which read back as no rows.
+empty files, which read back as no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citytables.llm.common import dropped, new_path, pieces, written
+from citytables.llm.common import dropped, new_path, pieces, tidy, written
 from citytables.llm.tokens import BATCH_BYTES, encoder, with_end
 
 MAGIC = b"CTOK1\0\0\0"
@@ -84,15 +84,26 @@ def unpack_block(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(i) for i, z in zip(ids, null, strict=True)], lengths.astype(np.int64), ranks
 
 
-def _tokenised(path, end_id):
+_TOKENS = "doc_id bigint, ids binary, width int, counts binary"
+
+
+def _tokenised(path, special, end_id):
+    """The ids of each text; and, as a last row of a task, how often each id came."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        kind = np.dtype("<u2") if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
+        enc = encoder(path, special)
+        top = max(enc.tokenizer.get_vocab_size(), end_id + 1)
+        kind = np.dtype("<u2") if top <= 1 << 16 else np.dtype("<u4")
+        total = np.zeros(top, dtype=np.int64)
+        names = ["doc_id", "ids", "width", "counts"]
         for b in pieces(batches, "text", BATCH_BYTES):
             ids, ends = with_end(*enc.encode(b.column("text")), end_id)
+            total += np.bincount(ids, minlength=top)
             offsets = np.concatenate([[0], ends * kind.itemsize]).astype(np.int32)
             blob = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind).tobytes())])
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), blob, pa.array([kind.itemsize] * len(ends), pa.int32())], names=["doc_id", "ids", "width"])
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), blob, pa.array([kind.itemsize] * len(ends), pa.int32()), pa.nulls(len(ends), pa.binary())], names=names)
+        if total.any():
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([kind.itemsize], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -107,15 +118,13 @@ def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
+    total: np.ndarray | int = 0
     for b in batches:
-        if b.num_rows:
-            n = np.bincount(_ids_of(b)[0])
-            if len(n) > len(total):
-                n, total = total, n.astype(np.int64)
-            total[: len(n)] += n
-    seen = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
+        for counts in b.column("counts").to_pylist():
+            total = total + np.frombuffer(counts, dtype=np.int64)
+    if isinstance(total, np.ndarray):
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
 
 
 def _blocks(rank_of, block_tokens):
@@ -152,21 +161,27 @@ def _blocks(rank_of, block_tokens):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encode docs (doc_id, text) and write the file set to path, in ascending doc_id order."""
+def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS, special: bool = True) -> None:
+    """Encode docs (doc_id, text) and write the file set to path, in ascending doc_id order.
+
+    special: whether the strings of special tokens in a text stand for those tokens.
+    """
     spark = docs.sparkSession
-    tokens = written(docs.select("doc_id", "text").mapInArrow(_tokenised(vocabulary, end_id), "doc_id bigint, ids binary, width int"), "token-ids")
-    counts = tokens.select("ids", "width").mapInArrow(_counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    encoded = docs.select("doc_id", "text").mapInArrow(tidy(_tokenised(vocabulary, special, end_id)), _TOKENS)
+    stored = written(encoded, "token-ids", compression="zstd")
+    counts = stored.where("counts is not null").select("counts").mapInArrow(_counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     ranked = sorted((-r["n"], r["token"]) for r in counts.collect())  # at most one row for each entry of the vocabulary
     spark.createDataFrame([(i, t) for i, (_, t) in enumerate(ranked)], "rank bigint, token bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max((t for _, t in ranked), default=0) + 1, dtype=np.uint32)
     for i, (_, t) in enumerate(ranked):
         rank[t] = i
     sent = spark.sparkContext.broadcast(rank)
+    tokens = stored.where("counts is null").select("doc_id", "ids", "width")
     tie = F.xxhash64("ids")
     ordered = tokens.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.drop("tie").mapInArrow(_blocks(sent, block_tokens), BLOCKS).write.parquet(f"{path}/blocks")
-    dropped(tokens)
+    ordered.drop("tie").mapInArrow(tidy(_blocks(sent, block_tokens)), BLOCKS).write.parquet(f"{path}/blocks")
+    sent.unpersist()
+    dropped(stored)
 
 
 def _read(token_of, digest):
@@ -193,7 +208,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     sent = spark.sparkContext.broadcast(np.array(ranks, dtype=np.uint32))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     name, kind = ("ids_crc32", "bigint") if digest else ("ids", "binary")
-    rows = blocks.select("part", "before", "payload").mapInArrow(_read(sent, digest), f"part int, doc_id bigint, at bigint, n_tokens bigint, last {kind}")
+    rows = blocks.select("part", "before", "payload").mapInArrow(tidy(_read(sent, digest)), f"part int, doc_id bigint, at bigint, n_tokens bigint, last {kind}")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part of the file set
     starts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     return rows.join(starts, "part").select("doc_id", (F.col("base") + F.col("at")).cast("long").alias("start"), "n_tokens", F.col("last").alias(name))

@@ -1,16 +1,21 @@
 """Byte-level BPE token ids of whole columns, by way of the tokenizers library.
 
-In this vocabulary a space before a character that is no white space always begins a new
-pre-token, so a text is cut there and the parts, most of which come again and again, are
-encoded once per Python worker; of parts that are plain words and marks, each pre-token on its
-own. Caches of two generations bound the memory: when the young one is full it becomes the old
-one, and what is found in the old one moves up.
+The library's own call costs several microseconds a word, most of it outside of the merges. So the
+texts of a batch are cut into pre-tokens in arrays: each code point is a letter, a number, white
+space or something else - the library is asked once which - and the rule of the byte-level
+pre-tokenizer (runs of one kind, a space ahead of a run goes with it, short English endings on their
+own) turns these kinds into cuts. Every different pre-token of a batch is then encoded once, by
+the library's model, many in one call, and what was encoded lately is kept.
+
+The rule holds for byte-level BPE without a normalizer, with no space put ahead. For any other
+vocabulary, and for texts that hold one of its added tokens (such as its end mark), the library
+encodes the whole text by itself. By default the strings of special tokens stand for those tokens, as
+in the library's plain call.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -18,27 +23,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED = 80_000
-CACHED_TOKENS = 250_000
-LONGEST_CACHED = 48
-#: Bytes of text that are encoded together: the more, the fewer parts come again; bounded for memory.
-BATCH_BYTES = 4 << 20
+#: Pre-tokens kept in each of two generations, and the longest that is kept (in characters).
+CACHED = 150_000
+LONGEST_CACHED = 40
+#: Bytes of text that are encoded together: the more, the fewer pre-tokens come again; bounded for memory.
+BATCH_BYTES = 2 << 20
+#: Pre-tokens in one call of the library.
+CALL = 20_000
 
-# a space that is followed by white space or nothing: only then is a cut at every space unsafe
-_UNSAFE = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
-_SAFE_CUT = re.compile(r" (?=\S)")
+#: The endings that the pre-tokenizer cuts off after an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 
-# words of Latin letters, a mark, one line feed: each group is a pre-token of its own, whatever stands around
-_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_SIMPLE = re.compile(rf"( ?[{_L}]+)([.,;:!?]+)?(?:(\n)([{_L}]+)([.,;:!?]+)?)?\Z")
 
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+def _byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on."""
+    shown = np.zeros(256, dtype=bool)
+    for a, z in ((33, 126), (161, 172), (174, 255)):
+        shown[a : z + 1] = True
+    return np.where(shown, np.arange(256), 256 + np.cumsum(~shown) - 1).astype(np.uint16)
 
 
 class Cache:
@@ -47,115 +51,189 @@ class Cache:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.young[key] = found
+    def of(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, keys))
+        if self.old:
+            missed = [i for i, f in enumerate(found) if f is None]
+            again = {}
+            for i, f in zip(missed, map(self.old.get, [keys[i] for i in missed]), strict=True):
+                if f is not None:
+                    found[i] = again[keys[i]] = f
+            self.put(again)
         return found
 
-    def put(self, key: str, ids: bytes) -> None:
-        self.young[key] = ids
+    def put(self, ids: dict[str, bytes]) -> None:
+        self.young.update(ids)
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
 
 
 class Encoder:
-    """Encodes batches of texts; one lives in each Python worker."""
+    """Encodes batches of texts; one lives in each Python worker while a stage needs it."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, special: bool = True):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.parts, self.tokens = Cache(CACHED), Cache(CACHED_TOKENS)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 512):
-            out += [np.asarray(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = not special
+        self.cache = Cache(CACHED)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        pre = said.get("pre_tokenizer") or {}
+        self.by_rule = (
+            said["model"].get("type") == "BPE"
+            and not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
+            and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+            and not any(said["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        )
+        added = [t for t in said.get("added_tokens", []) if special or not t["special"]]
+        self.by_rule &= not any(t["normalized"] or t["single_word"] for t in added)
+        self.added = [t["content"] for t in added]
+        if self.by_rule:
+            self.model = Tokenizer.from_file(path)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # no byte is spelled as white space
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.bytes_of = np.zeros(1 + max(vocabulary.values()), dtype=np.int64)
+            for token, i in vocabulary.items():
+                self.bytes_of[i] = len(token)  # a character for each byte
+            self.letters = _byte_letters()
+            self.kind = np.full(0x110000, UNKNOWN, dtype=np.uint8)
+
+    def _ask_kinds(self, points: np.ndarray) -> None:
+        """Which kind each code point is, as the library's pre-tokenizer treats it."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for p in points.tolist():
+            c = chr(p)
+            self.kind[p] = next((k for k, friend in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(cut(friend + c)) == 1), SPACE)
+
+    def _cuts(self, a: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether a pre-token begins at each code point of a; texts are a[first[i]:last[i]], none empty."""
+        kind = self.kind[a]
+        if (kind == UNKNOWN).any():
+            self._ask_kinds(np.unique(a[kind == UNKNOWN]))
+            kind = self.kind[a]
+        space = kind == SPACE
+        start = np.ones(len(a), dtype=bool)
+        start[1:] = kind[1:] != kind[:-1]
+        start[first] = True
+        # white space: the last of a run goes on its own, or, if it is a plain space, with what follows; a run at the end of a text stays whole
+        ahead = space & ~np.append(space[1:], True)  # the next code point is no white space
+        ahead[last - 1] = False
+        start |= ahead
+        joins = ahead & (a == 32)
+        start[1:] &= ~joins[:-1]
+        # endings
+        at = np.flatnonzero((a == 39) & start)
+        at = at[at + 1 < len(a)]
+        if len(at):
+            room = last[np.searchsorted(first, at, side="right") - 1] - at
+            one = a[at + 1]
+            two = a[np.minimum(at + 2, len(a) - 1)]
+            size = np.zeros(len(at), dtype=np.int64)
+            for e in ENDINGS:
+                hit = (one == ord(e[0])) & (room > len(e))
+                if len(e) == 2:
+                    hit &= two == ord(e[1])
+                size[hit & (size == 0)] = len(e)
+            at, size = at[size > 0], size[size > 0]
+            start[at + 1] = False
+            after = at + 1 + size
+            start[after[after < len(a)]] = True
+        return start
+
+    def _called(self, spelled: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, and where those of each end: spelled holds their bytes, one pre-token after the other."""
+        out, begin = [], 0
+        for i in range(0, len(ends), CALL):
+            own = ends[i : i + CALL]
+            line = np.insert(self.letters[spelled[begin : own[-1]]], own[:-1] - begin, 32)
+            begin = own[-1]
+            out.append(np.asarray(self.model.encode_batch_fast([line.tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, dtype=np.uint32))
+        ids = np.concatenate(out)
+        return ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
+
+    def _ids_of(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all tokens, one after the other, and how many each has."""
+        keys = tokens.to_numpy(zero_copy_only=False).tolist()
+        found = self.cache.of(keys)
+        new = [i for i, f in enumerate(found) if f is None]
+        if new:
+            own = tokens.take(pa.array(new, pa.int64()))
+            offsets = np.frombuffer(own.buffers()[1], dtype=np.int64)[own.offset : own.offset + len(own) + 1]
+            ids, ends = self._called(np.frombuffer(own.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0])
+            flat, ends = ids.tobytes(), (4 * ends).tolist()
+            cut = [flat[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+            for i, b in zip(new, cut, strict=True):
+                found[i] = b
+            self.cache.put({k: b for k, b in zip([keys[i] for i in new], cut, strict=True) if len(k) <= LONGEST_CACHED})
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        return np.frombuffer(b"".join(found), dtype=np.uint32), sizes
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), 64):
+            out += [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
         return out
 
-    def _pre_token(self, token: str) -> bytes:
-        """Ids of one pre-token, straight from the library's model."""
-        ids = self.tokens.get(token)
-        if ids is None:
-            spelled = token.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            self.tokens.put(token, ids)
-        return ids
-
-    def _look_up(self, parts: list[str]) -> list[bytes]:
-        get, put = self.parts.get, self.parts.put
-        found = list(map(self.parts.young.get, parts))
-        hard = []
-        for i, f in enumerate(found):
-            if f is None:
-                p = parts[i]
-                ids = get(p)
-                if ids is not None:
-                    found[i] = ids
-                    continue
-                simple = _SIMPLE.match(p)
-                if simple is None:
-                    hard.append(i)
-                    continue
-                found[i] = ids = b"".join([self._pre_token(t) for t in simple.groups() if t])
-                put(p, ids)
-        if hard:
-            for i, ids in zip(hard, self._encode([parts[i] for i in hard]), strict=True):
-                found[i] = ids
-                if len(parts[i]) <= LONGEST_CACHED:
-                    put(parts[i], ids)
-        return found
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and where each text's ids end. A null is empty."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        unsafe = np.asarray(pc.match_substring_regex(texts, _UNSAFE))
-        if unsafe.any():
-            lists = pc.split_pattern(pc.if_else(pa.array(unsafe), "", texts), " ")
-            cut = [None] * len(texts)
-            for i in np.flatnonzero(unsafe):
-                cut[i] = _SAFE_CUT.split(texts[int(i)].as_py())
-            safe = lists.to_pylist()
-            lists = pa.array([c if c is not None else s for c, s in zip(cut, safe, strict=True)], pa.large_list(pa.large_string()))
-        else:
-            lists = pc.split_pattern(texts, " ")
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        coded = lists.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        parts = coded.dictionary.to_pylist()
-        heads = code[bounds[:-1]]  # the first part of a text has no space before it
-        ids = self._look_up([" " + p for p in parts])
-        head_codes, head_of = np.unique(heads, return_inverse=True)
-        ids += self._look_up([parts[h] for h in head_codes])
-        code[bounds[:-1]] = len(parts) + head_of
-        sizes = np.fromiter((len(b) for b in ids), dtype=np.int64, count=len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), dtype=np.uint32)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        hard = np.ones(len(texts), dtype=bool)
+        if self.by_rule:
+            hard[:] = False
+            for content in self.added:
+                hard |= np.asarray(pc.match_substring(texts, content))
+        if not hard.any():
+            return self._by_rule(texts)
+        ids, ends = self._by_rule(pc.if_else(pa.array(hard), "", texts))
+        whole = self._whole(texts.filter(pa.array(hard)).to_pylist())
+        sizes = np.diff(ends, prepend=0)
+        sizes[hard] = [len(w) for w in whole]
+        at = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), dtype=np.uint32)
+        from_rule = np.repeat(~hard, sizes)
+        out[from_rule] = ids
+        for a, w in zip(at[hard].tolist(), whole, strict=True):
+            out[a : a + len(w)] = w
+        return out, np.cumsum(sizes)
+
+    def _by_rule(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        done = np.zeros(len(texts), dtype=np.int64)
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, dtype=np.uint32), done
+        data = texts.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+        raw = np.frombuffer(data, dtype=np.uint8)
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each code point
+        a = np.frombuffer(data.to_pybytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        some = np.flatnonzero(np.diff(offsets))
+        first = np.searchsorted(lead, offsets[some] - offsets[0])
+        last = np.append(first[1:], len(a))
+        begin = np.flatnonzero(self._cuts(a, first, last))
+        cut = np.append(lead[begin], len(raw))
+        tokens = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(cut.astype(np.int64)), data).dictionary_encode()
+        code = tokens.indices.to_numpy(zero_copy_only=False)
+        pool, sizes = self._ids_of(tokens.dictionary)
         took = sizes[code]
         ends = np.cumsum(took)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int64) + np.repeat(first[code] - (ends - took), took)
-        done = np.concatenate([[0], ends])
-        return pool[at], done[bounds[1:]]
+        at = np.arange(int(ends[-1])) + np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - took), took)
+        of_text = np.searchsorted(begin, np.append(first[1:], len(a)))  # pre-tokens up to the end of each text
+        done[some] = ends[of_text - 1]
+        return pool[at], np.maximum.accumulate(done)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str | None = None, special: bool = True) -> Encoder:
     """The worker's encoder; path: a tokenizer file, by default the public byte-level BPE of 50k entries."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return Encoder(path)
+    return Encoder(path, special)
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

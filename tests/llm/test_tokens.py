@@ -17,7 +17,6 @@ from citytables.llm.packing import first_fit_decreasing, packed_documents, paddi
 from citytables.llm.tokens import encoder
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 TEXTS = ["", None, " ", "  a", "a  b", "a \n b", "a\n b\n\n  c ", "x\t y", "don't we're  ", "  q 　 r", "été 12 345,6!!", "a  b \x1cc", "long " * 3000, "<|endoftext|> x", "字 字字 🙂 🙂"]
 
 
@@ -32,6 +31,31 @@ def test_cut_texts_give_the_same_ids(texts):
     assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [plain(t) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.text(alphabet="'strevmld S1 \u2019\u00a0\u3000\n", max_size=20), min_size=1, max_size=4))
+def test_any_text_gives_the_same_ids(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, ends = encoder().encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [plain(t) for t in texts]
+
+
+def test_special_tokens_by_the_plain_call_or_as_text():
+    text = ["hi <|endoftext|> x", "<|endoftext|>", "x"]
+    assert np.split(*encoder().encode(pa.array(text)))[0].tolist() == [5303, 220, 50256, 2124] == plain(text[0])
+    as_text = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    as_text.encode_special_tokens = True
+    ids, ends = encoder(None, False).encode(pa.array(text))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [as_text.encode(t, add_special_tokens=False).ids for t in text]
+
+
+def test_another_vocabulary_encodes_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    texts = ["Two  words, don't", "", None, "\u00e9t\u00e9 <|endoftext|>"]
+    ids, ends = encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def frame(spark, texts):
     rows = [(7 * i % 101 - 3, t, "x", {"doc_id": 1}) for i, t in enumerate(texts)]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, ids string, part map<string,int>").repartition(3)
