@@ -11,25 +11,28 @@ smallest hash of the id, and of each at most sample_words words (both are parame
 are labelled whole. A text that is null or has no letter gives `und`, score 0 and no spans; a
 text in a script that no learned language uses gets the most frequent language with a low score.
 With one learned language every text in its scripts is in it. Without any labelled document that has
-a word every text is `und`. Repeated rows are rows of their own.
+a word every text is `und`. A letter is what Unicode calls one (marks go with their letters, number signs
+are none). Repeated rows are rows of their own; of languages with equally many letters the more frequent
+one in the sample counts, then the first by name. Further columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citytables.llm.common import pieces
+from citytables.llm.common import fields, free_names, pieces, tidy
 
-WORD = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile("[A-Za-z]+")
 BUCKETS = 1 << 17
 FLOOR = -30.0
 
@@ -69,6 +72,14 @@ def _script_pieces() -> re.Pattern:
 _PIECE = _script_pieces()
 
 
+@lru_cache(1)
+def _word() -> re.Pattern:
+    """A run of Unicode letters and the marks on them, with a letter at least."""
+    kinds = "".join({"L": "L", "M": "M"}.get(unicodedata.category(chr(p))[0], " ") for p in range(sys.maxunicode + 1))
+    ranges = {k: "".join(f"{re.escape(chr(m.start()))}-{re.escape(chr(m.end() - 1))}" for m in re.finditer(f"{k}+", kinds)) for k in "LM"}
+    return re.compile(f"[{ranges['M']}]*[{ranges['L']}][{ranges['L']}{ranges['M']}]*")
+
+
 @lru_cache(1 << 16)
 def _cut(run: str) -> list[str]:
     return _PIECE.findall(run)
@@ -76,7 +87,7 @@ def _cut(run: str) -> list[str]:
 
 def letter_runs(text: str) -> list[str]:
     """The words of a text: its runs of letters, cut where the script changes and after each 40 letters."""
-    found = WORD.findall(text)
+    found = (_PLAIN if text.isascii() else _word()).findall(text)
     if max(map(len, found), default=0) <= _LONGEST and text.isascii():
         return found
     out: list[str] = []
@@ -151,15 +162,18 @@ class Model:
         s[~allowed.any(axis=1)] = 0.0
         return np.maximum(s, FLOOR), allowed
 
-    def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Code of each word; by code the scores, and whether any language uses the word's script."""
-        code, unique = pd.factorize(words)
-        scores, allowed = self._scored(unique.tolist())
-        return code, scores, allowed.any(axis=1)
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        scores, allowed = self._scored(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return coded.indices.to_numpy(zero_copy_only=False), scores, allowed.any(axis=1)
+
 
+def fit(rows: list[tuple[str, list[str]]], power: float = 0.75) -> Model | None:
+    """A model from (language, words) rows; languages without a word aren't learned.
 
-def fit(rows: list[tuple[str, list[str]]]) -> Model | None:
-    """A model from (language, words) rows; languages without a word aren't learned."""
+    A word that comes n times counts n ** power times, so that a few words don't make up the whole model.
+    """
     rows = [r for r in rows if r[1]]
     languages = sorted({r[0] for r in rows})
     if not languages:
@@ -177,7 +191,7 @@ def fit(rows: list[tuple[str, list[str]]]) -> Model | None:
             continue
         g = Grams(list(words))
         n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
-        weight = np.repeat(np.minimum(n, 50), np.diff(np.append(g.start, g.buckets.shape[1])))
+        weight = np.repeat(n**power, np.diff(np.append(g.start, g.buckets.shape[1])))
         for row in g.buckets:
             counts[:, i] += np.bincount(row[row >= 0], weights=weight[row >= 0], minlength=BUCKETS)
         seen[i] = np.bincount(g.script, weights=n, minlength=OTHER + 1)
@@ -187,17 +201,20 @@ def fit(rows: list[tuple[str, list[str]]]) -> Model | None:
     return Model(languages, log_p, prior / prior.sum(), share >= 0.01)
 
 
-def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int = 32) -> np.ndarray:
+def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int | None = None) -> np.ndarray:
     """The best label of each word: sum of scores less penalty for each change, for each text on its own.
 
     scores [words, labels]; text i has words bounds[i] to bounds[i + 1]. All texts advance together
-    in blocks of words: a block's best scores from each entry to each exit label are found in
-    lockstep over all blocks, then the blocks of each text are joined, then the paths are read back.
+    in blocks of words: first a block's best score from each entry to each exit label, in lockstep over all
+    blocks; then the blocks of each text are joined, which gives each block's entry; from there the
+    best way through each block is found again, with its path. Blocks are longer the more labels there
+    are, so that memory is that of the scores, twice or so.
     """
     n, k = scores.shape
     labels = np.zeros(n, dtype=np.int16)
     if not n:
         return labels
+    block = block or max(32, k * k // 2)
     sizes = np.diff(bounds)
     n_blocks = -(-sizes // block)
     text_of = np.repeat(np.arange(len(sizes)), n_blocks)
@@ -205,22 +222,16 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int =
     start = bounds[text_of] + nth * block
     length = np.minimum(block, bounds[text_of + 1] - start)
     b = len(start)
+    longest = int(length.max())
     # best[block, entry, exit]; entry is the label ahead of the block
     best = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, -np.inf), (b, k, k)).copy()
-    came = np.zeros((block, b, k, k), dtype=np.int16)
-    own = np.arange(k)[None, None, :]
-    for t in range(block):
+    for t in range(longest):
         on = np.flatnonzero(length > t)
-        if not len(on):
-            break
         stay = best[on]
-        change = stay.max(axis=2, keepdims=True) - penalty
-        came[t, on] = np.where(stay >= change, own, stay.argmax(axis=2)[:, :, None])
-        best[on] = np.maximum(stay, change) + scores[start[on] + t][:, None, :]
-    entry = np.zeros(b, dtype=np.int64)
+        best[on] = np.maximum(stay, stay.max(axis=2, keepdims=True) - penalty) + scores[start[on] + t][:, None, :]
+    # forward over the blocks of each text, and back
     first_of = np.concatenate([[0], np.cumsum(n_blocks)])[:-1]
     some = np.flatnonzero(n_blocks)
-    # forward over the blocks of each text
     value = np.zeros((len(sizes), k))
     via = np.zeros((b, k), dtype=np.int64)
     for j in range(int(n_blocks.max())):
@@ -229,24 +240,32 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, block: int =
         step = value[on][:, :, None] + best[at]
         via[at] = step.argmax(axis=1)
         value[on] = step.max(axis=1)
-    leave = np.zeros(b, dtype=np.int64)
+    del best
+    entry, state = np.zeros(b, dtype=np.int64), np.zeros(b, dtype=np.int64)
     now = value.argmax(axis=1)
     for j in range(int(n_blocks.max()) - 1, -1, -1):
         on = some[n_blocks[some] > j]
         at = first_of[on] + j
-        leave[at] = now[on]
-        entry[at] = via[at, now[on]]
-        now[on] = entry[at]
-    state = leave.copy()
-    for t in range(block - 1, -1, -1):
+        state[at] = now[on]
+        entry[at] = now[on] = via[at, now[on]]
+    # through each block once more, from its own entry
+    own = np.full((b, k), -np.inf)
+    own[np.arange(b), entry] = 0.0
+    came = np.zeros((longest, b, k), dtype=np.int16)
+    for t in range(longest):
+        on = np.flatnonzero(length > t)
+        stay = own[on]
+        change = stay.max(axis=1, keepdims=True) - penalty
+        came[t, on] = np.where(stay >= change, np.arange(k)[None, :], stay.argmax(axis=1)[:, None])
+        own[on] = np.maximum(stay, change) + scores[start[on] + t]
+    for t in range(longest - 1, -1, -1):
         on = np.flatnonzero(length > t)
-        if len(on):
-            labels[start[on] + t] = state[on]
-            state[on] = came[t, on, entry[on], state[on]]
+        labels[start[on] + t] = state[on]
+        state[on] = came[t, on, state[on]]
     return labels
 
 
-def _labelled(sent, penalty, carry=()):
+def _labelled(sent, penalty, carry=(), names=()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = sent.value
         for b in pieces(batches, "text", 1 << 20):
@@ -257,7 +276,7 @@ def _labelled(sent, penalty, carry=()):
             lang, score, letters_in = ["und"] * n, [0.0] * n, [sum(map(len, f)) for f in found] if carry else []
             spans: list[list] = [[] for _ in range(n)]
             if model is not None and bounds[-1]:
-                words = np.array([w for f in found for w in f], dtype=object)
+                words = [w for f in found for w in f]
                 code, by_code, of_script = model.of_words(words)
                 s = by_code[code].astype(np.float64)
                 labels = viterbi(s, bounds, penalty)
@@ -280,7 +299,7 @@ def _labelled(sent, penalty, carry=()):
                     lang[i] = model.languages[pick[i]]
                     score[i] = float(own[i, pick[i]] / total[i] * max(0.01, sure[i] / total[i]))
             if carry:
-                yield pa.record_batch([*(b.column(c) for c in carry), pa.array(lang), pa.array(score, pa.float64()), pa.array(letters_in, pa.int64())], names=[*carry, "__lang", "__score", "__letters"])
+                yield pa.record_batch([*(b.column(c) for c in carry), pa.array(lang), pa.array(score, pa.float64()), pa.array(letters_in, pa.int64())], names=[*carry, *names])
                 continue
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
             rows = [[dict(zip(("lang", "first_word", "end_word"), x, strict=True)) for x in own_spans] for own_spans in spans]
@@ -299,7 +318,7 @@ def train(labelled: DataFrame, sample_docs: int = 400, sample_words: int = 2000)
     # repeated ids leave too few, a greater bound
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     draw = F.xxhash64("doc_id")
-    words = F.slice(F.split(F.substring("text", 1, 12 * sample_words), r"\s+"), 1, sample_words)
+    words = F.slice(F.split("text", r"\s+", sample_words + 1), 1, sample_words)
     taken: dict[str, list] = {}
     wanted = {lang: -(-(2 * sample_docs << 64) // n) for lang, n in sizes.items()}  # of the 2^64 hashes
     while wanted:
@@ -318,15 +337,17 @@ def train(labelled: DataFrame, sample_docs: int = 400, sample_words: int = 2000)
     return fit(out)
 
 
-def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, penalty: float = 6.0, carry: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score (share of the letters in that language) and spans (lang, first_word, end_word); no shuffle.
 
-    With carry, those columns (text among them) with __lang, __score and __letters (how many there are) instead.
+    With carry, those columns (text among them) and, under three names that they don't have, the language, the
+    score and how many letters there are instead.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     if carry:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-        return docs.select(*carry).mapInArrow(_labelled(sent, penalty, tuple(carry)), f"{kinds}, __lang string, __score double, __letters bigint")
+        names = names or free_names(carry, "lang_pred", "score", "letters")
+        schema = f"{fields(docs.select(*carry).schema)}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` bigint"
+        return docs.select(*carry).mapInArrow(tidy(_labelled(sent, penalty, tuple(carry), tuple(names))), schema)
     return docs.select("doc_id", "text").mapInArrow(
-        _labelled(sent, penalty), "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:int,end_word:int>>"
+        tidy(_labelled(sent, penalty)), "doc_id bigint, lang_pred string, score double, spans array<struct<lang:string,first_word:int,end_word:int>>"
     )
