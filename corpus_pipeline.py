@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citytables.llm.common import new_path, table
+from citytables.llm.common import free_names, new_path, table
 from citytables.llm.decontam import decontaminate
 from citytables.llm.language import identify, train
 from citytables.llm.neardup import keep_one
@@ -26,16 +26,17 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or of no one language, go.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = LEAST_LANGUAGE_SCORE) -> DataFrame:
+    """Documents whose text has a language; those without a letter, or with less than least_score of it, go.
 
     Without labels to learn from no language can be told, and all documents with a letter stay.
     """
     model = train(docs.select("doc_id", "text", "lang"))
-    kept = identify(docs, model, carry=docs.columns)
+    lang, score, letters = free_names(docs.columns, "lang_pred", "score", "letters")
+    kept = identify(docs, model, carry=docs.columns, names=[lang, score, letters])
     if model is None:
-        return kept.where("__letters > 0").select(*docs.columns)
-    return kept.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+        return kept.where(F.col(letters) > 0).select(*docs.columns)
+    return kept.where((F.col(lang) != "und") & (F.col(score) >= least_score)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
