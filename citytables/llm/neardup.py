@@ -21,7 +21,9 @@ as give a pair at the threshold 0.9995; with 12 x 12 tables of 3 + 3 hashes that
 4. Components by alternating hooking to the least neighbour and shortening, as joins.
 
 Null texts and texts without words have empty sets and no links; with fewer words than a shingle the
-whole sequence is the set's one element. Repeated rows of one id count as one document.
+whole sequence is the set's one element. Repeated rows of one id count as one document. A document
+without an id is linked like any other; its component is the least id there is in it, null if it has none.
+Further columns are ignored, or kept by keep_one, whatever their names. Ties don't matter: components are sets.
 Shingles are compared by 64-bit fingerprints of their words. An empty table gives an empty result.
 """
 
@@ -31,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citytables.llm.common import dropped, lower_ascii, pieces, written
+from citytables.llm.common import dropped, free_names, lower_ascii, pieces, tidy, tidy_group, written
 from citytables.llm.substring import Words, gram_hashes, mixed
 
 ROWS = 12
 PER_HALF = 3
 #: A pair at the threshold becomes a candidate with this probability at least.
 RECALL = 0.9995
+#: The low bits of a key are the number of its table.
+TABLE_BITS = 12
 
 
 def meeting(similarity: float, rows: int, per_half: int = PER_HALF) -> float:
@@ -151,6 +155,8 @@ def _half_rows(rows):
 
 def _table_keys(rows):
     """One row for each table a class is in whose half keys other classes have too."""
+    if rows * rows > 1 << TABLE_BITS:
+        raise ValueError("too many tables")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,9 +167,9 @@ def _table_keys(rows):
                 places = b.column("shared")
                 shared[np.repeat(np.arange(b.num_rows), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = True
                 of, left, right = np.nonzero(shared[:, :rows, None] & shared[:, None, rows:])
-                key = mixed(h[of, left] ^ mixed(h[of, rows + right] + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-                table = pa.array((left * rows + right).astype(np.int32))
-                yield pa.record_batch([pa.array(key), table, b.column("id").take(pa.array(of, pa.int64()))], names=["key", "tab", "id"])
+                key = mixed(h[of, left] ^ mixed(h[of, rows + right] + np.uint64(0x9E3779B97F4A7C15)))
+                key = ((key >> np.uint64(TABLE_BITS)) << np.uint64(TABLE_BITS)) | (left * rows + right).astype(np.uint64)
+                yield pa.record_batch([pa.array(key.view(np.int64)), b.column("id").take(pa.array(of, pa.int64()))], names=["key", "id"])
 
     return run
 
@@ -195,7 +201,7 @@ def _searched(percent, rows):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
-        ids, side, tab = group.column("id").to_pylist(), group.column("side").to_numpy(), int(group.column("tab")[0].as_py())
+        ids, side, tab = group.column("id").to_pylist(), group.column("side").to_numpy(), group.column("key")[0].as_py() & ((1 << TABLE_BITS) - 1)
         n = len(ids)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()]
         halves = np.frombuffer(b"".join(group.column("halves").to_pylist()), dtype=np.uint64).reshape(n, 2 * rows)
@@ -270,7 +276,7 @@ def near_duplicates(
     """
     rows = rows or rows_for(percent, per_half)
     docs = docs.select("doc_id", "text")
-    signed = written(docs.mapInArrow(_signed(size, rows, per_half), SIGNED), "signatures")
+    signed = written(docs.mapInArrow(tidy(_signed(size, rows, per_half)), SIGNED), "signatures")
     classes = written(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves")), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -278,7 +284,8 @@ def near_duplicates(
         wanted = classes.join(ids.select(F.col("id").alias("cid")).distinct(), "cid")
         if wanted.count() <= broadcast_rows:
             wanted = F.broadcast(wanted)
-        found = docs.join(wanted, "doc_id").select("cid", "halves", "text").mapInArrow(_fetched(size), "id bigint, halves binary, shingles binary")
+        found = docs.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "halves", "text")
+        found = found.mapInArrow(tidy(_fetched(size)), "id bigint, halves binary, shingles binary")
         return written(found.dropDuplicates(["id"]), "sets")
 
     own = classes.select(F.col("cid").alias("id"), "halves")
@@ -286,29 +293,39 @@ def near_duplicates(
     common = halves.groupBy("half", "place").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shared = halves.join(common, ["half", "place"]).groupBy("id").agg(F.collect_set("place").alias("shared"))
     several = written(own.join(shared, "id"), "shared-halves")
-    keys = several.mapInArrow(_table_keys(rows), "key bigint, tab int, id bigint")
-    buckets = keys.groupBy("key", "tab").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    found = written(keys.join(buckets, ["key", "tab"]), "buckets")
-    pairs = written(found.where("id <> hub").select("id", "hub").distinct(), "pairs")
+    keys = several.mapInArrow(tidy(_table_keys(rows)), "key bigint, id bigint")
+    # the members of a bucket pass in order, so its least is known from the first on: one shuffle, nothing held
+    by_key = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = written(keys.withColumn("hub", F.first("id").over(by_key)).where("id <> hub"), "buckets")
+    pairs = written(found.select("id", "hub").distinct(), "pairs")
     x = sets_of(pairs.select("id").union(pairs.select("hub")))
     y = x.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    links = written(pairs.join(x.select("id", "shingles"), "id").join(y, "hub").mapInArrow(_checked(percent), "a bigint, b bigint"), "links")
+    links = written(pairs.join(x.select("id", "shingles"), "id").join(y, "hub").mapInArrow(tidy(_checked(percent)), "a bigint, b bigint"), "links")
     comp = components(links)
 
-    labelled = found.join(comp, "id", "left").select("key", "tab", "id", "n", F.coalesce("comp", "id").alias("comp")).where("n > 2")
-    open_ones = labelled.groupBy("key", "tab").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members")).where("lo < hi")
+    # buckets that hold two components, of three members at least: the pairs without the hub are still open
+    of_hub = comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
+    apart = pairs.join(comp, "id", "left").join(of_hub, "hub", "left").where(F.coalesce("comp", "id") != F.coalesce("hub_comp", "hub")).select("id", "hub")
+    apart = written(apart, "apart")
+    some = found.join(F.broadcast(apart) if apart.count() <= broadcast_rows else apart, ["id", "hub"], "left_semi").select("key").distinct()
+    inside = written(found.join(some, "key"), "open-buckets")
+    dropped(found)
+    members = F.bit_xor(F.xxhash64("id")).alias("members")
+    open_ones = inside.groupBy("key").agg(F.first("hub").alias("hub"), (F.count("*") + 1).alias("n"), members).where("n > 2")
     # of buckets of the same members only that of the first table: the first in which their pairs meet is never another
-    rest = open_ones.groupBy("members", "n", "lo", "hi").agg(F.min(F.struct("tab", "key")).alias("one")).select("one.*", "n").select("key", "tab", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    left = labelled.drop("n").join(rest, ["key", "tab"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    table = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    rest = open_ones.groupBy("members", "n", "hub").agg(F.min(F.struct(table.alias("t"), "key")).alias("one")).select("one.key", "hub", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rest = written(rest, "rest")
+    left = inside.drop("hub").join(rest.drop("hub"), "key").unionByName(rest.select("key", F.col("hub").alias("id"), "blocks"))
+    left = left.join(comp, "id", "left").select("key", "id", "blocks", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
     # a member of block i goes to the tasks of (i, j) for all j; a task of one block compares all its members
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "tab", "id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "key", "id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
         F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
-    more = written(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(_searched(percent, rows), "a bigint, b bigint"), "links")
-    dropped(several)
-    dropped(found)
-    dropped(x)
+    more = written(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(tidy_group(_searched(percent, rows)), "a bigint, b bigint"), "links")
+    for done in (several, pairs, apart, inside, rest, x):
+        dropped(done)
     if more.limit(1).count():
         comp = components(links.unionByName(more))
 
@@ -336,8 +353,10 @@ def _checked(percent):
 def keep_one(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """docs, all columns, with one document of each component: that of the least id.
 
-    Of repeated rows of a kept id all stay, as they count as one document.
+    Of repeated rows of a kept id all stay, as they count as one document. Rows without an id can't be told
+    apart, so they all stay.
     """
-    gone = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    (name,) = free_names(docs.columns, "gone")
+    gone = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
     small = gone.count() <= broadcast_rows
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone[name], "left_anti")
