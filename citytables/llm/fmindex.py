@@ -1,6 +1,7 @@
 """FM-index over whole numbers, in numpy: wavelet matrix with packed ranks, sampled suffix positions.
 
-All searches take many patterns at once; each step of a backward search is a few array operations.
+All searches take many patterns or texts at once; each step of a backward search is a few array operations.
+No match crosses a separator.
 """
 
 from __future__ import annotations
@@ -8,12 +9,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions of the suffixes in order, by prefix doubling over those not yet told apart."""
+def suffix_array(text: np.ndarray, separators: int = -1) -> np.ndarray:
+    """Positions of the suffixes in order, by prefix doubling over those not yet told apart.
+
+    Values up to separators are ordered by their place, so no suffix is compared beyond one.
+    """
     n = len(text)
     order = np.argsort(text, kind="stable")
     first = text[order]
-    new = np.concatenate([[True], first[1:] != first[:-1]])
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (first[1:] <= separators)])
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is its first place
     rank = np.empty(n, dtype=np.int64)
     rank[order] = start
@@ -90,22 +94,25 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of values 1 .. top; 0 may separate its parts."""
+    """Index of a text of values 1 .. top; 0 may separate its parts. longest: that of matching statistics, if wanted."""
 
-    def __init__(self, text: np.ndarray, top: int | None = None, sample: int = 8):
+    def __init__(self, text: np.ndarray, top: int | None = None, sample: int = 8, longest: int = 0):
         text = np.append(np.asarray(text, dtype=np.int64) + 1, 0)  # 0 ends the text, 1 separates
         self.top = int(text.max()) if top is None else top + 1
-        order = suffix_array(text)
+        order = suffix_array(text, separators=1)
         bwt = text[order - 1]
         counts = np.bincount(text, minlength=self.top + 1)
         self.before = np.concatenate([[0], np.cumsum(counts)])[: self.top + 1]
         self.tree = WaveletMatrix(bwt, self.top)
         symbols = np.arange(self.top + 1)
         self.base = self.tree.down(symbols, np.zeros(self.top + 1, dtype=np.int64))
-        sampled = order % sample == 0
+        sampled = (order % sample == 0) | (bwt <= 1)  # with the places behind separators, so that locate never steps over one
         self.marks = Bits(sampled)
         self.samples = order[sampled].astype(np.int64)
         self.n = len(text)
+        self.longest = longest
+        if longest:
+            self._intervals(text, order)
 
     def _rank(self, symbols: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self.tree.down(symbols, i) - self.base[symbols]
@@ -128,28 +135,71 @@ class FMIndex:
             live = live[lo[live] < hi[live]]
         return lo, np.maximum(lo, hi)
 
-    def matching_statistics(self, queries: np.ndarray, longest: int) -> np.ndarray:
-        """For the query ending at each place, the length of its longest suffix that occurs, up to longest.
-
-        queries: values as in the text, 0 between documents (no match crosses it).
-        """
-        m = len(queries)
-        found = np.zeros(m, dtype=np.int64)
-        lo, hi = np.zeros(m, dtype=np.int64), np.full(m, self.n, dtype=np.int64)
-        live = np.arange(m)
-        for j in range(longest):
-            live = live[live - j >= 0]
-            c = queries[live - j]
-            live = live[(c > 0) & (c < self.top)]
+    def _intervals(self, text: np.ndarray, order: np.ndarray) -> None:
+        """What neighbouring rows have in common, up to longest, and the rows alike for so long."""
+        common = np.zeros(self.n, dtype=np.int64)
+        live = np.arange(1, self.n)
+        for j in range(self.longest):
+            x = text[np.minimum(order[live - 1] + j, self.n - 1)]
+            live = live[(x > 1) & (x == text[np.minimum(order[live] + j, self.n - 1)])]
             if not len(live):
                 break
-            a, z = self.extend(queries[live - j], lo[live], hi[live])
-            on = a < z
-            live = live[on]
-            lo[live], hi[live] = a[on], z[on]
-            found[live] = j + 1
-        self.last_rows = (lo, hi)
-        return found
+            common[live] = j + 1
+        begin = np.flatnonzero(common < self.longest)
+        nth = np.searchsorted(begin, np.arange(self.n), side="right")
+        self.common = common.astype(np.int32)
+        self.first_row, self.end_row = begin[nth - 1].astype(np.int32), np.append(begin, self.n)[nth].astype(np.int32)
+
+    def _widened(self, lo, hi, size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The smallest wider interval of each (of a shorter match), with the length of its match."""
+        edge = np.append(self.common, 0)
+        size = np.where(size > 0, np.maximum(edge[lo], edge[hi]), 0)
+        lo, hi = lo.copy(), hi.copy()
+        for d in np.unique(size).tolist():
+            on = np.flatnonzero(size == d)
+            begin = np.flatnonzero(self.common < d) if d else np.zeros(1, dtype=np.int64)
+            nth = np.searchsorted(begin, lo[on], side="right")
+            lo[on], hi[on] = begin[nth - 1], np.append(begin, self.n)[nth]
+        return lo, hi, size
+
+    def matching_statistics(self, queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of the streamed texts queries[starts[i] : starts[i] + sizes[i]] the length of the longest match
+        that begins there, up to the index's longest, and the rows lo .. hi of the index where it is.
+
+        Values as in the text; 0, and values that the text lacks, match nothing. Each text is read from its end, all in
+        lockstep: a match grows by one backward step; where it can't, it loses words at its right end
+        until it can.
+        """
+        size, lo, hi = (np.zeros(len(queries), dtype=np.int64) for _ in range(3))
+        n = len(starts)
+        now, at_lo, at_hi = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.full(n, self.n, dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        longest_first = sizes[order]
+        for t in range(int(sizes.max(initial=0))):
+            own = order[: np.searchsorted(-longest_first, -t, side="left")]  # texts of more than t words
+            place = starts[own] + sizes[own] - 1 - t
+            c = queries[place]
+            known = (c > 0) & (c < self.top)
+            no = own[~known]
+            now[no], at_lo[no], at_hi[no] = 0, 0, self.n
+            todo, c = own[known], c[known]
+            while len(todo):
+                a, z = self.extend(c, at_lo[todo], at_hi[todo])
+                good = a < z
+                hit = todo[good]
+                at_lo[hit], at_hi[hit], now[hit] = a[good], z[good], now[hit] + 1
+                todo, c = todo[~good], c[~good]
+                none = now[todo] == 0
+                at_lo[todo[none]], at_hi[todo[none]] = 0, self.n
+                todo, c = todo[~none], c[~none]
+                if len(todo):
+                    at_lo[todo], at_hi[todo], now[todo] = self._widened(at_lo[todo], at_hi[todo], now[todo])
+            over = own[now[own] >= self.longest]
+            now[over] = self.longest
+            row = at_lo[over]
+            at_lo[over], at_hi[over] = self.first_row[row], self.end_row[row]
+            size[place], lo[place], hi[place] = now[own], at_lo[own], at_hi[own]
+        return size, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of rows, by steps back to the nearest sampled position."""

@@ -4,28 +4,33 @@ A window is `size` consecutive words of one document. A window whose words also
 (smaller id, or earlier in the same document) is a repeat, and the words it covers are removed;
 windows are judged on the input, not on what is left.
 
-1. Texts that are equal as a whole are told apart by their hash alone: all but the one with the
-   smallest id are repeats from end to end.
-2. Every window is filed under an anchor, the least hashed gram of `gram` words in it. Equal
-   windows have equal anchors, so an anchor that stands in one place only holds no repeat; counts
-   of anchors (summed on the map side) leave the few that can.
-3. The words around such anchors go to shards by the anchor's hash; segments that are equal
-   travel once. A shard builds a compressed FM-index of its segments, streams the windows of the
-   segments through it by backward search over the wavelet tree (matching statistics of at least
-   `size`), and locates the earliest occurrence of each.
+1. Texts that are equal as a whole are told apart by their hash alone (128 bits): all but the one
+   with the smallest id are repeats from end to end.
+2. Every document is cut into segments, runs of windows with one anchor: the least hashed gram of `gram`
+   words in a window. Equal windows have equal anchors, so all that a window could match lies in the
+   segments of its anchor, and an anchor that stands in one place only can be left out.
+3. Segments go to shards by the anchor's hash; equal ones travel once. A shard builds a compressed
+   FM-index of its segments, then streams them as documents against it: backward search over the
+   wavelet tree gives the matching statistics of every place, and where they reach `size`
+   the interval of rows; an interval of several rows, or of a segment that stands for several places, is
+   a repeat, and its earliest occurrence is located by the sampled suffix positions.
 4. Repeats go back to their documents as starts of windows.
 
-A hot anchor (over hot_segments unlike segments) is dealt out window by window under the hash of
-the whole window, so no shard grows with one passage. Words are compared by 64-bit fingerprints.
+An anchor of over hot_segments unlike segments is dealt out window by window under the hash of
+the whole window, so no shard grows with one passage. Anchors and segments of over hot_rows places are few
+(rows / hot_rows at most); what is joined to those is broadcast, so that no task holds all places of one.
+Words are compared by 64-bit fingerprints, segments and texts by 128 bits.
 
 Null or empty texts have no words. Repeated rows (same id and text) count as one document, so
 none removes the other; rows of one id with different texts are ordered by the text's hash. A
-null id sorts first. An empty table gives an empty result.
+null id sorts first. An empty table gives an empty result. Further columns are ignored or kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citytables.llm.common import dropped, pieces, written
+from citytables.llm.common import dropped, fields, free_names, pieces, tidy, tidy_group, written
 from citytables.llm.fmindex import FMIndex
 
 SIZE = 20
@@ -43,6 +48,8 @@ GRAM = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 _R = np.uint64(0xD1B54A32D192ED03)  # odd, so it has an inverse modulo 2**64
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
+_S = np.uint64(0xA0761D6478BD642F)
+_S_INVERSE = np.uint64(pow(int(_S), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -59,7 +66,7 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _M)
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
@@ -92,45 +99,56 @@ def gram_hashes(prints: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def anchors(prints: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one document with one anchor: the anchor's hash, first window, number of windows."""
-    n = len(prints) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(prints: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text with one anchor: the anchor's hash, text, first word, number of windows.
+
+    Text i has the words bounds[i] to bounds[i + 1].
+    """
+    n = max(0, len(prints) - size + 1)
+    own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(own[:n] == own[size - 1 :]) if n else np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at, at
     g = gram_hashes(prints, gram)
-    place = np.arange(n) + sliding_window_view(g, size - gram + 1).argmin(axis=1)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return g[place[first]], first, np.diff(np.append(first, n))
+    place = (np.arange(n) + sliding_window_view(g, size - gram + 1).argmin(axis=1))[at]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
+    return g[place[first]], own[at[first]], at[first], np.diff(np.append(first, len(at)))
+
 
+class Stretches:
+    """Hashes of stretches of fingerprints, 128 bits in two parts."""
 
-def stretch_hashes(prints: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of the fingerprints in each stretch, alike for equal stretches."""
-    ahead = np.concatenate([[np.uint64(0)], np.cumsum(prints * _powers(_R, len(prints)), dtype=np.uint64)])
-    back = _powers(_R_INVERSE, max(1, len(prints)))
-    return mixed((ahead[start + length] - ahead[start]) * back[start] + length.astype(np.uint64) * _M)
+    def __init__(self, prints: np.ndarray):
+        self.parts = []
+        for base, other in ((_R, _R_INVERSE), (_S, _S_INVERSE)):
+            ahead = np.concatenate([[np.uint64(0)], np.cumsum(prints * _powers(base, len(prints)), dtype=np.uint64)])
+            self.parts.append((ahead, _powers(other, max(1, len(prints)))))
 
+    def of(self, start: np.ndarray, length: np.ndarray) -> list[pa.Array]:
+        """Alike for equal stretches; each has a word at least."""
+        return [pa.array(mixed((ahead[start + length] - ahead[start]) * back[start] + length.astype(np.uint64) * _M).view(np.int64)) for ahead, back in self.parts]
 
-_ANCHORS = "anchor bigint, content bigint, doc_id bigint, th bigint, first int, n int"
+
+_ANCHORS = "anchor bigint, content bigint, also bigint, doc_id bigint, th bigint, first int, n int"
 
 
 def _anchored(size, gram):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
             words = Words(b.column("text").to_pylist())
-            found = [anchors(words.prints[a:z], size, gram) for a, z in zip(words.bounds, words.bounds[1:], strict=False)]
-            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            anchor, first, n = (np.concatenate([f[i] for f in found]) for i in range(3))
-            content = stretch_hashes(words.prints, words.bounds[row] + first, n + size - 1) if len(row) else np.zeros(0, np.uint64)
+            anchor, row, start, n = anchors(words.prints, words.bounds, size, gram)
+            content, also = Stretches(words.prints).of(start, n + size - 1)
             take = pa.array(row, pa.int64())
+            first = (start - words.bounds[row]).astype(np.int32)
             yield pa.record_batch(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), b.column("doc_id").take(take), b.column("th").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["anchor", "content", "doc_id", "th", "first", "n"],
+                [pa.array(anchor.view(np.int64)), content, also, b.column("doc_id").take(take), b.column("th").take(take), pa.array(first), pa.array(n.astype(np.int32))],
+                names=["anchor", "content", "also", "doc_id", "th", "first", "n"],
             )
 
     return run
 
 
-SEGMENTS = "hot boolean, parent bigint, shard_key bigint, content bigint, words binary, many boolean, doc_id bigint, th bigint, first int"
+SEGMENTS = "hot boolean, parent bigint, parent_also bigint, shard_key bigint, content bigint, also bigint, words binary, many boolean, doc_id bigint, th bigint, first int"
 
 
 def _binary(prints: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -149,21 +167,22 @@ def _cut_out(size):
             runs = b.column("runs")
             row = np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
             flat = runs.flatten()
-            first, n, anchor, content, many, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n", "anchor", "content", "many", "hot"))
+            first, n, anchor, content, also, many, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n", "anchor", "content", "also", "many", "hot"))
             times = np.where(hot, n, 1)
             pick = np.repeat(np.arange(len(row)), times)
             step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
             begin = first[pick] + step
             start = words.bounds[row[pick]] + begin
             length = np.where(hot[pick], size, n[pick] + size - 1).astype(np.int64)
-            own = stretch_hashes(words.prints, start, length).view(np.int64) if len(pick) else np.zeros(0, np.int64)
+            one, two = (x.to_numpy() for x in Stretches(words.prints).of(start, length))
             take = pa.array(row[pick], pa.int64())
+            is_hot = hot[pick]
             yield pa.record_batch(
                 [
-                    pa.array(hot[pick]), pa.array(content[pick]), pa.array(np.where(hot[pick], own, anchor[pick])), pa.array(np.where(hot[pick], own, content[pick])), _binary(words.prints, start, length),
-                    pa.array(many[pick]), b.column("doc_id").take(take), b.column("th").take(take), pa.array(begin.astype(np.int32)),
+                    pa.array(is_hot), pa.array(content[pick]), pa.array(also[pick]), pa.array(np.where(is_hot, one, anchor[pick])), pa.array(np.where(is_hot, one, content[pick])), pa.array(np.where(is_hot, two, also[pick])),
+                    _binary(words.prints, start, length), pa.array(many[pick]), b.column("doc_id").take(take), b.column("th").take(take), pa.array(begin.astype(np.int32)),
                 ],
-                names=["hot", "parent", "shard_key", "content", "words", "many", "doc_id", "th", "first"],
+                names=["hot", "parent", "parent_also", "shard_key", "content", "also", "words", "many", "doc_id", "th", "first"],
             )
 
     return run
@@ -172,7 +191,9 @@ def _cut_out(size):
 _EARLIEST = pa.list_(pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32())]))
 
 
-def _shard_searched(size):
+def _shard_searched(size, streamed=4096):
+    """Index a shard's segments and stream them against the index, streamed of them at a time."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         blobs = group.column("words").to_pylist()
@@ -185,74 +206,105 @@ def _shard_searched(size):
         inside = np.ones(total, dtype=bool)
         inside[start + n_words] = False
         text[inside] = code + 1
-        index = FMIndex(text, len(unique))
-        # windows of the streamed segments: a matching statistic of size at the window's last word
-        segment = np.repeat(np.arange(len(blobs)), n_words - size + 1)
-        within = np.arange(len(segment)) - np.repeat(np.cumsum(n_words - size + 1) - (n_words - size + 1), n_words - size + 1)
-        begin = start[segment] + within
-        lo, hi = index.search(sliding_window_view(text, size)[begin])
-        many = group.column("many").to_numpy()[segment]  # the segment stands for several places
-        often = np.flatnonzero((hi - lo > 1) | many)
-        if not len(often):
-            return pa.table({"content": pa.array([], pa.int64()), "earliest": pa.array([], _EARLIEST)})
-        row, interval = np.unique(lo[often], return_inverse=True)
-        top = np.zeros(len(row), dtype=np.int64)
-        top[interval] = hi[often]
-        which, where = index.occurrences(row, top)
-        of = np.searchsorted(start, where, side="right") - 1
-        docs = group.column("doc_id").to_numpy()[of]
-        th = group.column("th").to_numpy()[of]
-        at = group.column("first").to_numpy()[of].astype(np.int64) + where - start[of]
-        order = np.lexsort((at, th, docs, which))
-        lead = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])]
-        e_doc, e_th, e_at = docs[lead][interval], th[lead][interval], at[lead][interval]
-        rows: dict[int, list] = {}
-        for w, d, t, a in zip(often.tolist(), e_doc.tolist(), e_th.tolist(), e_at.tolist(), strict=True):
-            s = int(segment[w])
-            own = rows.setdefault(s, [None] * int(n_words[s] - size + 1))
-            own[int(within[w])] = {"doc_id": d, "th": t, "at": a}
-        content = group.column("content").to_pylist()
-        return pa.table({"content": pa.array([content[s] for s in rows], pa.int64()), "earliest": pa.array(list(rows.values()), _EARLIEST)})
+        index = FMIndex(text, len(unique), longest=size)
+        many = group.column("many").to_numpy()  # the segment stands for several places
+        docs, th, at_first = (group.column(c).to_numpy() for c in ("doc_id", "th", "first"))
+        content, also = group.column("content").to_pylist(), group.column("also").to_pylist()
+        out: dict[str, list] = {"content": [], "also": [], "earliest": []}
+        for s in range(0, len(blobs), streamed):
+            starts, sizes = start[s : s + streamed], n_words[s : s + streamed]
+            begin, end = int(starts[0]), int(starts[-1] + sizes[-1])
+            found, lo, hi = index.matching_statistics(text[begin:end], starts - begin, sizes)
+            place = np.flatnonzero(found >= size)
+            of = np.searchsorted(starts - begin, place, side="right") - 1
+            often = (hi[place] - lo[place] > 1) | many[s + of]
+            place, of = place[often], of[often]
+            if not len(place):
+                continue
+            low, interval = np.unique(lo[place], return_inverse=True)
+            top = np.zeros(len(low), dtype=np.int64)
+            top[interval] = hi[place]
+            which, where = index.occurrences(low, top)
+            source = np.searchsorted(start, where, side="right") - 1
+            at = at_first[source].astype(np.int64) + where - start[source]
+            order = np.lexsort((at, th[source], docs[source], which))
+            lead = order[np.concatenate([[True], which[order][1:] != which[order][:-1]])]
+            e_doc, e_th, e_at = docs[source][lead][interval], th[source][lead][interval], at[lead][interval]
+            rows: dict[int, list] = {}
+            for w, i, d, t, a in zip(of.tolist(), (place - (starts - begin)[of]).tolist(), e_doc.tolist(), e_th.tolist(), e_at.tolist(), strict=True):
+                own = rows.get(w)
+                if own is None:
+                    own = rows[w] = [None] * int(sizes[w] - size + 1)
+                own[i] = {"doc_id": d, "th": t, "at": a}
+            out["content"] += [content[s + w] for w in rows]
+            out["also"] += [also[s + w] for w in rows]
+            out["earliest"] += list(rows.values())
+        return pa.table([pa.array(out["content"], pa.int64()), pa.array(out["also"], pa.int64()), pa.array(out["earliest"], _EARLIEST)], names=["content", "also", "earliest"])
 
     return run
 
 
-def repeats(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, shard_words: int = 1 << 18, hot_segments: int = 2000, broadcast_rows: int = 150_000) -> DataFrame:
-    """doc_id, th, copied (the whole text is), and starts (of the windows that are repeats) of keyed (doc_id, th, text)."""
-    keys = keyed.select("doc_id", "th")
-    first_of = keys.groupBy("th").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
-    copies = keys.join(first_of, "th").where("doc_id > keeper").select("doc_id", "th").distinct()
-
-    found = written(keyed.mapInArrow(_anchored(size, gram), _ANCHORS), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    some = written(found.join(often, "anchor", "left_semi").join(copies, ["doc_id", "th"], "left_anti"), "anchors-often")
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (all of bounded size)."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def repeats(
+    keyed: DataFrame, size: int = SIZE, gram: int = GRAM, shard_words: int = 1 << 18, hot_segments: int = 2000, hot_rows: int = 5000, broadcast_rows: int = 150_000
+) -> DataFrame:
+    """doc_id, th, copied (the whole text is), and starts (of the windows that are repeats) of keyed (doc_id, th, also, text)."""
+    keys = keyed.select("doc_id", "th", "also")
+    first_of = keys.groupBy("th", "also").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
+    first_of = written(first_of.select("th", "also", "keeper"), "keepers")
+    copies = written(keys.join(_few(first_of, broadcast_rows), ["th", "also"]).where("doc_id > keeper").select("doc_id", "th").distinct(), "copies")
+
+    few = copies.count() <= broadcast_rows
+    single = keyed.join(F.broadcast(copies), ["doc_id", "th"], "left_anti") if few else keyed
+    found = single.select("doc_id", "th", "text").mapInArrow(tidy(_anchored(size, gram)), _ANCHORS)
+    found = written(found if few else found.join(copies, ["doc_id", "th"], "left_anti"), "anchors")
+    often = written(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchor-counts")
+    hot_anchors = F.broadcast(often.where(F.col("c") > hot_rows).select("anchor"))
+    warm = found.join(hot_anchors, "anchor", "left_anti").join(often.where(F.col("c") <= hot_rows).select("anchor"), "anchor", "left_semi")
+    some = written(warm.unionByName(found.join(hot_anchors, "anchor", "left_semi")), "anchors-often")
     dropped(found)
 
     # of equal segments the earliest stands for all; only its words are read and travel
-    leaders = some.groupBy("content").agg(F.min(F.struct("doc_id", "th", "first")).alias("e"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), (F.count("*") > 1).alias("many"))
-    leaders = written(leaders.select("content", "anchor", "n", "many", "e.doc_id", "e.th", "e.first"), "leaders")
+    content = ["content", "also"]
+    leaders = some.groupBy(*content).agg(F.min(F.struct("doc_id", "th", "first")).alias("e"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.count("*").alias("places"))
+    leaders = written(leaders.select(*content, "anchor", "n", "places", (F.col("places") > 1).alias("many"), "e.doc_id", "e.th", "e.first"), "leaders")
     again = leaders.groupBy("anchor").agg(F.count("*").alias("c"), F.bool_or("many").alias("m")).where("c > 1 or m").select("anchor", (F.col("c") > hot_segments).alias("hot"))
-    run_of = F.struct("first", "n", "anchor", "content", "many", "hot")
+    run_of = F.struct("first", "n", "anchor", "content", "also", "many", "hot")
     by_doc = written(leaders.join(again, "anchor").groupBy("doc_id", "th").agg(F.collect_list(run_of).alias("runs")), "runs")
     wanted = by_doc.select("doc_id", "th")
     texts = keyed.join(F.broadcast(wanted), ["doc_id", "th"], "left_semi") if wanted.count() <= broadcast_rows else keyed
-    segments = written(texts.join(by_doc.hint("merge"), ["doc_id", "th"]).mapInArrow(_cut_out(size), SEGMENTS), "segments")
+    segments = written(texts.join(by_doc.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(tidy(_cut_out(size)), SEGMENTS), "segments")
+    dropped(by_doc)
 
-    one = segments.where("hot").groupBy("content").agg(F.first("shard_key").alias("shard_key"), F.first("words").alias("words"), F.min(F.struct("doc_id", "th", "first")).alias("e"), (F.bool_or("many") | (F.count("*") > 1)).alias("many"))
-    columns = ["shard_key", "content", "words", "many"]
+    one = segments.where("hot").groupBy(*content).agg(F.first("shard_key").alias("shard_key"), F.first("words").alias("words"), F.min(F.struct("doc_id", "th", "first")).alias("e"), (F.bool_or("many") | (F.count("*") > 1)).alias("many"))
+    columns = ["shard_key", *content, "words", "many"]
     one = one.select(*columns, "e.doc_id", "e.th", "e.first").unionByName(segments.where("not hot").select(*columns, "doc_id", "th", "first"))
     n = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-n // (8 * shard_words)))
     sharded = one.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    earliest = written(sharded.groupBy("shard").applyInArrow(_shard_searched(size), "content bigint, earliest array<struct<doc_id:bigint,th:bigint,at:int>>"), "earliest")
+    searched = sharded.groupBy("shard").applyInArrow(tidy_group(_shard_searched(size)), "content bigint, also bigint, earliest array<struct<doc_id:bigint,th:bigint,at:int>>")
+    earliest = written(searched, "earliest")
+
+    # back to the places; contents of many places are few, and what is known of them is broadcast
+    places = some.select(*content, "doc_id", "th", "first")
+    crowded = F.broadcast(leaders.where(F.col("places") > hot_rows).select(*content))
+
+    def to_places(known: DataFrame) -> DataFrame:
+        calm = places.join(crowded, content, "left_anti").join(known.join(crowded, content, "left_anti"), content)
+        return calm.unionByName(places.join(F.broadcast(known.join(crowded, content, "left_semi")), content))
 
-    places = some.select("content", "doc_id", "th", "first")
     late = F.transform("earliest", lambda e, i: F.when(e.isNotNull() & ~((e["doc_id"] == F.col("doc_id")) & (e["th"] == F.col("th")) & (e["at"] == F.col("first") + i)), F.col("first") + i))
-    cold = places.join(earliest, "content").select("doc_id", "th", F.filter(late, lambda s: s.isNotNull()).alias("s")).where("size(s) > 0")
-    windows = segments.where("hot").join(earliest, "content").join(leaders.select(F.col("content").alias("parent"), F.col("first").alias("lead")), "parent")
-    windows = windows.select(F.col("parent").alias("content"), (F.col("first") - F.col("lead")).alias("i"), F.col("earliest")[0].alias("e"))
-    at = F.col("first") + F.col("i")
-    hot = places.join(windows, "content").where(~((F.col("e.doc_id") == F.col("doc_id")) & (F.col("e.th") == F.col("th")) & (F.col("e.at") == at))).select("doc_id", "th", F.array(at).alias("s"))
+    cold = to_places(earliest).select("doc_id", "th", F.filter(late, lambda s: s.isNotNull()).alias("s")).where("size(s) > 0")
+    parents = leaders.select(F.col("content").alias("parent"), F.col("also").alias("parent_also"), F.col("first").alias("lead"))
+    windows = segments.where("hot").select(*content, "parent", "parent_also", "first").join(earliest, content).join(parents, ["parent", "parent_also"])
+    of_parent = F.collect_list(F.struct((F.col("first") - F.col("lead")).alias("i"), F.col("earliest")[0].alias("e")))  # as many as a segment has windows
+    windows = written(windows.groupBy("parent", "parent_also").agg(of_parent.alias("own")).select(F.col("parent").alias("content"), F.col("parent_also").alias("also"), "own"), "hot-windows")
+    later = F.filter("own", lambda w: ~((w["e"]["doc_id"] == F.col("doc_id")) & (w["e"]["th"] == F.col("th")) & (w["e"]["at"] == F.col("first") + w["i"])))
+    hot = to_places(windows).select("doc_id", "th", F.transform(later, lambda w: F.col("first") + w["i"]).alias("s")).where("size(s) > 0")
     spans = cold.unionByName(hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("starts"), F.lit(False).alias("copied"))
     whole = copies.select("doc_id", "th", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copied"))
     return spans.unionByName(whole)
@@ -268,62 +320,74 @@ def _mask(n: int, starts, copied: bool, size: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def _finished(size, digest):
+def _digested(starts_of, copied_of, size):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            counts, removed, out = [], [], []
+            for text, starts, copied in zip(*(b.column(c).to_pylist() for c in ("text", starts_of, copied_of)), strict=True):
+                words = text.encode("utf-8", "surrogatepass").split() if text else []
+                counts.append(len(words))
+                gone = 0
+                if starts or copied:
+                    mask = _mask(len(words), starts, bool(copied), size)
+                    gone = int(mask.sum())
+                    words = [words[i] for i in np.flatnonzero(~mask).tolist()]
+                removed.append(gone)
+                out.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.record_batch([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _stripped(starts_of, copied_of, size):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             texts = b.column("text").to_pylist()
-            words = Words(texts)
-            removed, out = [], []
-            for i, (starts, copied) in enumerate(zip(b.column("__starts").to_pylist(), b.column("__copied").to_pylist(), strict=True)):
-                n = int(words.bounds[i + 1] - words.bounds[i])
-                gone = _mask(n, starts, bool(copied), size) if starts or copied else None
-                removed.append(0 if gone is None else int(gone.sum()))
-                if digest:
-                    own = words.of(i)
-                    kept = own if gone is None else [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-                    out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                elif gone is None or not gone.any():
-                    out.append(texts[i])
-                else:
-                    out.append(_without(words, i, gone))
-            if digest:
-                n_words = pa.array(np.diff(words.bounds), pa.int64())
-                yield pa.record_batch([b.column("doc_id"), n_words, pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-            else:
-                rest = {n: pa.array(out, b.column(n).type) if n == "text" else b.column(n) for n in b.schema.names if not n.startswith("__")}
-                yield pa.record_batch(list(rest.values()), names=list(rest))
+            for i, (starts, copied) in enumerate(zip(b.column(starts_of).to_pylist(), b.column(copied_of).to_pylist(), strict=True)):
+                if texts[i] and (starts or copied):
+                    texts[i] = _without(texts[i], starts, bool(copied), size)
+            rest = {n: pa.array(texts, b.column(n).type) if n == "text" else b.column(n) for n in b.schema.names if n not in (starts_of, copied_of)}
+            yield pa.record_batch(list(rest.values()), names=list(rest))
 
     return run
 
 
-def _without(words: Words, i: int, gone: np.ndarray) -> str:
+_WORD = re.compile("[^ \t\n\v\f\r]+")
+
+
+def _without(text: str, starts, copied: bool, size: int) -> str:
     """The text less the words that go, each with the white space ahead of it."""
-    a = int(words.bounds[i])
-    parts = []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    gone = _mask(len(spans), starts, copied, size)
+    if not gone.any():
+        return text
+    parts: list[str] = []
     for j in np.flatnonzero(~gone).tolist():
-        begin = int(words.end[a + j - 1]) if j and parts else int(words.start[a + j])
-        parts.append(words.data[begin : int(words.end[a + j])])
-    return b"".join(parts).decode("utf-8", "surrogatepass")
+        parts.append(text[spans[j - 1][1] if j and parts else spans[j][0] : spans[j][1]])
+    return "".join(parts)
 
 
-def _joined(docs: DataFrame, text_cols: list[str], size: int, **options) -> DataFrame:
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
+def _joined(docs: DataFrame, size: int, **options) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, starts and copied, whose names are returned too."""
+    text = F.coalesce("text", F.lit(""))
+    th = F.xxhash64(text)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    found = written(repeats(docs.select(id_.alias("doc_id"), th.alias("th"), "text"), size=size, **options), "repeats")
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts"), F.col("copied").alias("__copied"))
-    keyed = docs.select(*text_cols, id_.alias("__doc"), th.alias("__th"))
-    small = (found.agg(F.sum(F.size("__starts") + 4)).first()[0] or 0) <= 16 * options.get("broadcast_rows", 150_000)
-    return keyed.join(F.broadcast(found) if small else found, ["__doc", "__th"], "left")
+    keyed = docs.select(id_.alias("doc_id"), th.alias("th"), F.xxhash64(F.lit(7), text).alias("also"), "text")
+    found = written(repeats(keyed, size=size, **options), "repeats")
+    doc, hash_, starts, copied = free_names(docs.columns, "__doc", "__th", "__starts", "__copied")
+    found = found.select(F.col("doc_id").alias(doc), F.col("th").alias(hash_), F.col("starts").alias(starts), F.col("copied").alias(copied))
+    small = (found.agg(F.sum(F.size(starts) + 4)).first()[0] or 0) <= 16 * options.get("broadcast_rows", 150_000)
+    joined = docs.withColumns({doc: id_, hash_: th}).join(F.broadcast(found) if small else found, [doc, hash_], "left")
+    return joined.drop(doc, hash_), starts, copied
 
 
 def dedup_digest(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
-    joined = _joined(docs.select("doc_id", "text"), ["doc_id", "text"], size, **options)
-    return joined.mapInArrow(_finished(size, True), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    joined, starts, copied = _joined(docs.select("doc_id", "text"), size, **options)
+    return joined.mapInArrow(tidy(_digested(starts, copied, size)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """docs, all columns, with the repeats removed from text."""
-    names = [c for c in docs.columns if not c.startswith("__")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return _joined(docs, names, size, **options).mapInArrow(_finished(size, False), kinds)
+    joined, starts, copied = _joined(docs, size, **options)
+    return joined.mapInArrow(tidy(_stripped(starts, copied, size)), fields(docs.schema))

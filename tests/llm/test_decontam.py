@@ -24,12 +24,25 @@ def test_fm_index(text, patterns):
     which, where = index.occurrences(lo, hi)
     want = sorted((k, i) for k, p in enumerate(patterns) for i in range(len(text) - 2) if text[i : i + 3] == p)
     assert sorted(zip(which.tolist(), where.tolist())) == want
-    q = [x for p in patterns for x in [*p, 0]]
-    got = index.matching_statistics(np.array(q), 4)
-    joined = lambda s: ",".join(map(str, s))
-    for i in range(len(q)):
-        best = max((n for n in range(5) if n <= i + 1 and 0 not in q[i + 1 - n : i + 1] and f",{joined(q[i + 1 - n : i + 1])}," in f",{joined(text)},"), default=0)
-        assert got[i] == (best if q[i] else 0)
+
+
+def occurs(text, piece):
+    return [i for i in range(len(text) - len(piece) + 1) if text[i : i + len(piece)] == piece]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.lists(st.lists(st.integers(0, 4), max_size=12), min_size=1, max_size=4), st.integers(1, 6))
+def test_matching_statistics(text, streamed, longest):
+    index = FMIndex(np.array(text), 3, longest=longest)
+    sizes = np.array([len(s) for s in streamed])
+    starts = np.cumsum(sizes) - sizes
+    found, lo, hi = index.matching_statistics(np.array([x for s in streamed for x in s], dtype=np.int64), starts, sizes)
+    for s, at in zip(streamed, starts.tolist()):
+        for i in range(len(s)):
+            best = max((n for n in range(1, min(longest, len(s) - i) + 1) if 0 not in s[i : i + n] and occurs(text, s[i : i + n])), default=0)
+            assert found[at + i] == best
+            if best:
+                assert sorted(index.locate(np.arange(lo[at + i], hi[at + i])).tolist()) == occurs(text, s[i : i + best])
 
 
 def brute(docs, bench, size=10):

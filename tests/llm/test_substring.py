@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
     rows = made()
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     want = brute(rows, 8)
-    for kw in ({"hot_segments": 20, "shard_words": 500}, {"broadcast_rows": 0}):
+    for kw in ({"hot_segments": 20, "shard_words": 500, "hot_rows": 30}, {"broadcast_rows": 0}):
         assert sorted(map(tuple, dedup_digest(df, size=8, gram=4, **kw).collect())) == want
 
 
@@ -58,6 +58,9 @@ def test_texts(spark):
     got = {r["doc_id"]: r for r in dedup_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1]["text"] == rows[0][1] and got[2]["text"] == "Other\n\nlast  words" and got[3]["text"] is None and got[4]["text"] == got[5]["text"] == ""
     assert got[2]["spans"] == 2 and got[2]["th"] == "t"
+    names = ["doc_id", "text", "__doc", "__starts", "TH", "also"]
+    clash = dedup_texts(spark.createDataFrame([(1, same, 5, "s", 2, "a"), (2, f"x {same}", 6, None, 3, None)], "doc_id int, text string, __doc int, __starts string, TH int, also string"))
+    assert clash.columns == names and sorted(map(tuple, clash.collect())) == [(1, same, 5, "s", 2, "a"), (2, "x", 6, None, 3, None)]
 
 
 def test_words_and_empty(spark):
