@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,17 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lookup(rows: DataFrame, known: DataFrame, on: list[str], places: str, hot: int) -> DataFrame:
+    """rows with the columns that known has for their key (one row a key; rows without one are left out).
+
+    places, a column of known, says how many rows a key has about. Keys of more than hot rows are few - the
+    rows by hot at most - and known's rows of these are broadcast, so that no task gets all rows of one key.
+    """
+    crowded = known.where(F.col(places) > hot)
+    calm = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti").join(known.where(F.col(places) <= hot), on)
+    return calm.unionByName(rows.join(F.broadcast(crowded), on))
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, with underscores behind those that the columns already have in any case."""
     taken = {c.lower() for c in columns}
