@@ -32,6 +32,24 @@ def test_against_brute_force(spark):
     assert run(spark, rows, block_queries=16) == brute(rows, 10, 5)
 
 
+def test_phases_touch_less_and_less(spark, monkeypatch):
+    from citytables.llm import topk
+
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(16)], 0) for i in range(3000)]
+    sizes = {}
+    real = topk.written
+    monkeypatch.setattr(topk, "written", lambda df, tag: sizes.setdefault(tag, real(df, tag)) and sizes[tag])
+    monkeypatch.setattr(topk, "dropped", lambda df: None)
+    assert run(spark, rows, every=100) == brute(rows, 10, 100)
+    counts = {tag: df.count() for tag, df in sizes.items()}
+    products = 3000 * 30
+    assert counts["topk-entries"] < 0.3 * 2 * products  # phase 2: of the entries of two lists
+    missing = sizes["topk-partial"].where("has <> 3").count()
+    assert 0 < missing <= counts["topk-partial"] <= counts["topk-entries"]
+    assert counts["topk-hits"] < 0.05 * products
+
+
 def test_huge_values(spark):
     rows = [(i, [float(i * 2**14), float(-i), 1.0], 0) for i in range(20)]
     assert run(spark, rows) == brute(rows, 10, 5)
