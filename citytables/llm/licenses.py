@@ -5,8 +5,9 @@ must occur unchanged in any match (pigeonhole), so an automaton over all pieces
 to look at; there the regex library's bounded-error matching verifies the phrase and reports its
 span. Base phrases must stand word by word, without an edit; they go the same way with one piece.
 
-A null or empty text has no words and no match. Long texts are scanned whole; repeated rows are
-rows of their own; an empty table gives an empty result.
+A notice must begin and end with a word. A null or empty text has no words and no match. Long texts are
+scanned whole; repeated rows are rows of their own; an empty table gives an empty result; further columns are
+ignored. Ties: of overlapping matches of one phrase that with the fewest edits counts, then the first.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ class Scanner:
         import ahocorasick
 
         self.rules = [(p, label, 0, True) for p, label in base] + [(p, label, e, False) for p, label, e in notices]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(p)}){{e<={e}}}") for p, _, e, _ in self.rules]
+        # the spaces around are free of edits, so a match is whole words
+        self.patterns = [regex.compile(f"(?e) (?:{regex.escape(p)}){{e<={e}}} ") for p, _, e, _ in self.rules]
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list] = {}
         for i, (p, _, e, _) in enumerate(self.rules):
@@ -71,7 +73,11 @@ class Scanner:
         self.automaton.make_automaton()
 
     def spans(self, line: str) -> list[tuple[int, int, int, int]]:
-        """(rule, first character, end, edits) of every match in a line of words with one space between and around."""
+        """(rule, first character, end, edits) of every match in a line of words with one space between and around.
+
+        Matches begin and end with a word. Around every seed the regex library looks for the phrase; of matches
+        of one rule that overlap only the best counts: fewest edits, then the first, then the longest.
+        """
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, where) in self.automaton.iter(line):
             for i, at in where:
@@ -80,23 +86,19 @@ class Scanner:
                 windows.setdefault(i, []).append((max(0, start - e), start + len(p) + e))
         out = []
         for i, own in windows.items():
-            p, _, e, exact = self.rules[i]
-            own.sort()
-            if exact:  # the seed is the whole phrase; it must begin and end with a word
+            if self.rules[i][3]:  # the seed is the whole phrase; it must begin and end with a word
                 out += [(i, a, b, 0) for a, b in dict.fromkeys(own) if line[a - 1] == " " and line[b] == " "]
                 continue
-            last = -1
-            merged = [list(own[0])]
-            for a, b in own[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for m in self.patterns[i].finditer(line, max(0, a), min(len(line), b)):
-                    if m.start() > last and m.end() > m.start():
-                        out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        last = m.end() - 1
+            found = {}
+            for a, b in dict.fromkeys(own):
+                for m in self.patterns[i].finditer(line, max(0, a - 1), min(len(line), b + 1), overlapped=True):
+                    found[m.start() + 1, m.end() - 1] = sum(m.fuzzy_counts)
+            taken: list[tuple[int, int]] = []
+            for (a, b), edits in sorted(found.items(), key=lambda x: (x[1], x[0][0], -x[0][1])):
+                at = bisect.bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                    taken.insert(at, (a, b))
+                    out.append((i, a, b, edits))
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 

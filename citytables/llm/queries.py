@@ -24,7 +24,7 @@ from citytables.llm.topk import exact_topk
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and fuzzy short notices of every document."""
     found = license_scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,39 @@ def test_planted_edits():
 
 def test_empty(spark):
     assert license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_spans_by_brute_force():
+    r = random.Random(8)
+    notices = (("all rights reserved", "p", 1), ("mozilla public license", "m", 2), ("boost software license", "b", 1))
+    for _ in range(150):
+        words: list[str] = []
+        for _ in range(r.randrange(1, 5)):
+            s = list(r.choice(notices)[0])
+            for _ in range(r.randrange(0, 4)):
+                at = r.randrange(len(s))
+                s[at : at + r.randrange(0, 2)] = r.choice(["", "x", "l", " ", "e"])
+            words += "".join(s).split() + [r.choice(["fire", "wall", "all", "license", "xmozilla"])] * r.randrange(0, 2)
+        _, found = scan(" ".join(words), (), notices)
+        for phrase, _, edits in notices:
+            mine = [(f[2], f[3], f[4]) for f in found if f[0] == phrase]
+            assert all(distance(" ".join(words[a : z + 1]), phrase) <= e <= edits for a, z, e in mine)
+            for a in range(len(words)):
+                for z in range(a, min(len(words), a + 5)):
+                    if distance(" ".join(words[a : z + 1]), phrase) <= edits:
+                        assert any(x <= z and a <= y for x, y, _ in mine), (words, phrase, a, z, mine)
+
+
+def test_words_are_whole_and_neighbours_apart():
+    assert scan("firewall rights reserved")[1] == []
+    _, found = scan("gnu generxl public license gnu general public license")
+    assert [(f[2], f[3], f[4]) for f in found if f[0] == "gnu general public license"] == [(0, 3, 1), (4, 7, 0)]
