@@ -8,8 +8,9 @@ map-side partial sums, and the driver sees at most shards x bins sums, never row
 one value in the cut's dimension (a hot source) are split further by id and then by row.
 
 Columns beside the id and the text may be missing, null or of any type; extra columns are
-ignored. A null text has 0 bytes. Rows may repeat; every row gets its own place. An empty
-table gives an empty result.
+ignored. A null text has 0 bytes. Rows may repeat; every row gets its own place, and rows with equal texts
+are dealt like any others: each by its own metadata and id, in one shard or in several. Rows alike in the cut's
+dimension and in id are ordered by their place in the table. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,17 +21,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citytables.llm.common import written
+from citytables.llm.common import lookup, written
 
 ROW_OVERHEAD = 8
 
 
 def code(df: DataFrame, name: str) -> Column:
-    """A long that keeps the order of a column: numbers as they are, strings by their first 6 bytes; null is least."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        value = F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
-        return F.coalesce(value, F.lit(-1).cast("long"))
-    return F.coalesce(F.col(name).cast("long"), F.lit(-(2**62)).cast("long"))
+    """A long that keeps the order of a column of numbers; null is least."""
+    value = F.unix_date(name) if isinstance(df.schema[name].dataType, T.DateType) else F.col(name)
+    return F.coalesce(value.cast("long"), F.lit(-(2**62)).cast("long"))
+
+
+def ranked(df: DataFrame, name: str, hot_rows: int = 50_000) -> DataFrame:
+    """df with a column of strings replaced by the ranks of its values (in byte order; null is -1).
+
+    The different values are sorted in ranges, so neither they nor the rows of a common value meet in one task.
+    """
+    held = df.withColumn("__null", F.col(name).isNull()).withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("")))
+    values = held.groupBy(name).agg(F.count("*").alias("__places")).repartitionByRange(name).withColumn("__part", F.spark_partition_id())
+    values = written(values, "kd-values")
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = values.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(name)) - 1
+    ranks = written(values.withColumn("__rank", rank).join(F.broadcast(starts), "__part").select(name, "__places", (F.col("__start") + F.col("__rank")).alias("__rank")), "kd-ranks")
+    found = lookup(held, ranks, [name], "__places", hot_rows)
+    return found.withColumn(name, F.when(F.col("__null"), F.lit(-1)).otherwise(F.col("__rank")).cast("long")).select(*df.columns)
 
 
 def _below(node: dict) -> Column:
@@ -122,15 +137,20 @@ def kd_shards(
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     have = [d for d in dims if d == "__size" or d in docs.columns]
     size = (F.octet_length(text) + ROW_OVERHEAD).cast("long")
+    is_text = lambda d: d != "__size" and not isinstance(docs.schema[d].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))
+    string_id = is_text(id_col)
     compact = docs.select(
         F.col(id_col).alias("__out_id"),
-        code(docs, id_col).alias("__id"),
+        (F.col(id_col).cast("string") if string_id else code(docs, id_col)).alias("__id"),
         F.monotonically_increasing_id().alias("__row"),
         size.alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        *[(size if d == "__size" else code(docs, d)).alias(f"__d{i}") for i, d in enumerate(have)],
+        *[(size if d == "__size" else F.col(d).cast("string") if is_text(d) else code(docs, d)).alias(f"__d{i}") for i, d in enumerate(have)],
     )
     compact = written(compact, "kd-rows")
+    for name in [f"__d{i}" for i, d in enumerate(have) if is_text(d)] + ["__id"] * string_id:
+        compact = ranked(compact, name)
+    compact = written(compact, "kd-ranked")
     keys = [f"__d{i}" for i in range(len(have))] + ["__id", "__row"]
     root: dict = {"first": 0, "shards": shards}
     widest = None
