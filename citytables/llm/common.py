@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,7 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", 32 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -95,8 +96,19 @@ def _give_back() -> None:
         trim(0)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches() -> None:
+    """Arrow batches of 4 MB at most in this session, unless it asks for less: rows may hold long texts."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and int(re.sub(r"\D", "", spark.conf.get(_BATCH_BYTES))) > 4 << 20:
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
+
+
 def tidy(run):
-    """An Arrow task function that gives freed memory back to the system at its end."""
+    """An Arrow task function that gives freed memory back to the system at its end; its batches are of bounded size."""
+    _small_batches()
 
     def tidied(given):
         try:
@@ -109,6 +121,7 @@ def tidy(run):
 
 def tidy_group(run):
     """The same for a function of one group; often enough, as groups are small."""
+    _small_batches()
 
     def tidied(group):
         try:
