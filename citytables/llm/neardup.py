@@ -10,14 +10,15 @@ as give a pair at the threshold 0.9995; with 12 x 12 tables of 3 + 3 hashes that
 0.99998 at 0.85. Half keys that only one document has make no tables.
 
 1. Equal sets are one class, and stand for all their documents.
-2. In each bucket every member is compared with the bucket's least member. A pair that meets in
+2. In each bucket every member is compared with one, the hub: that whose half keys are the most common in the
+   corpus, so, in a group of near copies, most likely the text they come from. A pair that meets in
    several buckets is compared once. Links make components.
-3. Buckets whose members are not all in one component yet, or were not all compared, are searched
-   to the end: members and sets come together in tasks of bounded size (a large bucket as pairs of
-   blocks), each member is compared with those that aren't linked to it - in the first of their
-   common tables only, which both know from their half keys; of buckets with the same members only
-   that of the first table is searched - and only links that join something
-   leave the task. So no task emits all pairs of a group, and no link between candidates is lost.
+3. Buckets whose members are not all in one component yet are searched to the end: buckets with common
+   members make a neighbourhood, whose members and sets come together once, in one task if they are
+   at most a block; the buckets of larger ones in tasks of a block or two each. There each member is
+   compared with those that share a table and aren't linked to it yet - in large buckets in the first of their
+   common tables only, which both know from their half keys - and only links that join something leave
+   the task. So no task emits all pairs of a group, and no link between candidates is lost.
 4. Components by alternating hooking to the least neighbour and shortening, as joins.
 
 Null texts and texts without words have empty sets and no links; with fewer words than a shingle the
@@ -133,7 +134,7 @@ def _fetched(size):
             sets = _sets_of(b.column("text").to_pylist(), size)
             good = np.flatnonzero(class_ids(sets) == b.column("cid").to_numpy())
             take = pa.array(good, pa.int64())
-            yield pa.record_batch([b.column("cid").take(take), b.column("halves").take(take), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["id", "halves", "shingles"])
+            yield pa.record_batch([b.column("id").take(take), b.column("halves").take(take), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["id", "halves", "shingles"])
 
     return run
 
@@ -196,12 +197,13 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _searched(percent, rows):
-    """Links that join members of a bucket (or of two blocks of one) that aren't joined yet."""
+def _searched(percent, rows, bucket):
+    """Links that join members of a group that aren't joined yet: of a bucket (or of two blocks of one), or of several at once."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
-        ids, side, tab = group.column("id").to_pylist(), group.column("side").to_numpy(), group.column("key")[0].as_py() & ((1 << TABLE_BITS) - 1)
+        ids, side = group.column("id").to_pylist(), group.column("side").to_numpy()
+        tab = group.column("key")[0].as_py() & ((1 << TABLE_BITS) - 1) if bucket else None
         n = len(ids)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()]
         halves = np.frombuffer(b"".join(group.column("halves").to_pylist()), dtype=np.uint64).reshape(n, 2 * rows)
@@ -221,7 +223,8 @@ def _searched(percent, rows):
             cand = i + 1 + np.flatnonzero(near)
             if not len(cand):
                 continue
-            cand = cand[first_tables(halves[cand], np.broadcast_to(halves[i], (len(cand), 2 * rows)), rows) == tab]
+            first = first_tables(halves[cand], np.broadcast_to(halves[i], (len(cand), 2 * rows)), rows)
+            cand = cand[first == tab if bucket else first >= 0]
             if not len(cand):
                 continue
             if len(cand) > 8:
@@ -279,22 +282,25 @@ def near_duplicates(
     signed = written(docs.mapInArrow(tidy(_signed(size, rows, per_half)), SIGNED), "signatures")
     classes = written(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves")), "classes")
 
+    own = classes.select("cid", "doc_id", "halves")
+    halves = own.select(F.col("cid").alias("id"), "halves").mapInArrow(_half_rows(rows), "half bigint, place smallint, id bigint")
+    common = halves.groupBy("half", "place").agg(F.count("*").alias("n")).where("n > 1")
+    shared = halves.join(common, ["half", "place"]).groupBy(F.col("id").alias("cid")).agg(F.collect_set("place").alias("shared"), F.sum("n").alias("weight"))
+    # classes are numbered from those whose half keys are the most common on: in a group of near copies that is the text they all come from
+    ordered = own.join(shared, "cid").repartitionByRange(F.desc("weight"), "cid").sortWithinPartitions(F.desc("weight"), "cid")
+    several = written(ordered.withColumn("id", F.monotonically_increasing_id()), "shared-halves")
+
     def sets_of(ids: DataFrame) -> DataFrame:
         """id, halves, shingles of the classes in ids (id)."""
-        wanted = classes.join(ids.select(F.col("id").alias("cid")).distinct(), "cid")
+        wanted = several.select("id", "cid", "doc_id", "halves").join(ids.distinct(), "id")
         if wanted.count() <= broadcast_rows:
             wanted = F.broadcast(wanted)
-        found = docs.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "halves", "text")
+        found = docs.join(wanted.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("id", "cid", "halves", "text")
         found = found.mapInArrow(tidy(_fetched(size)), "id bigint, halves binary, shingles binary")
         return written(found.dropDuplicates(["id"]), "sets")
 
-    own = classes.select(F.col("cid").alias("id"), "halves")
-    halves = own.mapInArrow(_half_rows(rows), "half bigint, place smallint, id bigint")
-    common = halves.groupBy("half", "place").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = halves.join(common, ["half", "place"]).groupBy("id").agg(F.collect_set("place").alias("shared"))
-    several = written(own.join(shared, "id"), "shared-halves")
-    keys = several.mapInArrow(tidy(_table_keys(rows)), "key bigint, id bigint")
-    # the members of a bucket pass in order, so its least is known from the first on: one shuffle, nothing held
+    keys = several.select("id", "halves", "shared").mapInArrow(tidy(_table_keys(rows)), "key bigint, id bigint")
+    # the members of a bucket pass in order, so its first is known from there on: one shuffle, nothing held
     by_key = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = written(keys.withColumn("hub", F.first("id").over(by_key)).where("id <> hub"), "buckets")
     pairs = written(found.select("id", "hub").distinct(), "pairs")
@@ -304,30 +310,43 @@ def near_duplicates(
     comp = components(links)
 
     # buckets that hold two components, of three members at least: the pairs without the hub are still open
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
     of_hub = comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
     apart = pairs.join(comp, "id", "left").join(of_hub, "hub", "left").where(F.coalesce("comp", "id") != F.coalesce("hub_comp", "hub")).select("id", "hub")
     apart = written(apart, "apart")
-    some = found.join(F.broadcast(apart) if apart.count() <= broadcast_rows else apart, ["id", "hub"], "left_semi").select("key").distinct()
-    inside = written(found.join(some, "key"), "open-buckets")
+    some = written(found.join(few(apart), ["id", "hub"], "left_semi").select("key").distinct(), "open-keys")
+    inside = written(found.join(few(some), "key"), "open-buckets")
     dropped(found)
     members = F.bit_xor(F.xxhash64("id")).alias("members")
     open_ones = inside.groupBy("key").agg(F.first("hub").alias("hub"), (F.count("*") + 1).alias("n"), members).where("n > 2")
     # of buckets of the same members only that of the first table: the first in which their pairs meet is never another
     table = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    rest = open_ones.groupBy("members", "n", "hub").agg(F.min(F.struct(table.alias("t"), "key")).alias("one")).select("one.key", "hub", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rest = open_ones.groupBy("members", "n", "hub").agg(F.min(F.struct(table.alias("t"), "key")).alias("one")).select("one.key", "hub", "n")
     rest = written(rest, "rest")
-    left = inside.drop("hub").join(rest.drop("hub"), "key").unionByName(rest.select("key", F.col("hub").alias("id"), "blocks"))
-    left = left.join(comp, "id", "left").select("key", "id", "blocks", F.coalesce("comp", "id").alias("comp"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    # a member of block i goes to the tasks of (i, j) for all j; a task of one block compares all its members
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    left = written(inside.drop("hub").join(few(rest.select("key")), "key").unionByName(rest.select("key", F.col("hub").alias("id"))), "open-members")
+    # buckets with common members are one neighbourhood; in a small one every member and its set goes to one task, once
+    joined = components(left.join(rest.select("key", "hub"), "key").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    around = written(left.join(joined.withColumnRenamed("comp", "place"), "id").select("key", "id", "place"), "neighbourhoods")
+    sizes = around.groupBy("place").agg(F.approx_count_distinct("id").alias("size"))
+    around = around.join(sizes, "place").join(comp, "id", "left").select("key", "id", "place", "size", F.coalesce("comp", "id").alias("comp"))
+    small = around.where(F.col("size") <= block).groupBy("place", "id").agg(F.first("comp").alias("comp")).withColumn("side", F.lit(2))
+    more = small.join(x, "id").groupBy("place").applyInArrow(tidy_group(_searched(percent, rows, False)), "a bigint, b bigint")
+    # elsewhere bucket by bucket: a member of block i goes to the tasks of (i, j) for all j; a task of one block compares all its members
+    large = around.where(F.col("size") > block).join(rest.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("key", "id", "comp", "blocks", "own")
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
         F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
-    more = written(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(tidy_group(_searched(percent, rows)), "a bigint, b bigint"), "links")
-    for done in (several, pairs, apart, inside, rest, x):
+    more = written(more.unionByName(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(tidy_group(_searched(percent, rows, True)), "a bigint, b bigint")), "links")
+    for done in (pairs, apart, some, inside, rest, left, x):
         dropped(done)
     if more.limit(1).count():
         comp = components(links.unionByName(more))
+    of_id = several.select("id", "cid")
+    comp = comp.join(of_id, "id").join(of_id.select(F.col("id").alias("comp"), F.col("cid").alias("root")), "comp").select(F.col("cid").alias("id"), F.col("root").alias("comp"))
 
     rooted = classes.select("cid", "doc_id").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
