@@ -39,7 +39,7 @@ def project_i64(value: Column) -> Column:
 
 def drop_nulls(json_text: Column) -> Column:
     """A JSON object without its null members, as after a columnar round trip."""
-    return F.to_json(F.map_filter(F.from_json(json_text, "map<string,string>"), lambda _, v: v.isNotNull()))
+    return F.to_json(F.map_filter(F.from_json(json_text, "map<string,variant>"), lambda _, v: v.isNotNull() & ~F.is_variant_null(v)))
 
 
 @dataclass

@@ -83,12 +83,15 @@ def _levels(nested: list, depth: int) -> list[list]:
 class ModelBuilder:
     """Rows of a model in the making; tables() hands them over."""
 
-    def __init__(self, kind: str = "CityJSON", identifier: str | None = None):
+    def __init__(self, kind: str, identifier: str | None = None):
         self.rows: dict[str, list[tuple]] = {n: [] for n in ("extensions", "vertices", "template_vertices", "texture_vertices", "semantics", "materials", "textures", "template_geometries", "template_geometry_boundaries", "geometries", "geometry_boundaries", "geometry_instances", "geometry_surface_semantics", "geometry_point_semantics", "geometry_linestring_semantics", "geometry_surface_materials")}
         self.objects: dict[str, list] = {}
         self.edges: list[tuple[str, str]] = []
-        self.meta = {"citymodel_kind": kind, "identifier": identifier, "cityjson_version": "2.0", "default_material_theme": None, "default_texture_theme": None}
+        self.meta = {"citymodel_kind": kind, "identifier": identifier, "format_version": "2.0", "default_material_theme": None, "default_texture_theme": None}
         self.n_geometries = 0
+        self.next_place = 0
+        self.places: dict[str, int] = {}  # of objects in the order in which they came
+        self.attached: dict[str, int] = {}
 
     def _add(self, table: str, *values) -> int:
         n = len(self.rows[table])
@@ -135,15 +138,20 @@ class ModelBuilder:
         if kind not in OBJECT_TYPES and not kind.startswith("+"):
             raise ValueError(f"unknown object type: {kind}")
         self.objects[object_id] = [kind, attributes]
+        self.places[object_id] = self.next_place
+        self.next_place += 1
         self.edges += [(p, object_id) for p in parents]
 
     def remove_object(self, object_id: str) -> None:
         """The object goes with its links; its geometries stay in the pool until clean-up."""
-        del self.objects[object_id]
+        del self.objects[object_id], self.places[object_id]
+        self.attached.pop(object_id, None)
         self.edges = [e for e in self.edges if object_id not in e]
 
     def clear_objects(self) -> None:
         self.objects.clear()
+        self.places.clear()
+        self.attached.clear()
         self.edges.clear()
 
     def set_default_themes(self, material: str | None = None, texture: str | None = None) -> None:
@@ -179,9 +187,8 @@ class ModelBuilder:
         depth = self._checked(draft)
         if object_id not in self.objects:
             raise ValueError(f"unknown object: {object_id}")
-        ix = list(self.objects).index(object_id)
-        ordinal = sum(g[1] == ix for g in self.rows["geometries"] + self.rows["geometry_instances"])
-        number, self.n_geometries = self.n_geometries, self.n_geometries + 1
+        ix, ordinal = self.places[object_id], self.attached.get(object_id, 0)
+        number = self.n_geometries
         if draft.geometry_type == "GeometryInstance":
             if not 0 <= draft.template < len(self.rows["template_geometries"]):
                 raise ValueError(f"template {draft.template} doesn't exist")
@@ -189,7 +196,7 @@ class ModelBuilder:
                 raise ValueError("a matrix has 16 numbers")
             point = self._numbers(draft.nested, False)[0]
             self.rows["geometry_instances"].append((number, ix, ordinal, draft.lod, draft.template, point, draft.matrix, None))
-            return number
+            return self._attached(object_id)
         levels = _levels(draft.nested, depth)
         primitives = len(levels[0]) if depth == 1 else len(levels[1]) if depth == 2 else len(levels[2])
         for name, values in [("semantics", draft.semantics), *draft.materials.items()]:
@@ -205,7 +212,13 @@ class ModelBuilder:
             if depth < 3:
                 raise ValueError("only surfaces have materials")
             self.rows["geometry_surface_materials"] += [(number, i, theme, m) for i, m in enumerate(values) if m is not None]
-        return number
+        return self._attached(object_id)
+
+    def _attached(self, object_id: str) -> int:
+        """Count a geometry that was added, and give its number."""
+        self.attached[object_id] = self.attached.get(object_id, 0) + 1
+        self.n_geometries += 1
+        return self.n_geometries - 1
 
     def add_template(self, draft: Draft) -> int:
         depth = self._checked(draft)
@@ -218,7 +231,7 @@ class ModelBuilder:
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """All tables; a link to an object that isn't there is an error."""
-        ix = {o: i for i, o in enumerate(self.objects)}
+        ix = self.places
         for edge in self.edges:
             if missing := [e for e in edge if e not in ix]:
                 raise ValueError(f"unknown object: {missing[0]}")

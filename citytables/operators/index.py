@@ -99,8 +99,8 @@ def nearest_metadata(features: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def representative(features: DataFrame) -> DataFrame:
     """First, middle and last id in order."""
-    ordered = Window.orderBy("feature_id")
-    n = features.select("feature_id").distinct()
-    total = n.count()
-    ranked = n.withColumn("r", F.row_number().over(ordered) - 1)
+    from citytables.operators.merge import dense_ranks
+
+    ranked = dense_ranks(features.select("feature_id").distinct(), ["feature_id"], "r")
+    total = ranked.count()
     return ranked.where(F.col("r").isin(sorted({0, total // 2, max(0, total - 1)}))).select("feature_id")

@@ -22,7 +22,7 @@ _TEXTURE = "surface_ordinal int, ring_ordinal int, theme string, texture_id bigi
 
 #: Table -> columns, in the order in which tables are written and read.
 TABLES = {
-    "metadata": "citymodel_id string, cityjson_version string, citymodel_kind string, feature_root_id string, identifier string, title string, reference_system string, "
+    "metadata": "citymodel_id string, format_version string, citymodel_kind string, feature_root_id string, identifier string, title string, reference_system string, "
     "geographical_extent array<double>, reference_date string, default_material_theme string, default_texture_theme string, point_of_contact string, root_extra string, metadata_extra string",
     "extensions": "extension_name string, uri string, version string",
     "vertices": "vertex_id bigint, x double, y double, z double",

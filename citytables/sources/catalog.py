@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from citytables.functions.spatial import dequantize, overlaps
 from citytables.operators import index
-from citytables.sources.document import DOCUMENT, FEATURE, overlay
+from citytables.sources.document import is_document, is_feature, overlaid
 
 BOUNDS = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
 
@@ -37,7 +37,7 @@ def _member(points: str, i: int) -> Column:
 
 def scan_sources(lines: DataFrame) -> DataFrame:
     """One row a file; a file whose first document line is no header has null metadata."""
-    header = F.min_by(F.when(F.get_json_object("value", "$.type") == DOCUMENT, F.col("value")), F.when(F.get_json_object("value", "$.type") == DOCUMENT, F.col("line")))
+    header = F.min_by("value", F.when(is_document(F.col("value")), F.col("line")))
     files = lines.groupBy("path").agg(header.alias("metadata"), F.max("size").alias("size"), F.max("mtime").alias("mtime"))
     return files.select(F.xxhash64("path").alias("id"), "path", "metadata", "size", "mtime")
 
@@ -47,7 +47,7 @@ def scan_features(lines: DataFrame, sources: DataFrame) -> DataFrame:
 
     Ids count the object keys of a part of the scan in order, from part * 2^40 on; a package may have any number.
     """
-    rows = lines.where(F.get_json_object("value", "$.type") == FEATURE).select("path", "line", "value")
+    rows = lines.where(is_feature(F.col("value"))).select("path", "line", "value")
     rows = rows.join(sources.select("path", F.col("id").alias("source_id"), F.from_json(F.get_json_object("metadata", "$.transform"), "scale array<double>, translate array<double>").alias("t")), "path")
     rows = rows.withColumn("objects", F.from_json(F.get_json_object("value", "$.CityObjects"), "map<string,string>"))
     rows = rows.withColumn("v", F.from_json(F.get_json_object("value", "$.vertices"), "array<array<double>>"))
@@ -97,7 +97,7 @@ class Catalog:
 
     def get(self, feature_id: str) -> str | None:
         """The package (JSON text, its header's members included) of the id's first row; None without one. Runs at once."""
-        row = self.lookup(feature_id).limit(1).select(F.to_json(overlay(F.col("metadata"), F.col("value"))).alias("package")).first()
+        row = self.lookup(feature_id).limit(1).select(overlaid(F.col("metadata"), F.col("value")).alias("package")).first()
         return row["package"] if row else None
 
     def query(self, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:

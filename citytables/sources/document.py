@@ -12,12 +12,20 @@ from citytables.functions.arrays import flatten_levels
 from citytables.functions.spatial import dequantize, parse_lod, parse_object_type, parse_version, quantize
 from citytables.schema import GEOMETRY_TYPES
 
-DOCUMENT, FEATURE = "CityJSON", "CityJSONFeature"
 #: Members of a header that features of a sequence don't take over.
 OWN = ("type", "version", "CityObjects", "vertices", "id")
 
 
 
+def is_feature(value: Column) -> Column:
+    """Whether a root is a feature: it has an id and no version of its own. Else it is a document, or the header of a sequence."""
+    return F.get_json_object(value, "$.id").isNotNull() & F.get_json_object(value, "$.version").isNull()
+
+
+def is_document(value: Column) -> Column:
+    return F.get_json_object(value, "$.type").isNotNull() & F.get_json_object(value, "$.version").isNotNull()
+
+
 def probe(value: Column) -> list[Column]:
     """Kind and version of a text, without reading the rest of it."""
     return [F.get_json_object(value, "$.type").alias("kind"), F.get_json_object(value, "$.version").alias("version")]
@@ -36,12 +44,19 @@ def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("value") != "").drop("block")
 
 
-def checked(docs: DataFrame, kind: str = DOCUMENT) -> DataFrame:
-    """Documents of this kind; another kind, or for documents another version, is an error while reading."""
+def checked(docs: DataFrame, kind: str | None = None, feature: bool = False) -> DataFrame:
+    """Documents (or features); another root, another kind if one is given, or for documents an unknown version, is an error while reading.
+
+    A feature needs an id.
+    """
     is_kind = F.get_json_object("value", "$.type")
-    value = F.when(is_kind == kind, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"expected {kind}, found "), F.coalesce(is_kind, F.lit("nothing")))))
+    good = is_feature(F.col("value")) if feature else is_document(F.col("value"))
+    if kind is not None:
+        good = good & (is_kind == kind)
+    expected = kind or ("a feature with an id" if feature else "a document with a version")
+    value = F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"expected {expected}, found "), F.coalesce(is_kind, F.lit("nothing")))))
     out = docs.withColumn("value", value)
-    return out.withColumn("version", parse_version(F.get_json_object("value", "$.version"))) if kind == DOCUMENT else out
+    return out if feature else out.withColumn("version", parse_version(F.get_json_object("value", "$.version")))
 
 
 def overlay(header: Column, feature: Column) -> Column:
@@ -52,6 +67,14 @@ def overlay(header: Column, feature: Column) -> Column:
     return F.map_zip_with(base, own, lambda _, a, b: F.coalesce(b, a))
 
 
+def overlaid(header: Column, feature: Column) -> Column:
+    """The same as JSON text: every member keeps its kind. Without a header the feature alone."""
+    kinds = "map<string,variant>"
+    base = F.coalesce(F.map_filter(F.from_json(header, kinds), lambda k, _: ~k.isin(*OWN)), F.create_map().cast(kinds))
+    own = F.map_filter(F.from_json(feature, kinds), lambda k, _: k != "version")
+    return F.to_json(F.map_zip_with(base, own, lambda _, a, b: F.coalesce(b, a)))
+
+
 def root(docs: DataFrame) -> DataFrame:
     """doc_key and the members of each document as JSON texts."""
     return docs.select("doc_key", F.from_json("value", "map<string,string>").alias("m"))

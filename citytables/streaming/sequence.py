@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citytables.sources.document import FEATURE, overlay
+from citytables.sources.document import is_feature, overlay
 
 
 def read_feature_stream(spark: SparkSession, path: str, header: str | None = None, files_per_trigger: int = 100) -> DataFrame:
     """Features (feature_id, value map) of the text files in a folder, each with the header's members below its own."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).where(F.trim("value") != "")
-    features = lines.where(F.get_json_object("value", "$.type") == FEATURE)
+    features = lines.where(is_feature(F.col("value")))
     members = overlay(F.lit(header), F.col("value")) if header is not None else F.from_json("value", "map<string,string>")
     return features.select(F.get_json_object("value", "$.id").alias("feature_id"), members.alias("members"))
 

@@ -6,12 +6,12 @@ import pytest
 
 from citytables.sources.catalog import Catalog, build
 
-HEADER = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.5, 0.5, 1.0], "translate": [10.0, 0.0, 0.0]}, "CityObjects": {}, "vertices": []}
+HEADER = {"type": "Town", "version": "2.0", "transform": {"scale": [0.25, 0.25, 1.0], "translate": [-4.0, 6.0, 0.0]}, "CityObjects": {}, "vertices": []}
 
 
 def feature(name, vertices, used, **more):
     g = [{"type": "MultiSurface", "lod": "1", "boundaries": [[used]]}] if used else []
-    return {"type": "CityJSONFeature", "id": name, "CityObjects": {name: {"type": "Building", "geometry": g, **more}}, "vertices": vertices}
+    return {"type": "TownFeature", "id": name, "CityObjects": {name: {"type": "Building", "geometry": g, **more}}, "vertices": vertices}
 
 
 def written(path, *lines):
