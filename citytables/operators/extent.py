@@ -34,9 +34,14 @@ def bbox_query(extents: DataFrame, window: tuple[float, float, float, float]) ->
     return extents.where(overlaps(F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"), window))
 
 
-def with_hilbert(extents: DataFrame, order: int = 16) -> DataFrame:
-    """Rows with the Hilbert number of their box's centre on a grid over the whole extent."""
-    whole = extents.agg(F.min("min_x").alias("__x"), F.min("min_y").alias("__y"), (F.max("max_x") - F.min("min_x")).alias("__w"), (F.max("max_y") - F.min("min_y")).alias("__h"))
+def with_hilbert(extents: DataFrame, order: int = 16, points: DataFrame | None = None) -> DataFrame:
+    """Rows with the Hilbert number of their box's centre on a grid over the whole extent.
+
+    points (x, y): what the boxes are around, if at hand; the whole extent is then found without the boxes.
+    """
+    if points is None:
+        points = extents.select(F.inline(F.array(F.struct(F.col("min_x").alias("x"), F.col("min_y").alias("y")), F.struct(F.col("max_x").alias("x"), F.col("max_y").alias("y")))))
+    whole = points.agg(F.min("x").alias("__x"), F.min("y").alias("__y"), (F.max("x") - F.min("x")).alias("__w"), (F.max("y") - F.min("y")).alias("__h"))
     cx, cy = (F.col("min_x") + F.col("max_x")) * 0.5, (F.col("min_y") + F.col("max_y")) * 0.5
     joined = extents.crossJoin(F.broadcast(whole))  # one row
     cells = 1 << order

@@ -47,7 +47,7 @@ def closure(edges: DataFrame, start: DataFrame, children: bool = True, parents:
         ways.append(edges.select(F.col("parent_id").alias("cityobject_id"), F.col("child_id").alias("to")))
     if parents:
         ways.append(edges.select(F.col("child_id").alias("cityobject_id"), F.col("parent_id").alias("to")))
-    step = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    step = materialised(ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1]))  # read in every round
     seen = frontier = materialised(start.select("cityobject_id").distinct())
     while True:
         frontier = materialised(frontier.join(step, "cityobject_id").select(F.col("to").alias("cityobject_id")).distinct().join(seen, "cityobject_id", "left_anti"))
@@ -83,12 +83,14 @@ def pruned(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 def extract(objects: DataFrame, edges: DataFrame, geometries: DataFrame, selection: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Selected objects, edges among them and their selected geometries; ids that aren't an object's geometry are an error."""
-    parts = selection.where("not whole").select("cityobject_id", F.explode("geometry_ids").alias("geometry_id"))
-    strays = parts.join(geometries.select("cityobject_id", "geometry_id"), ["cityobject_id", "geometry_id"], "left_anti")
-    if not strays.isEmpty():
-        raise ValueError("the selection has geometries that its objects don't")
-    kept = objects.join(selection, "cityobject_id", "left_semi")
-    shown = geometries.join(selection, "cityobject_id").where(F.col("whole") | F.array_contains("geometry_ids", F.col("geometry_id"))).drop("whole", "geometry_ids")
+    chosen = materialised(selection)  # one evaluation for objects, edges and geometries
+    kept = objects.join(chosen, "cityobject_id", "left_semi")
+    own = geometries.join(chosen.where("whole").select("cityobject_id"), "cityobject_id", "left_semi")
+    parts = chosen.where("not whole").select(F.col("cityobject_id").alias("__object"), F.explode("geometry_ids").alias("__geometry"))
+    # a part that no geometry answers to is found in the same join
+    met = parts.join(geometries, (F.col("geometry_id") == F.col("__geometry")) & (F.col("cityobject_id") == F.col("__object")), "left")
+    stray = F.when(F.col("geometry_id").isNull(), F.raise_error(F.concat(F.lit("the selection has a geometry that its object doesn't: "), F.col("__geometry").cast("string")))).otherwise(F.col("geometry_id"))
+    shown = own.unionByName(met.withColumn("geometry_id", stray).select(geometries.columns))
     return kept, pruned(edges, kept), shown
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from citytables.functions import arrays, attributes, spatial
 from citytables.operators import extent, filters, index, merge, selection, validate
 from citytables.plans.adapter import GEO, OBJ, edges, features, geometries, objects, vertices
-from citytables.session import table
-from citytables.sources import document
+from citytables.session import materialised, table
+from citytables.sources import document, model
+from citytables.sources.dataset import schema_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,7 +77,7 @@ def bbox_query_windows(spark, sf_dir):
 
 @query(_HILBERT + " SELECT cityobject_id, d AS hilbert FROM h WHERE p = 0")
 def hilbert_order(spark, sf_dir):
-    return extent.with_hilbert(_extents(spark, sf_dir)).select("cityobject_id", "hilbert")
+    return extent.with_hilbert(_extents(spark, sf_dir), points=vertices(spark, sf_dir)).select("cityobject_id", "hilbert")
 
 
 @query("SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS geometry_id, CAST(round(CAST(avg(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 0) AS BIGINT) AS mean_x, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
@@ -507,9 +508,122 @@ def validate_geometries(spark, sf_dir):
     return validate.violations(g, b, spark.range(21).withColumnRenamed("id", "vertex_id"))
 
 
+# -- whole models
+
+
+def _house_documents(spark, sf_dir):
+    """A document for each customer: a house of two surfaces, with semantics, a material and a texture."""
+    c = table(spark, sf_dir, "customer")
+    num = lambda *v: F.array(*[F.lit(x).cast("int") if not hasattr(x, "_jc") else x.cast("int") for x in v])
+    none = F.lit(None).cast("int")
+    geometry = F.struct(
+        F.lit("MultiSurface").alias("type"), F.lit("2").alias("lod"), F.array(F.array(num(0, 1, 2)), F.array(num(0, 2, 3))).alias("boundaries"),
+        F.struct(F.array(F.struct(F.lit("RoofSurface").alias("type")), F.struct(F.lit("WallSurface").alias("type"))).alias("surfaces"), F.array((F.col("c_nationkey") % 2).cast("int"), none).alias("values")).alias("semantics"),
+        F.create_map(F.lit("day"), F.struct(F.lit(0).alias("value"))).alias("material"),
+        F.create_map(F.lit("photo"), F.struct(F.array(F.array(num(0, 0, 1, 2)), F.array(F.array(none))).alias("values"))).alias("texture"),
+    )
+    house = F.struct(F.lit("Building").alias("type"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")).alias("attributes"), F.array(geometry).alias("geometry"))
+    point = lambda x: F.array(x.cast("double"), F.lit(0.0), F.lit(1.0))
+    look = F.struct(
+        F.array(F.struct(F.lit("brick").alias("name"))).alias("materials"), F.array(F.struct(F.lit("PNG").alias("type"), F.lit("t.png").alias("image"))).alias("textures"),
+        F.array(*[F.array(F.lit(float(u)), F.lit(0.5)) for u in range(3)]).alias("vertices-texture"),
+    )
+    doc = F.struct(F.lit("Town").alias("type"), F.lit("2.0").alias("version"), look.alias("appearance"), F.create_map(F.lit("house"), house).alias("CityObjects"), F.array(*[point(F.col("c_nationkey") + i) for i in range(4)]).alias("vertices"))
+    return c.select(F.col("c_custkey").alias("doc_key"), F.to_json(doc).alias("value"))
+
+
+@query("SELECT c_custkey AS doc_key, 'house' AS cityobject_id, 'Building' AS object_type, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
+def read_model_objects(spark, sf_dir):
+    o = model.read_models(_house_documents(spark, sf_dir))["cityobjects"]
+    return o.select("doc_key", "cityobject_id", "object_type", F.get_json_object("attributes", "$.segment").alias("segment"), F.get_json_object("attributes", "$.balance").cast("double").alias("balance"))
+
+
+@query("SELECT c_custkey AS doc_key, CAST(i AS INTEGER) AS surface_ordinal, CASE WHEN i = 0 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'RoofSurface' ELSE 'WallSurface' END END AS semantic_type FROM customer, (SELECT unnest([0, 1]) AS i)")
+def read_model_semantics(spark, sf_dir):
+    t = model.read_models(_house_documents(spark, sf_dir))
+    return t["geometry_surface_semantics"].join(t["semantics"], ["doc_key", "semantic_id"], "left").select("doc_key", "surface_ordinal", "semantic_type")
+
+
+@query("SELECT c_custkey AS doc_key, CAST(i AS INTEGER) AS surface_ordinal, 'day' AS theme, 'brick' AS name FROM customer, (SELECT unnest([0, 1]) AS i)")
+def read_model_materials(spark, sf_dir):
+    """One value for a theme stands for every surface."""
+    t = model.read_models(_house_documents(spark, sf_dir))
+    return t["geometry_surface_materials"].join(t["materials"], ["doc_key", "material_id"]).select("doc_key", "surface_ordinal", "theme", "name")
+
+
+@query("SELECT c_custkey AS doc_key, 0 AS surface_ordinal, 0 AS ring_ordinal, 'photo' AS theme, 't.png' AS image, '0,1,2' AS uvs FROM customer")
+def read_model_ring_textures(spark, sf_dir):
+    t = model.read_models(_house_documents(spark, sf_dir))
+    return t["geometry_ring_textures"].join(t["textures"], ["doc_key", "texture_id"]).select("doc_key", "surface_ordinal", "ring_ordinal", "theme", F.col("image_uri").alias("image"), F.array_join("uv_indices", ",").alias("uvs"))
+
+
+@query("SELECT c_custkey AS doc_key, 'Town' AS kind, CAST(c_nationkey + 2 AS DOUBLE) AS x, CASE WHEN c_nationkey % 2 = 0 THEN 'RoofSurface' ELSE 'WallSurface' END AS semantic, c_mktsegment AS segment, '[[[0,1,2]],[[0,2,3]]]' AS boundaries FROM customer")
+def write_models(spark, sf_dir):
+    """Documents read into tables and written again; of equal documents the members agree, though numbers of semantics are those in use."""
+    text = model.write_models(model.read_models(_house_documents(spark, sf_dir)))
+    at = lambda path: F.get_json_object("value", path)
+    g = "$.CityObjects.house.geometry[0]"
+    return text.select("doc_key", at("$.type").alias("kind"), at("$.vertices[2][0]").cast("double").alias("x"), at(f"{g}.semantics.surfaces[0].type").alias("semantic"), at("$.CityObjects.house.attributes.segment").alias("segment"), at(f"{g}.boundaries").alias("boundaries"))
+
+
+@query("SELECT c_custkey AS doc_key FROM customer")
+def has_material_theme(spark, sf_dir):
+    return model.has_theme(model.read_models(_house_documents(spark, sf_dir)), "material", "day")
+
+
+def _point_model(spark, sf_dir, name, key, value):
+    """A model of one point for each row: objects K1, K2, ..."""
+    df = table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("k"), F.col(value).alias("x"))
+    null = lambda kind: F.lit(None).cast(kind)
+    boundary = [F.array(F.col("k").cast("int")).alias("vertex_indices"), *[null("array<int>").alias(f"{p}_offsets") for p in ("line", "ring", "surface", "shell", "solid")]]
+    meta = spark.range(1).select(*[(F.lit("Town") if f.name == "citymodel_kind" else F.lit(name) if f.name == "title" else null(f.dataType)).alias(f.name) for f in schema_of("metadata")])
+    return {
+        "metadata": meta, "vertices": df.select(F.col("k").alias("vertex_id"), "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z")),
+        "cityobjects": df.select(F.concat(F.lit("K"), F.col("k").cast("string")).alias("cityobject_id"), F.col("k").alias("cityobject_ix"), F.lit("Building").alias("object_type"), F.array(*["x"] * 6).alias("geographical_extent"), F.to_json(F.struct(F.col("x").alias(name))).alias("attributes"), null("string").alias("extra")),
+        "geometries": df.select(F.col("k").alias("geometry_id"), F.col("k").alias("cityobject_ix"), F.lit(0).alias("geometry_ordinal"), F.lit("MultiPoint").alias("geometry_type"), F.lit("1").alias("lod"), null("string").alias("extra")),
+        "geometry_boundaries": df.select(F.col("k").alias("geometry_id"), *boundary),
+    }
+
+
+@query(
+    "WITH g AS (SELECT 'K' || CAST(c_custkey AS VARCHAR) AS id, 0 AS side, c_acctbal AS x FROM customer UNION ALL SELECT 'K' || CAST(s_suppkey AS VARCHAR), 1, s_acctbal FROM supplier) "
+    "SELECT id AS cityobject_id, CAST(row_number() OVER (PARTITION BY id ORDER BY side) - 1 AS INTEGER) AS geometry_ordinal, x, min(x) OVER (PARTITION BY id) AS min_x, max(x) OVER (PARTITION BY id) AS max_x FROM g"
+)
+def merge_models(spark, sf_dir):
+    """Customers and suppliers as two models, merged: objects of one id have the geometries of both."""
+    m = merge.merge_models(_point_model(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), _point_model(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal"))
+    points = m["geometry_boundaries"].select("geometry_id", F.col("vertex_indices")[0].cast("bigint").alias("vertex_id")).join(m["vertices"], "vertex_id")
+    rows = m["geometries"].join(points, "geometry_id").join(m["cityobjects"], "cityobject_ix")
+    return rows.select("cityobject_id", "geometry_ordinal", "x", F.col("geographical_extent")[0].alias("min_x"), F.col("geographical_extent")[3].alias("max_x"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS geometry_id, 'semantic doesn''t exist' AS rule FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT CAST(c_custkey AS BIGINT), 'material of a surface that doesn''t exist' FROM customer WHERE c_custkey % 10 = 3")
+def validate_maps(spark, sf_dir):
+    """Semantics that point to nations of one region, which aren't there; materials on a third surface."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("geometry_id"), F.col("c_nationkey").cast("bigint").alias("n"))
+    none = F.lit(None).cast("array<int>")
+    two = lambda *v: F.array(*[F.lit(x) for x in v])
+    tables = {
+        "geometries": c.select("geometry_id", F.lit("MultiSurface").alias("geometry_type")),
+        "geometry_boundaries": c.select("geometry_id", two(0, 1, 2, 0, 2, 3).alias("vertex_indices"), none.alias("line_offsets"), two(0, 3).alias("ring_offsets"), two(0, 1).alias("surface_offsets"), none.alias("shell_offsets"), none.alias("solid_offsets")),
+        "geometry_surface_semantics": c.select("geometry_id", F.explode(two(0, 1)).alias("surface_ordinal"), F.col("n").alias("semantic_id")),
+        "semantics": table(spark, sf_dir, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").cast("bigint").alias("semantic_id")),
+        "geometry_surface_materials": c.select("geometry_id", F.when(F.col("geometry_id") % 10 == 3, 2).otherwise(1).alias("surface_ordinal"), F.lit("day").alias("theme"), F.lit(0).cast("bigint").alias("material_id")),
+        "materials": spark.range(1).withColumnRenamed("id", "material_id"),
+    }
+    return validate.map_violations(tables)
+
+
+@query(f"WITH {_EXT} SELECT cityobject_id, min_x, max_x, min_y, max_y FROM ext WHERE max_x >= 10 AND min_x <= 20 AND max_y >= 1000 AND min_y <= 20000")
+def bbox_query_stored(spark, sf_dir):
+    """The window over boxes that were written along the Hilbert curve: the filters reach the scan and skip row groups."""
+    stored = materialised(extent.clustered(_extents(spark, sf_dir), 8))
+    return extent.bbox_query(stored, (10, 1000, 20, 20000)).select("cityobject_id", "min_x", "max_x", "min_y", "max_y")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects whose extent meets a window, with their Hilbert number, in that order."""
-    rows = extent.with_hilbert(_extents(spark, sf_dir))
+    rows = extent.with_hilbert(_extents(spark, sf_dir), points=vertices(spark, sf_dir))
     return extent.bbox_query(rows, (10, 1000, 20, 20000)).orderBy("hilbert", "cityobject_id")
 
 

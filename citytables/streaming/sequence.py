@@ -23,19 +23,24 @@ def summary_stream(features: DataFrame) -> DataFrame:
 
 
 def failing_on_duplicates(features: DataFrame) -> DataFrame:
-    """The same features; an id that came before, in this or an earlier batch, ends the query with an error."""
+    """feature_id and members of the features; an id that came before, in this or an earlier batch, ends the query with an error.
+
+    The state is one mark for each id, for as long as the query lives: a repeat can come at any time. Ids are
+    checked a group of keys at a time, in Arrow batches.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def check(key, frames, state):
         rows = [f for f in frames if len(f)]
-        n = sum(len(f) for f in rows)
-        if n > 1 or state.exists:
+        if sum(len(f) for f in rows) > 1 or state.exists:
             raise ValueError(f"duplicate feature: {key[0]}")
         state.update((1,))
-        yield from (pd.DataFrame({"feature_id": f["feature_id"]}) for f in rows)
+        yield from (pd.DataFrame({"feature_id": f["feature_id"], "text": f["text"]}) for f in rows)
 
-    return features.groupBy("feature_id").applyInPandasWithState(check, "feature_id string", "seen int", "append", GroupStateTimeout.NoTimeout)
+    as_text = features.select("feature_id", F.to_json("members").alias("text"))
+    checked = as_text.groupBy("feature_id").applyInPandasWithState(check, "feature_id string, text string", "seen int", "append", GroupStateTimeout.NoTimeout)
+    return checked.select("feature_id", F.from_json("text", "map<string,string>").alias("members"))
 
 
 def append_stream(features: DataFrame, path: str, checkpoint: str):
