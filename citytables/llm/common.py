@@ -106,6 +106,15 @@ def _small_batches() -> None:
         spark.conf.set(_BATCH_BYTES, str(4 << 20))
 
 
+def rested(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect once: heap that a stage made them grow to goes back to the system ahead of the next.
+
+    An executor's JVM otherwise keeps all it has ever touched, beside the Python workers of the stages to come.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run):
     """An Arrow task function that gives freed memory back to the system at its end; its batches are of bounded size."""
     _small_batches()
