@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citytables.llm.common import free_names, new_path, table
+from citytables.llm.common import free_names, new_path, rested, table
 from citytables.llm.decontam import decontaminate
 from citytables.llm.language import identify, train
 from citytables.llm.neardup import keep_one
@@ -31,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score:
 
     Without labels to learn from no language can be told, and all documents with a letter stay.
     """
+    rested(spark)
     model = train(docs.select("doc_id", "text", "lang"))
     lang, score, letters = free_names(docs.columns, "lang_pred", "score", "letters")
     kept = identify(docs, model, carry=docs.columns, names=[lang, score, letters])
@@ -41,21 +42,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    rested(spark)
     return keep_one(docs, size=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 20-word passages that an earlier document (or place) has."""
+    rested(spark)
     return _counted(dedup_texts(docs, size=20))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of benchmark windows."""
+    rested(spark)
     return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark"), size=10))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 1024 ids."""
+    rested(spark)
     return packed_documents(docs, end_id=0, capacity=1024)
 
 
