@@ -6,21 +6,31 @@ from __future__ import annotations
 LODS = tuple(f"{a}" for a in range(4)) + tuple(f"{a}.{b}" for a in range(4) for b in range(4))
 GEOMETRY_TYPES = {"MultiPoint": 1, "MultiLineString": 2, "MultiSurface": 3, "CompositeSurface": 3, "Solid": 4, "MultiSolid": 5, "CompositeSolid": 5, "GeometryInstance": 0}
 OBJECT_TYPES = (
-    "Bridge BridgePart BridgeInstallation BridgeConstructiveElement BridgeRoom BridgeFurniture Building BuildingPart BuildingInstallation "
-    "BuildingConstructiveElement BuildingFurniture BuildingStorey BuildingRoom BuildingUnit CityFurniture CityObjectGroup GenericCityObject LandUse "
-    "OtherConstruction PlantCover SolitaryVegetationObject TINRelief Road Railway Waterway TransportSquare Tunnel TunnelPart TunnelInstallation "
-    "TunnelConstructiveElement TunnelHollowSpace TunnelFurniture WaterBody"
-).split()
+    "Bridge", "BridgePart", "BridgeInstallation", "BridgeConstructiveElement", "BridgeRoom", "BridgeFurniture", "Building", "BuildingPart",
+    "BuildingInstallation", "BuildingConstructiveElement", "BuildingFurniture", "BuildingStorey", "BuildingRoom", "BuildingUnit", "CityFurniture",
+    "CityObjectGroup", "GenericCityObject", "LandUse", "OtherConstruction", "PlantCover", "SolitaryVegetationObject", "TINRelief", "Road", "Railway",
+    "Waterway", "TransportSquare", "Tunnel", "TunnelPart", "TunnelInstallation", "TunnelConstructiveElement", "TunnelHollowSpace", "TunnelFurniture",
+    "WaterBody",
+)
 SEMANTIC_TYPES = (
-    "RoofSurface GroundSurface WallSurface ClosureSurface OuterCeilingSurface OuterFloorSurface Window Door InteriorWallSurface CeilingSurface "
-    "FloorSurface WaterSurface WaterGroundSurface WaterClosureSurface TrafficArea AuxiliaryTrafficArea TransportationMarking TransportationHole"
-).split()
+    "RoofSurface", "GroundSurface", "WallSurface", "ClosureSurface", "OuterCeilingSurface", "OuterFloorSurface", "Window", "Door",
+    "InteriorWallSurface", "CeilingSurface", "FloorSurface", "WaterSurface", "WaterGroundSurface", "WaterClosureSurface", "TrafficArea",
+    "AuxiliaryTrafficArea", "TransportationMarking", "TransportationHole",
+)
+WRAP_MODES = ("wrap", "mirror", "clamp", "border", "none")
+TEXTURE_TYPES = ("unknown", "specific", "typical")
+IMAGE_TYPES = ("PNG", "JPG")
+CONTACT_TYPES = ("individual", "organization")
+CONTACT_ROLES = (
+    "author", "co-author", "processor", "pointOfContact", "owner", "user", "distributor", "originator", "custodian", "resourceProvider", "rightsHolder", "sponsor",
+    "principalInvestigator", "stakeholder", "publisher",
+)
 VERSIONS = ("2.0", "2.0.0", "2.0.1")
 
 _OFFSETS = "vertex_indices array<int>, line_offsets array<int>, ring_offsets array<int>, surface_offsets array<int>, shell_offsets array<int>, solid_offsets array<int>"
 _TEXTURE = "surface_ordinal int, ring_ordinal int, theme string, texture_id bigint, uv_indices array<bigint>"
 
-#: Table -> columns, in the order in which tables are written and read.
+#: Table -> columns, in the order in which tables are written and read.
 TABLES = {
     "metadata": "citymodel_id string, format_version string, citymodel_kind string, feature_root_id string, identifier string, title string, reference_system string, "
     "geographical_extent array<double>, reference_date string, default_material_theme string, default_texture_theme string, point_of_contact string, root_extra string, metadata_extra string",

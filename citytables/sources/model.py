@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from citytables.functions.arrays import flatten_levels, unflatten
 from citytables.functions.spatial import dequantize, parse_lod, parse_object_type, parse_version, quantize
+from citytables.functions.values import parse_contact_role, parse_contact_type, parse_image_type, parse_semantic_type, parse_texture_type, parse_wrap_mode
 from citytables.schema import GEOMETRY_TYPES, TABLES
 from citytables.session import materialised
 from citytables.sources.dataset import schema_of
@@ -149,11 +150,13 @@ def read_models(docs: DataFrame) -> dict[str, DataFrame]:
     is_feature = text("type").endswith("Feature")
     named = F.when(is_feature & ~F.exists("objects", lambda o: o["key"].eqNullSafe(text("id"))), F.raise_error(F.lit("a feature's id names none of its objects"))).otherwise(text("id"))
     meta = lambda name: F.col("meta")[name].cast("string")
+    contact = F.from_json(F.to_json(F.col("meta")["pointOfContact"]), "struct<role:string,contactType:string>")
+    known_contact = F.struct(parse_contact_role(contact["role"]), parse_contact_type(contact["contactType"])).isNotNull()  # or an error
     out["metadata"] = base.select(
         "doc_key", F.coalesce(meta("identifier"), F.lit("citymodel")).alias("citymodel_id"), F.when(is_feature & text("version").isNull(), F.lit(None)).otherwise(parse_version(text("version"))).alias("format_version"),
         kind.alias("citymodel_kind"), F.when(is_feature, named).alias("feature_root_id"), *[meta(n).alias(c) for n, c in METADATA.items()],
         F.from_json(F.to_json(F.col("meta")["geographicalExtent"]), "array<double>").alias("geographical_extent"), F.col("a.`default-theme-material`").alias("default_material_theme"),
-        F.col("a.`default-theme-texture`").alias("default_texture_theme"), F.to_json(F.col("meta")["pointOfContact"]).alias("point_of_contact"),
+        F.col("a.`default-theme-texture`").alias("default_texture_theme"), F.when(known_contact, F.to_json(F.col("meta")["pointOfContact"])).alias("point_of_contact"),
         _extra(F.col("m"), ROOT).alias("root_extra"), _extra(F.col("meta"), (*METADATA, "geographicalExtent", "pointOfContact")).alias("metadata_extra"),
     )
     extension = F.from_json(F.to_json(F.col("m")["extensions"]), "map<string,struct<url:string,version:string>>")
@@ -164,7 +167,8 @@ def read_models(docs: DataFrame) -> dict[str, DataFrame]:
     out["template_vertices"] = template_points.select("doc_key", "template_vertex_id", *[F.col("v")[i].alias(c) for i, c in enumerate("xyz")])
     out["texture_vertices"] = base.select("doc_key", F.posexplode("a.`vertices-texture`").alias("uv_id", "v")).select("doc_key", "uv_id", F.col("v")[0].alias("u"), F.col("v")[1].alias("v"))
     out["materials"] = base.select("doc_key", F.posexplode("a.materials").alias("material_id", "x")).select("doc_key", "material_id", *[F.col(f"x.{n}").alias(c) for n, (c, _) in MATERIAL.items()])
-    out["textures"] = base.select("doc_key", F.posexplode("a.textures").alias("texture_id", "x")).select("doc_key", "texture_id", *[F.col(f"x.{n}").alias(c) for n, (c, _) in TEXTURE.items()])
+    known_texture = {"type": parse_image_type, "wrapMode": parse_wrap_mode, "textureType": parse_texture_type}
+    out["textures"] = base.select("doc_key", F.posexplode("a.textures").alias("texture_id", "x")).select("doc_key", "texture_id", *[known_texture.get(n, lambda c: c)(F.col(f"x.{n}")).alias(c) for n, (c, _) in TEXTURE.items()])
 
     entries = base.select("doc_key", *pools, F.posexplode("objects").alias("cityobject_ix", "e"))
     parsed = entries.select("doc_key", "n_materials", "n_textures", "n_uv", "cityobject_ix", F.col("e.key").alias("cityobject_id"), F.from_json("e.value", _VARIANTS).alias("o"), F.from_json("e.value", f"struct<parents:array<string>,children:array<string>,geographicalExtent:array<double>,geometry:array<struct<{_GEOMETRY}>>>").alias("p"))
@@ -212,7 +216,7 @@ def read_models(docs: DataFrame) -> dict[str, DataFrame]:
     surfaces = g.select("doc_key", "semantic_start", F.col("g.semantics.surfaces").alias("s")).unionByName(t.select("doc_key", "semantic_start", F.col("g.semantics.surfaces").alias("s")))
     one = surfaces.select("doc_key", "semantic_start", F.size("s").alias("n"), F.posexplode("s").alias("pos", "x"))
     one = one.withColumns({"semantic_id": F.col("semantic_start") + F.col("pos"), "parent": _below(F.try_variant_get(F.col("x")["parent"], "$", "bigint"), F.col("n"))})
-    out["semantics"] = one.select("doc_key", "semantic_id", F.col("x")["type"].cast("string").alias("semantic_type"), (F.col("semantic_start") + F.col("parent")).alias("parent_semantic_id"), _extra(F.col("x"), SEMANTIC).alias("attributes"))
+    out["semantics"] = one.select("doc_key", "semantic_id", parse_semantic_type(F.col("x")["type"].cast("string")).alias("semantic_type"), (F.col("semantic_start") + F.col("parent")).alias("parent_semantic_id"), _extra(F.col("x"), SEMANTIC).alias("attributes"))
     links = one.select("doc_key", F.col("semantic_id").alias("parent_semantic_id"), "semantic_start", "n", F.posexplode(F.try_variant_get(F.col("x")["children"], "$", "array<bigint>")).alias("child_ordinal", "c"))
     out["semantic_children"] = links.where("c >= 0 and c < n").select("doc_key", "parent_semantic_id", "child_ordinal", (F.col("semantic_start") + F.col("c")).alias("child_semantic_id"))
     return _explicit(out)
@@ -420,3 +424,97 @@ def has_theme(t: dict[str, DataFrame], kind: str, theme: str) -> DataFrame:
 def models_to_text(spark: SparkSession, tables: dict[str, DataFrame], path: str, **options) -> None:
     """Each document as a line of text files, partitioned as the models are."""
     write_models(tables, **options).select("value").write.text(path)
+
+
+# -- sequences
+
+
+def root_signature(tables: dict[str, DataFrame]) -> DataFrame:
+    """doc_key and a hash of what features of a sequence must share: metadata without extents, extensions, appearance, templates, extra members."""
+    empty = tables["metadata"].select("doc_key")
+    bare = {n: df for n, df in tables.items() if n not in ("vertices", "cityobjects", "cityobject_children") and not n.startswith("geometr") and n not in ("semantics", "semantic_children")}
+    bare["metadata"] = tables["metadata"].withColumns({"geographical_extent": F.lit(None).cast("array<double>"), "citymodel_kind": F.lit("Root"), "feature_root_id": F.lit(None).cast("string"), "default_material_theme": F.lit(None).cast("string"), "default_texture_theme": F.lit(None).cast("string"), "format_version": F.lit(None).cast("string")})
+    return write_models(bare).join(empty, "doc_key").select("doc_key", F.sha2("value", 256).alias("signature"))
+
+
+def checked_features(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of a sequence's features. A root that isn't a feature, roots that differ in what they share, and an object id that
+    comes twice are errors. Runs at once."""
+    if not (other := tables["metadata"].where("feature_root_id is null").limit(1)).isEmpty():
+        raise ValueError(f"no feature: {other.first()['doc_key']}")
+    if root_signature(tables).agg(F.count_distinct("signature")).first()[0] > 1:
+        raise ValueError("the features' roots differ")
+    twice = tables["cityobjects"].groupBy("cityobject_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if not twice.isEmpty():
+        raise ValueError(f"duplicate object: {twice.first()['cityobject_id']}")
+    return tables
+
+
+def features_extent(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: the box around all vertices and all extents of objects; null without any."""
+    low = lambda c: F.min(c)
+    v = tables["vertices"].select(F.array("x", "y", "z", "x", "y", "z").alias("e")).unionByName(tables["cityobjects"].where("geographical_extent is not null").select(F.col("geographical_extent").alias("e")))
+    e = F.col("e")
+    return v.agg(F.when(F.count("*") > 0, F.array(*[low(e[i]) for i in range(3)], *[F.max(e[i]) for i in range(3, 6)])).alias("geographical_extent"))
+
+
+def write_feature_sequence(tables: dict[str, DataFrame], path: str, kind: str, scale: tuple[float, float, float] = (0.001, 0.001, 0.001), translate: tuple[float, float, float] | None = None) -> DataFrame:
+    """Write features (checked) as a sequence of lines: the header with transform and extent first, then each feature in doc_key order.
+
+    kind: that of the header's root. Without translate the least coordinates are taken. Returns one row: transform, extent, numbers of
+    features and objects.
+    """
+    from citytables.sources.document import write_sequence
+
+    tables = {n: materialised(df) for n, df in checked_features(tables).items()}
+    extent = features_extent(tables).first()["geographical_extent"]
+    translate = tuple(translate or (extent[:3] if extent else (0.0, 0.0, 0.0)))
+    shifted = dict(tables)
+    whole = [quantize(F.col(c), float(scale[i]), float(translate[i])).cast("double").alias(c) for i, c in enumerate("xyz")]
+    shifted["vertices"] = tables["vertices"].select("doc_key", "vertex_id", *whole)
+    shared = ("appearance", "geometry-templates", "metadata", "extensions")
+    text = F.from_json("value", _VARIANTS)
+    ints = F.from_json("value", "struct<vertices:array<array<double>>>")["vertices"]
+    as_ints = F.parse_json(F.to_json(F.transform(ints, lambda p: F.transform(p, lambda x: x.cast("bigint")))))
+    features = write_models(shifted).withColumn("m", F.map_concat(F.map_filter(text, lambda k, _: ~k.isin(*shared, "vertices")), F.create_map(F.lit("vertices"), as_ints)))
+    order = tables["metadata"].select("doc_key")
+    from citytables.operators.merge import dense_ranks
+
+    ranks = dense_ranks(order, ["doc_key"], "ix")
+    plain = F.from_json("value", "struct<CityObjects:map<string,string>>")["CityObjects"]
+    rest = F.to_json(F.map_filter("m", lambda k, _: k != "CityObjects"))
+    objects = F.array_join(F.transform(F.map_entries(plain), lambda e: F.concat(F.substring(F.to_json(F.array(e["key"])), F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ",")
+    lines = features.join(ranks, "doc_key").select("ix", F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(',"CityObjects":{'), objects, F.lit("}}")).alias("value"))
+
+    first = ranks.where("ix = 0").select("doc_key")
+    head = {n: df.join(first, "doc_key", "left_semi") for n, df in tables.items() if n in ("metadata", "extensions", "materials", "textures", "texture_vertices", "template_vertices") or n.startswith("template_")}
+    box = F.lit(None).cast("array<double>") if extent is None else F.array(*[F.lit(float(x)) for x in extent])
+    none = F.lit(None).cast("string")
+    head["metadata"] = head["metadata"].withColumns({"citymodel_kind": F.lit(kind), "feature_root_id": none, "geographical_extent": box, "default_material_theme": none, "default_texture_theme": none})
+    if "template_geometry_semantics" in head:
+        head["semantics"], head["semantic_children"] = (tables[n].join(first, "doc_key", "left_semi") for n in ("semantics", "semantic_children"))
+    transform = F.parse_json(F.to_json(F.struct(F.array(*[F.lit(float(x)) for x in scale]).alias("scale"), F.array(*[F.lit(float(x)) for x in translate]).alias("translate"))))
+    header = write_models(head).select(F.to_json(F.map_concat(text, F.create_map(F.lit("transform"), transform))).alias("value"))
+    spark = header.sparkSession
+    if header.isEmpty():
+        header = spark.createDataFrame([(kind,)], "type string").select(F.to_json(F.struct("type", F.lit("2.0").alias("version"), transform.alias("transform"), F.create_map().cast("map<string,string>").alias("CityObjects"), F.array().cast("array<int>").alias("vertices"))).alias("value"))
+    write_sequence(header, lines, path)
+    report = [(list(map(float, scale)), list(map(float, translate)), extent, tables["metadata"].count(), tables["cityobjects"].count())]
+    return spark.createDataFrame(report, "scale array<double>, translate array<double>, geographical_extent array<double>, features long, cityobjects long")
+
+
+def read_feature_sequence(lines: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a sequence's features (path, line, value): each joined with the header of its file, as doc_key path and line.
+
+    The header is the file's first line; a later line that isn't a feature is an error, and so is a feature that carries a header's members
+    of its own where the header has others.
+    """
+    from citytables.sources.document import is_document, is_feature, overlaid
+
+    at = F.when(is_document(F.col("value")), F.col("line"))
+    header = lines.groupBy("path").agg(F.min_by("value", at).alias("header"), F.min("line").alias("first"), F.min(at).alias("header_line"))
+    rows = lines.join(header, "path")
+    good = F.when(is_feature(F.col("value")), F.col("value")).otherwise(F.raise_error(F.lit("a line that isn't a feature")))
+    led = F.when(F.col("header_line").eqNullSafe(F.col("first")), F.col("header")).otherwise(F.raise_error(F.lit("a sequence begins with a header")))
+    features = rows.where(F.col("line") != F.coalesce("header_line", F.lit(-1))).select(F.concat_ws("#", "path", F.col("line").cast("string")).alias("doc_key"), overlaid(led, good).alias("value"))
+    return read_models(materialised(features))  # the checks see every line as a whole, ahead of any filter on its parts

@@ -118,3 +118,39 @@ def test_errors(spark, change, message):
 def test_no_documents(spark):
     t = model.read_models(spark.createDataFrame([], "doc_key int, value string"))
     assert all(df.isEmpty() for df in t.values()) and model.write_models(t).isEmpty()
+
+
+def feature(name, x, **more):
+    return {"type": "TownFeature", "id": name, "CityObjects": {name: {"type": "Road", "geometry": [{"type": "MultiPoint", "lod": "1", "boundaries": [0, 1]}]}}, "vertices": [[x, 1.0, 2.0], [x + 0.5, 2.0, 2.0]], **more}
+
+
+def test_sequence(spark, tmp_path):
+    shared = {"appearance": DOC["appearance"] | {"default-theme-material": None, "default-theme-texture": None}, "extensions": DOC["extensions"], "+note": 1}
+    shared["appearance"] = {k: v for k, v in shared["appearance"].items() if v is not None}
+    t = tables_of(spark, feature("b", 4.0, **shared), feature("a", 8.0, **shared))
+    report = model.write_feature_sequence(t, f"{tmp_path}/seq", "Town", scale=(0.5, 1.0, 1.0)).first()
+    assert (report["features"], report["cityobjects"], report["translate"], report["geographical_extent"]) == (2, 2, [4.0, 1.0, 2.0], [4.0, 1.0, 2.0, 8.5, 2.0, 2.0])
+    lines = [json.loads(x) for f in sorted((tmp_path / "seq").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x["type"] for x in lines] == ["Town", "TownFeature", "TownFeature"] and [x.get("id") for x in lines] == [None, "b", "a"]
+    assert lines[0]["CityObjects"] == {} and lines[0]["appearance"] == shared["appearance"] and lines[0]["transform"]["translate"] == [4.0, 1.0, 2.0]
+    assert lines[2]["vertices"] == [[8, 0, 0], [9, 1, 0]] and "appearance" not in lines[1]
+    from citytables.sources.document import read_sequence
+
+    back = model.read_feature_sequence(read_sequence(spark, f"{tmp_path}/seq"))
+    assert sorted((r["x"], r["y"]) for r in back["vertices"].collect()) == [(4.0, 1.0), (4.5, 2.0), (8.0, 1.0), (8.5, 2.0)]
+    assert back["materials"].count() == 4 and back["metadata"].select("root_extra").distinct().count() == 1
+    for other, message in ((feature("b", 1.0), "roots differ"), (feature("b", 1.0, **shared), "duplicate object"), (PLAIN, "no feature")):
+        with pytest.raises(ValueError, match=message):
+            model.checked_features(tables_of(spark, feature("b", 4.0, **shared), other))
+
+
+def test_values(spark):
+    from citytables.functions import values
+
+    one = spark.createDataFrame([("wrap", "+Mine", [0.5, 0.25, 1.0], [0.0, 1.0, 2.0, 4.0, 5.0, 8.0], "a\r\n\n\u00e9b\nc")], "w string, s string, c array<double>, b array<double>, t string")
+    r = one.select(values.parse_wrap_mode(one.w).alias("w"), values.parse_semantic_type(one.s).alias("s"), values.rgb(one.c).alias("c"), values.rgba(one.c).alias("d"), values.box_size(one.b).alias("z"), values.box_center(one.b).alias("m"), values.line_spans(one.t).alias("l")).first()
+    assert (r["w"], r["s"], tuple(r["c"]), tuple(r["d"]), tuple(r["z"]), r["m"]) == ("wrap", "+Mine", (0.5, 0.25, 1.0), (0.5, 0.25, 1.0, 1.0), (4.0, 4.0, 6.0), [2.0, 3.0, 5.0])
+    assert [tuple(x) for x in r["l"]] == [(0, "a"), (4, "\u00e9b"), (8, "c")]
+    for f in (values.parse_wrap_mode, values.parse_texture_type, values.parse_image_type, values.parse_contact_role, values.parse_contact_type, values.parse_semantic_type):
+        with pytest.raises(Exception, match="unknown"):
+            one.select(f(one.t)).collect()
