@@ -15,7 +15,8 @@ as give a pair at the threshold 0.9995; with 12 x 12 tables of 3 + 3 hashes that
    several buckets is compared once. Links make components.
 3. Buckets whose members are not all in one component yet are searched to the end: buckets with common
    members make a neighbourhood, whose members and sets come together once, in one task if they are
-   at most a block; the buckets of larger ones in tasks of a block or two each. There each member is
+   at at most a block; in larger ones bucket by bucket, a block of the members with a group of those outside of
+   the bucket's main component at a time. There each member is
    compared with those that share a table and aren't linked to it yet - in large buckets in the first of their
    common tables only, which both know from their half keys - and only links that join something leave
    the task. So no task emits all pairs of a group, and no link between candidates is lost.
@@ -197,8 +198,14 @@ def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+#: Which members of a task are compared, by side, the one of the smaller id first: 0 of the main component, 1 a stray of
+#: another block, 2 a stray of this block and of this group, 3 a stray of this block and of another group. Of all tasks
+#: that see a pair with a stray in it, just one compares it.
+_MEET = np.array([[0, 1, 1, 0], [1, 0, 0, 0], [1, 1, 1, 1], [0, 1, 0, 0]], dtype=bool)
+
+
 def _searched(percent, rows, bucket):
-    """Links that join members of a group that aren't joined yet: of a bucket (or of two blocks of one), or of several at once."""
+    """Links that join members of a group that aren't joined yet: of a part of a bucket, or of several buckets at once."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
@@ -218,8 +225,7 @@ def _searched(percent, rows, bucket):
                     break
                 continue
             near = other & (100 * np.minimum(sizes[i], sizes[i + 1 :]) >= percent * np.maximum(sizes[i], sizes[i + 1 :]))
-            if side[i] != 2:  # blocks of two sides: only pairs across
-                near &= side[i + 1 :] != side[i]
+            near &= _MEET[side[i], side[i + 1 :]]
             cand = i + 1 + np.flatnonzero(near)
             if not len(cand):
                 continue
@@ -329,18 +335,24 @@ def near_duplicates(
     # buckets with common members are one neighbourhood; in a small one every member and its set goes to one task, once
     joined = components(left.join(rest.select("key", "hub"), "key").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     around = written(left.join(joined.withColumnRenamed("comp", "place"), "id").select("key", "id", "place"), "neighbourhoods")
-    sizes = around.groupBy("place").agg(F.approx_count_distinct("id").alias("size"))
-    around = around.join(sizes, "place").join(comp, "id", "left").select("key", "id", "place", "size", F.coalesce("comp", "id").alias("comp"))
-    small = around.where(F.col("size") <= block).groupBy("place", "id").agg(F.first("comp").alias("comp")).withColumn("side", F.lit(2))
+    crowded = around.groupBy("place").agg(F.approx_count_distinct("id").alias("size")).where(F.col("size") > block).select("place")
+    around = around.join(comp, "id", "left").select("key", "id", "place", F.coalesce("comp", "id").alias("comp"))
+    crowded = F.broadcast(written(crowded, "crowded"))  # one row for each block of members at most
+    small = around.join(crowded, "place", "left_anti").groupBy("place", "id").agg(F.first("comp").alias("comp")).withColumn("side", F.lit(2))
     more = small.join(x, "id").groupBy("place").applyInArrow(tidy_group(_searched(percent, rows, False)), "a bigint, b bigint")
-    # elsewhere bucket by bucket: a member of block i goes to the tasks of (i, j) for all j; a task of one block compares all its members
-    large = around.where(F.col("size") > block).join(rest.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
-    large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("key", "id", "comp", "blocks", "own")
-    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
-    )
-    more = written(more.unionByName(dealt.join(x, "id").groupBy("key", "lo", "hi").applyInArrow(tidy_group(_searched(percent, rows, True)), "a bigint, b bigint")), "links")
+    # elsewhere bucket by bucket. Most members of a bucket are in one component already; only the others, the strays, are to be compared
+    # with all. A task has a block of the members and a group of the strays, so no task grows with a bucket
+    large = written(around.join(crowded, "place", "left_semi").select("key", "id", "comp"), "large-buckets")
+    parts = large.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"))
+    split = parts.select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.greatest(F.ceil((F.col("n") - F.col("most")) / block).cast("int"), F.lit(1)).alias("groups"))
+    large = large.join(few(written(split, "splits")), "key")
+    large = large.select("key", "id", "comp", (F.col("comp") != F.col("main")).alias("stray"), "blocks", "groups", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int").alias("set"))
+    at_home = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
+        "key", "id", "comp", F.col("own").alias("block"), "group", F.when(~F.col("stray"), F.lit(0)).when(F.col("set") == F.col("group"), F.lit(2)).otherwise(F.lit(3)).alias("side")
+    )
+    away = large.where("stray").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("key", "id", "comp", "block", F.col("set").alias("group"), F.lit(1).alias("side"))
+    dealt = at_home.unionByName(away).join(x, "id").groupBy("key", "block", "group")
+    more = written(more.unionByName(dealt.applyInArrow(tidy_group(_searched(percent, rows, True)), "a bigint, b bigint")), "links")
     for done in (pairs, apart, some, inside, rest, left, x):
         dropped(done)
     if more.limit(1).count():
