@@ -518,3 +518,71 @@ def read_feature_sequence(lines: DataFrame) -> dict[str, DataFrame]:
     led = F.when(F.col("header_line").eqNullSafe(F.col("first")), F.col("header")).otherwise(F.raise_error(F.lit("a sequence begins with a header")))
     features = rows.where(F.col("line") != F.coalesce("header_line", F.lit(-1))).select(F.concat_ws("#", "path", F.col("line").cast("string")).alias("doc_key"), overlaid(led, good).alias("value"))
     return read_models(materialised(features))  # the checks see every line as a whole, ahead of any filter on its parts
+
+
+# -- documents as features
+
+
+def root_members(tables: dict[str, DataFrame]) -> DataFrame:
+    """doc_key, root_id and cityobject_ix: every object that no one has as a child, with all that hangs on it.
+
+    A round for each level of the deepest tree; what is reached twice counts once, so cycles end (objects on a cycle
+    without a root belong to no one).
+    """
+    objects = tables["cityobjects"].select("doc_key", "cityobject_id", "cityobject_ix")
+    edges = materialised(tables["cityobject_children"].select("doc_key", F.col("parent_cityobject_ix").alias("cityobject_ix"), F.col("child_cityobject_ix").alias("to")))
+    inner = edges.select("doc_key", F.col("to").alias("cityobject_ix"))
+    seen = frontier = materialised(objects.join(inner, ["doc_key", "cityobject_ix"], "left_anti").select("doc_key", F.col("cityobject_id").alias("root_id"), "cityobject_ix"))
+    while True:
+        step = frontier.join(edges, ["doc_key", "cityobject_ix"]).select("doc_key", "root_id", F.col("to").alias("cityobject_ix")).distinct()
+        frontier = materialised(step.join(seen, ["doc_key", "root_id", "cityobject_ix"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def split_features(tables: dict[str, DataFrame], kind: str) -> dict[str, DataFrame]:
+    """Documents as features, one for each root object: its tree, with vertices numbered anew and only those in use.
+
+    doc_key becomes the document's key and the root's id, joined by #. Appearance, templates and extensions stay with the document's header.
+    """
+    members = root_members(tables)
+    key = F.concat_ws("#", F.col("doc_key").cast("string"), F.col("root_id"))
+    of = members.select("doc_key", "cityobject_ix", key.alias("key"))
+
+    def moved(df: DataFrame, on: list[str], by: DataFrame) -> DataFrame:
+        columns = [c for c in df.columns if c != "doc_key"]
+        return df.join(by, ["doc_key", *on]).select(F.col("key").alias("doc_key"), *columns)
+
+    out = {"cityobjects": moved(tables["cityobjects"], ["cityobject_ix"], of)}
+    child = of.select("doc_key", F.col("cityobject_ix").alias("child_cityobject_ix"), F.col("key").alias("child_key"))
+    both = tables["cityobject_children"].join(of.withColumnRenamed("cityobject_ix", "parent_cityobject_ix"), ["doc_key", "parent_cityobject_ix"]).join(child, ["doc_key", "child_cityobject_ix"]).where("key = child_key")
+    out["cityobject_children"] = both.select(F.col("key").alias("doc_key"), *[c for c in tables["cityobject_children"].columns if c != "doc_key"])
+    held = tables["geometries"].select("doc_key", "cityobject_ix", "geometry_id").unionByName(tables["geometry_instances"].select("doc_key", "cityobject_ix", "geometry_id"))
+    by_geometry = materialised(held.join(of, ["doc_key", "cityobject_ix"]).select("doc_key", "geometry_id", "key"))
+    for name in tables:
+        if name == "geometries" or name.startswith("geometry_"):
+            out[name] = moved(tables[name], ["geometry_id"], by_geometry)
+    used = out["geometry_boundaries"].select("doc_key", F.explode(F.col("vertex_indices").cast("array<bigint>")).alias("vertex_id"))
+    used = used.unionByName(out["geometry_instances"].select("doc_key", F.col("reference_point_vertex_id").alias("vertex_id"))).distinct()
+    local = materialised(used.withColumn("local", F.row_number().over(Window.partitionBy("doc_key").orderBy("vertex_id")) - 1))
+    origin = of.select("doc_key", "key").distinct()
+    points = local.join(origin.select(F.col("doc_key").alias("of"), F.col("key").alias("doc_key")), "doc_key").join(tables["vertices"].withColumnRenamed("doc_key", "of"), ["of", "vertex_id"])
+    out["vertices"] = points.select("doc_key", F.col("local").cast("bigint").alias("vertex_id"), "x", "y", "z")
+    places = out["geometry_boundaries"].select("doc_key", "geometry_id", F.posexplode("vertex_indices").alias("pos", "v")).join(local.withColumnRenamed("vertex_id", "v"), ["doc_key", "v"])
+    fresh = places.groupBy("doc_key", "geometry_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "local"))), lambda p: p["local"].cast("int")).alias("fresh"))
+    out["geometry_boundaries"] = out["geometry_boundaries"].join(fresh, ["doc_key", "geometry_id"], "left").withColumn("vertex_indices", F.coalesce("fresh", "vertex_indices")).drop("fresh").select("doc_key", *[f.name for f in schema_of("geometry_boundaries")])
+    point = out["geometry_instances"].join(local.select("doc_key", F.col("vertex_id").alias("reference_point_vertex_id"), "local"), ["doc_key", "reference_point_vertex_id"])
+    out["geometry_instances"] = point.withColumn("reference_point_vertex_id", F.col("local").cast("bigint")).select("doc_key", *[f.name for f in schema_of("geometry_instances")])
+    marks = [out[n].select("doc_key", "semantic_id") for n in ("geometry_surface_semantics", "geometry_point_semantics", "geometry_linestring_semantics")]
+    marks = reduce(DataFrame.unionByName, marks).where("semantic_id is not null").distinct().withColumnRenamed("doc_key", "key").join(origin, "key")
+    around = marks.join(tables["semantics"], ["doc_key", "semantic_id"]).select("doc_key", "key", F.col("parent_semantic_id").alias("semantic_id")).where("semantic_id is not null")
+    below = marks.join(tables["semantic_children"].withColumnRenamed("parent_semantic_id", "semantic_id"), ["doc_key", "semantic_id"]).select("doc_key", "key", F.col("child_semantic_id").alias("semantic_id"))
+    marks = materialised(marks.select("doc_key", "key", "semantic_id").unionByName(around).unionByName(below).distinct())
+    out["semantics"] = moved(tables["semantics"], ["semantic_id"], marks)
+    out["semantic_children"] = moved(tables["semantic_children"], ["parent_semantic_id"], marks.withColumnRenamed("semantic_id", "parent_semantic_id"))
+    null = F.lit(None)
+    roots = members.select("doc_key", "root_id", key.alias("key")).distinct().join(tables["metadata"].select("doc_key", "format_version"), "doc_key")
+    made = {"citymodel_id": F.col("root_id"), "citymodel_kind": F.lit(kind), "feature_root_id": F.col("root_id"), "format_version": F.col("format_version")}
+    out["metadata"] = roots.select(F.col("key").alias("doc_key"), *[made.get(f.name, null).cast(f.dataType).alias(f.name) for f in schema_of("metadata")])
+    return out
