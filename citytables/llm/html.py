@@ -115,6 +115,9 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+_NO_TEXT = _hash("")
+
+
 @lru_cache(1 << 16)
 def _path(parent: int, tag: str, names: tuple[str, ...]) -> int:
     return _hash(f"{parent}/{tag}.{'.'.join(names)}")
@@ -140,6 +143,8 @@ class Page:
         spot = 0
 
         def flush():
+            if not held:
+                return
             text = " ".join("".join(held).split())
             if text:
                 self.blocks.append((spot, text))
@@ -171,7 +176,7 @@ class Page:
                     i = len(stack) - 1
                     while stack[i][0] != tag:
                         i -= 1
-                    if any(t not in INLINE for t, _ in stack[i:]):
+                    if tag in INLINE and any(t not in INLINE for t, _ in stack[i:]):
                         flush()
                     cut(i)
                 continue
@@ -188,7 +193,7 @@ class Page:
                 at = end.end() if end else len(page)
                 continue
             closed = CLOSED_BY.get(tag, ("p",) if tag in CLOSES_P else ())
-            if any(open_[t] for t in closed):
+            if closed and any(map(open_.__getitem__, closed)):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in closed:
                         cut(i)
@@ -235,6 +240,17 @@ class Page:
             shown.setdefault(self.path[n], []).append(" ".join(self.shows[n]))
         return {p: (_hash("\n".join(words.get(p, ()))), _hash("\n".join(s))) for p, s in shown.items()}
 
+    def contents(self) -> dict[int, int]:
+        """Hash of the own text, for each path that has text in or below it; the same as in evidence."""
+        words: dict[int, list[str]] = {}
+        needed: set[int] = set()
+        for n, text in self.blocks:
+            words.setdefault(self.path[n], []).append(text)
+            while n >= 0 and n not in needed:
+                needed.add(n)
+                n = self.parent[n]
+        return {p: _hash("\n".join(words[p])) if p in words else _NO_TEXT for p in {self.path[n] for n in needed}}
+
     def importance(self, content: np.ndarray, style: np.ndarray) -> np.ndarray:
         """The combined importance of each element, from its content's and its presentation's."""
         n = len(self.path)
@@ -338,14 +354,14 @@ def _kept(sent, low, prior_weight):
                 if not p.blocks:
                     out.append("")
                     continue
-                nodes = p.evidence()
+                nodes = p.contents()
                 known = {}
                 if sent is None:
                     known = {t["path"]: (t["varied"], t["style"], t["repeats"]) for t in own_tree or ()}
                 elif len(sent.value[0]):
                     keys, values = sent.value
                     host = _host_hash(host_of(url))
-                    wanted = np.array([_node_key(host, x, c) for x, (c, _) in nodes.items()], dtype=np.uint64)
+                    wanted = np.array([_node_key(host, x, c) for x, c in nodes.items()], dtype=np.uint64)
                     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                     known = {x: values[i] for x, i, found in zip(nodes, at.tolist(), (keys[at] == wanted).tolist(), strict=True) if found}
                 varied, style, repeats = np.array([known.get(x, (1.0, 1.0, 0.0)) for x in p.path]).T
@@ -382,6 +398,6 @@ def extract(
 
 def _page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "html"):
-        rows = [(row, host_of(url), p, c) for row, url, page in zip(*(b.column(c).to_pylist() for c in ("row", "url", "html")), strict=True) for p, (c, _) in Page(page).evidence().items()]
+        rows = [(row, host_of(url), p, c) for row, url, page in zip(*(b.column(c).to_pylist() for c in ("row", "url", "html")), strict=True) for p, c in Page(page).contents().items()]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.record_batch([pa.array(list(c), pa.string() if i == 1 else pa.int64()) for i, c in enumerate(columns)], names=["row", "host", "path", "content"])

@@ -134,6 +134,11 @@ def test_blocks():
     assert host_of("https://User@WWW.a.example:80/x") == "www.a.example" and host_of(None) == ""
 
 
+def test_contents_are_those_of_the_evidence():
+    p = Page("<body><div class=a><p>x<p>y</div><main><h1>T</h1>own<ul><li>1<li>2</ul></main><div></div></body>")
+    assert p.contents() == {path: content for path, (content, _) in p.evidence().items()}
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<div>x" * 50_000, "<b>x" * 50_000 + "</i>" * 50_000, "<p>x<span>" * 50_000):
         begun = time.process_time()

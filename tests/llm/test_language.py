@@ -83,3 +83,37 @@ def test_long_runs_are_scored_whole(spark):
     assert [by[i]["lang_pred"] for i in (1, 2, 3)] == ["ja", "ja", "zh"]
     assert [s["lang"] for s in by[2]["spans"]] == ["ru", "ja"] and by[1]["spans"][0]["lang"] == "zh"
     assert language.Grams(["x" * 95]).count[0] > 2 * language.Grams(["x" * 40]).count[0]  # no letter is passed over
+
+
+def test_letters_are_unicode_letters(spark):
+    model = fit([("en", ["the", "with"] * 9), ("hi", letter_runs("हिन्दी भाषा में लिखा हुआ पाठ " * 9))])
+    rows = [(1, "½ ² Ⅷ ٣ ①", None, 1.0), (2, "हिन्दी भाषा में", None, 1.0), (3, "\u0301\u0302", None, 1.0), (4, "the ½", None, 1.0)]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (1, 3)] == [("und", 0.0)] * 2
+    assert got[2]["lang_pred"] == "hi" and got[4]["lang_pred"] == "en"
+    assert letter_runs("हिन्दी e\u0301t 2x½y") == ["हिन्दी", "e\u0301t", "x", "y"]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    rows = [(1, "the which that", "en", 1.0, "a"), (2, "12", None, 2.0, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __score double, LANG_PRED string")
+    kept = corpus_pipeline.language_id(spark, df, "")
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
+def test_word_scores_by_brute_force():
+    """The model written plainly: n-grams of marked words, counts to the power, logarithms."""
+    rows = [("en", ["the", "with", "the", "this"]), ("de", ["und", "mit", "und", "und"])]
+    model = fit(rows)
+    features = lambda w: [("g", f"<{w}>"[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(w) + 3 - n)] + [("w", w)]
+    log_p = {}
+    for lang, words in rows:
+        counts = Counter()
+        for w, n in Counter(words).items():
+            for f in features(w):
+                counts[f] += n**0.75
+        total = sum(counts.values()) + 0.05 * language.BUCKETS
+        log_p[lang] = lambda f, c=counts, t=total: np.log((c[f] + 0.05) / t)
+    for w in ("the", "unit", "zzz"):
+        raw = np.array([sum(log_p[lang](f) for f in features(w)) / np.sqrt(len(features(w))) for lang in model.languages])
+        assert np.allclose(model.word_scores([w])[0], np.maximum(raw - raw.max(), language.FLOOR), atol=1e-3)

@@ -102,3 +102,27 @@ def test_repeated_rows_and_empty(spark):
     got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, SCHEMA), size=3, percent=85).collect()))
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 1, 3, True)]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_each_pair_with_a_stray_meets_once():
+    r = random.Random(1)
+    for _ in range(200):
+        n, blocks, groups = r.randrange(2, 14), r.randrange(1, 4), r.randrange(1, 4)
+        members = [(i, r.random() < 0.4, r.randrange(blocks), r.randrange(groups)) for i in range(n)]
+        tasks: dict = {}
+        for i, stray, own, mine in members:
+            for g in range(groups):
+                tasks.setdefault((own, g), []).append((i, 0 if not stray else 2 if g == mine else 3))
+            for b in range(blocks):
+                if stray and b != own:
+                    tasks.setdefault((b, mine), []).append((i, 1))
+        met = [(i, j) for t in tasks.values() for k, (i, a) in enumerate(sorted(t)) for j, c in sorted(t)[k + 1 :] if neardup._MEET[a, c]]
+        assert sorted(met) == [(x[0], y[0]) for x in members for y in members if x[0] < y[0] and (x[1] or y[1])]
+
+
+def test_documents_without_an_id(spark):
+    rows = [(None, "a b c d e", "x", 1), (None, "a b c d e", "x", 1), (4, "a b c d e", "x", 1), (None, "q r s t", "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = near_duplicates(df, size=3, percent=85).collect()
+    assert sorted((r["n_shingles"], str(r["component_id"])) for r in got) == [(2, "None"), (3, "4"), (3, "4"), (3, "4")]
+    assert keep_one(df.withColumnRenamed("comp", "gone"), size=3, percent=85).count() == 4  # rows without an id stay
