@@ -322,41 +322,45 @@ def near_duplicates(
     of_hub = comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
     apart = pairs.join(comp, "id", "left").join(of_hub, "hub", "left").where(F.coalesce("comp", "id") != F.coalesce("hub_comp", "hub")).select("id", "hub")
     apart = written(apart, "apart")
-    some = written(found.join(few(apart), ["id", "hub"], "left_semi").select("key").distinct(), "open-keys")
-    inside = written(found.join(few(some), "key"), "open-buckets")
-    dropped(found)
-    members = F.bit_xor(F.xxhash64("id")).alias("members")
-    open_ones = inside.groupBy("key").agg(F.first("hub").alias("hub"), (F.count("*") + 1).alias("n"), members).where("n > 2")
-    # of buckets of the same members only that of the first table: the first in which their pairs meet is never another
-    table = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    rest = open_ones.groupBy("members", "n", "hub").agg(F.min(F.struct(table.alias("t"), "key")).alias("one")).select("one.key", "hub", "n")
-    rest = written(rest, "rest")
-    left = written(inside.drop("hub").join(few(rest.select("key")), "key").unionByName(rest.select("key", F.col("hub").alias("id"))), "open-members")
-    # buckets with common members are one neighbourhood; in a small one every member and its set goes to one task, once
-    joined = components(left.join(rest.select("key", "hub"), "key").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    around = written(left.join(joined.withColumnRenamed("comp", "place"), "id").select("key", "id", "place"), "neighbourhoods")
-    crowded = around.groupBy("place").agg(F.approx_count_distinct("id").alias("size")).where(F.col("size") > block).select("place")
-    around = around.join(comp, "id", "left").select("key", "id", "place", F.coalesce("comp", "id").alias("comp"))
-    crowded = F.broadcast(written(crowded, "crowded"))  # one row for each block of members at most
-    small = around.join(crowded, "place", "left_anti").groupBy("place", "id").agg(F.first("comp").alias("comp")).withColumn("side", F.lit(2))
+    # a hub with an open pair and all that met it are one neighbourhood, and so are hubs with common members
+    met = written(pairs.join(few(written(apart.select("hub").distinct(), "open-hubs")), "hub"), "open-pairs")
+    joined = components(met.select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("comp", "place")
+    stars = met.groupBy("hub").agg((F.count("*") + 1).alias("star")).join(joined.withColumnRenamed("id", "hub"), "hub").groupBy("place").agg(F.max("star").alias("star"))
+    sizes = joined.groupBy("place").agg(F.count("*").alias("size")).where("size > 2").join(stars, "place").select("place", "size", (F.col("size") > F.greatest(F.lit(block), 4 * F.col("star"))).alias("loose"))
+    sizes = written(sizes, "neighbourhoods")
+    around = written(joined.join(few(sizes), "place").join(comp, "id", "left").select("id", "place", "size", "loose", F.coalesce("comp", "id").alias("comp")), "members")
+    # in a small one every member and its set goes to one task
+    small = around.where(F.col("size") <= block).withColumn("side", F.lit(2))
     more = small.join(x, "id").groupBy("place").applyInArrow(tidy_group(_searched(percent, rows, False)), "a bigint, b bigint")
-    # elsewhere bucket by bucket. Most members of a bucket are in one component already; only the others, the strays, are to be compared
-    # with all. A task has a block of the members and a group of the strays, so no task grows with a bucket
-    large = written(around.join(crowded, "place", "left_semi").select("key", "id", "comp"), "large-buckets")
+    # a larger one, if most of it met at one hub, is dealt out as a whole; a loose one, which only a chain of hubs holds together, bucket by bucket
+    loose = around.where("loose").select("id", "comp")
+    keyed = found.join(few(written(loose.select(F.col("id").alias("hub")), "loose-hubs")), "hub")
+    keyed = keyed.select("key", "id").unionByName(keyed.select("key", F.col("hub").alias("id")).distinct())
+    large = around.where(~F.col("loose") & (F.col("size") > block)).select(F.col("place").alias("key"), "id", "comp", F.lit(False).alias("bucket")).unionByName(keyed.join(loose, "id").select("key", "id", "comp", F.lit(True).alias("bucket")))
+    # most members of a group are in one component already; only the others, the strays, are to be compared with all. A task has a block of
+    # the members and a set of the strays, so no task grows with a group
+    large = written(large.withColumn("key", F.struct("bucket", "key")).drop("bucket"), "large-groups")
     parts = large.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"))
-    split = parts.select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.greatest(F.ceil((F.col("n") - F.col("most")) / block).cast("int"), F.lit(1)).alias("groups"))
+    split = parts.where("most < n").select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.greatest(F.ceil((F.col("n") - F.col("most")) / block).cast("int"), F.lit(1)).alias("groups"))
     large = large.join(few(written(split, "splits")), "key")
     large = large.select("key", "id", "comp", (F.col("comp") != F.col("main")).alias("stray"), "blocks", "groups", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int").alias("set"))
     at_home = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
         "key", "id", "comp", F.col("own").alias("block"), "group", F.when(~F.col("stray"), F.lit(0)).when(F.col("set") == F.col("group"), F.lit(2)).otherwise(F.lit(3)).alias("side")
     )
     away = large.where("stray").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("key", "id", "comp", "block", F.col("set").alias("group"), F.lit(1).alias("side"))
-    dealt = at_home.unionByName(away).join(x, "id").groupBy("key", "block", "group")
-    more = written(more.unionByName(dealt.applyInArrow(tidy_group(_searched(percent, rows, True)), "a bigint, b bigint")), "links")
-    for done in (pairs, apart, some, inside, rest, left, x):
+    dealt = at_home.unionByName(away).join(x, "id").withColumns({"bucket": F.col("key.bucket"), "key": F.col("key.key")})
+    for bucket in (False, True):
+        own = dealt.where(F.col("bucket") == bucket).groupBy("key", "block", "group")
+        more = more.unionByName(own.applyInArrow(tidy_group(_searched(percent, rows, bucket)), "a bigint, b bigint"))
+    more = written(more, "links")
+    for done in (found, pairs, apart, met, sizes, around, large, x):
         dropped(done)
-    if more.limit(1).count():
-        comp = components(links.unionByName(more))
+    if more.limit(1).count():  # only components are joined now, and these are few
+        ends = [comp.select(F.col("id").alias(c), F.col("comp").alias(f"of_{c}")) for c in ("a", "b")]
+        joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        up = components(joined)
+        moved = comp.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+        comp = written(moved.unionByName(up.join(comp.select("id"), "id", "left_anti").select("id", "comp")), "labels")
     of_id = several.select("id", "cid")
     comp = comp.join(of_id, "id").join(of_id.select(F.col("id").alias("comp"), F.col("cid").alias("root")), "comp").select(F.col("cid").alias("id"), F.col("root").alias("comp"))
 
