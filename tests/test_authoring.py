@@ -10,7 +10,7 @@ SQUARE = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)]
 
 
 def built():
-    m = a.ModelBuilder(identifier="m")
+    m = a.ModelBuilder("Town", identifier="m")
     m.add_object("b", "Building")
     m.add_object("p", "BuildingPart", parents=["b"])
     roof, wall = m.add_semantic("RoofSurface"), m.add_semantic("WallSurface")

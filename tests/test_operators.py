@@ -42,7 +42,7 @@ def test_document(spark, docs):
     assert [tuple(r)[1:] for r in document.quantized(v.drop("doc_key"), t).select("vertex_id", "qx", "qy", "qz").where("vertex_id = 2").collect()] == [(4, 4, 0)]
 
 
-@pytest.mark.parametrize("change, error", [({"type": "Other"}, "expected"), ({"version": "1.1"}, "unsupported"), ({"CityObjects": {"x": {"type": "Castle"}}}, "unknown object type"), ({"CityObjects": {"x": {"type": "Road", "children": ["y"]}}}, "unknown object: y")])
+@pytest.mark.parametrize("change, error", [({"version": None}, "expected"), ({"version": "1.1"}, "unsupported"), ({"CityObjects": {"x": {"type": "Castle"}}}, "unknown object type"), ({"CityObjects": {"x": {"type": "Road", "children": ["y"]}}}, "unknown object: y")])
 def test_document_errors(spark, change, error):
     d = document.checked(spark.createDataFrame([("d", json.dumps(DOC | change))], "doc_key string, value string"))
     with pytest.raises(PySparkException, match=error):
