@@ -14,7 +14,8 @@ windows are judged on the input, not on what is left.
    wavelet tree gives the matching statistics of every place, and where they reach `size`
    the interval of rows; an interval of several rows, or of a segment that stands for several places, is
    a repeat, and its earliest occurrence is located by the sampled suffix positions.
-4. Repeats go back to their documents as starts of windows.
+4. Repeats go back to their documents, as the runs of words that their windows cover. Each step's tables
+   and shuffle files are deleted once no later one reads them.
 
 An anchor of over hot_segments unlike segments is dealt out window by window under the hash of
 the whole window, so no shard grows with one passage. Anchors and segments of over hot_rows places are few
@@ -39,7 +40,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citytables.llm.common import dropped, fields, free_names, pieces, tidy, tidy_group, written
+from citytables.llm.common import dropped, fields, free_names, pieces, swept, tidy, tidy_group, written
 from citytables.llm.fmindex import FMIndex
 
 SIZE = 20
@@ -249,24 +250,49 @@ def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _covered(size):
+    """The runs of words that windows at starts cover, as from, to, from, to, ..., ascending and apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = b.column("starts")
+            row = np.repeat(np.arange(b.num_rows), np.diff(starts.offsets.to_numpy()))
+            at = starts.flatten().to_numpy()
+            order = np.lexsort((at, row))
+            row, at = row[order], at[order]
+            first = np.ones(len(at), dtype=bool)
+            first[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + size)
+            last = np.append(first[1:], True)[: len(at)]
+            edges = np.stack([at[first], at[last] + size], axis=1).ravel().astype(np.int32)
+            bounds = np.concatenate([[0], 2 * np.cumsum(np.bincount(row[first], minlength=b.num_rows))]).astype(np.int32)
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(edges))], names=["doc_id", "th", "spans"])
+
+    return run
+
+
 def repeats(
     keyed: DataFrame, size: int = SIZE, gram: int = GRAM, shard_words: int = 1 << 18, hot_segments: int = 2000, hot_rows: int = 5000, broadcast_rows: int = 150_000
 ) -> DataFrame:
-    """doc_id, th, copied (the whole text is), and starts (of the windows that are repeats) of keyed (doc_id, th, also, text)."""
+    """doc_id, th, copied (the whole text is), and spans (the words that windows which are repeats cover, see _covered) of keyed (doc_id, th, also, text)."""
+    spark = keyed.sparkSession
     keys = keyed.select("doc_id", "th", "also")
     first_of = keys.groupBy("th", "also").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
     first_of = written(first_of.select("th", "also", "keeper"), "keepers")
     copies = written(keys.join(_few(first_of, broadcast_rows), ["th", "also"]).where("doc_id > keeper").select("doc_id", "th").distinct(), "copies")
+    dropped(first_of)
 
     few = copies.count() <= broadcast_rows
     single = keyed.join(F.broadcast(copies), ["doc_id", "th"], "left_anti") if few else keyed
     found = single.select("doc_id", "th", "text").mapInArrow(tidy(_anchored(size, gram)), _ANCHORS)
     found = written(found if few else found.join(copies, ["doc_id", "th"], "left_anti"), "anchors")
     often = written(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchor-counts")
+    swept(spark)
     hot_anchors = F.broadcast(often.where(F.col("c") > hot_rows).select("anchor"))
     warm = found.join(hot_anchors, "anchor", "left_anti").join(often.where(F.col("c") <= hot_rows).select("anchor"), "anchor", "left_semi")
     some = written(warm.unionByName(found.join(hot_anchors, "anchor", "left_semi")), "anchors-often")
     dropped(found)
+    dropped(often)
+    swept(spark)
 
     # of equal segments the earliest stands for all; only its words are read and travel
     content = ["content", "also"]
@@ -279,6 +305,7 @@ def repeats(
     texts = keyed.join(F.broadcast(wanted), ["doc_id", "th"], "left_semi") if wanted.count() <= broadcast_rows else keyed
     segments = written(texts.join(by_doc.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(tidy(_cut_out(size)), SEGMENTS), "segments")
     dropped(by_doc)
+    swept(spark)
 
     one = segments.where("hot").groupBy(*content).agg(F.first("shard_key").alias("shard_key"), F.first("words").alias("words"), F.min(F.struct("doc_id", "th", "first")).alias("e"), (F.bool_or("many") | (F.count("*") > 1)).alias("many"))
     columns = ["shard_key", *content, "words", "many"]
@@ -288,6 +315,7 @@ def repeats(
     sharded = one.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
     searched = sharded.groupBy("shard").applyInArrow(tidy_group(_shard_searched(size)), "content bigint, also bigint, earliest array<struct<doc_id:bigint,th:bigint,at:int>>")
     earliest = written(searched, "earliest")
+    swept(spark)
 
     # back to the places; contents of many places are few, and what is known of them is broadcast
     places = some.select(*content, "doc_id", "th", "first")
@@ -303,33 +331,39 @@ def repeats(
     windows = segments.where("hot").select(*content, "parent", "parent_also", "first").join(earliest, content).join(parents, ["parent", "parent_also"])
     of_parent = F.collect_list(F.struct((F.col("first") - F.col("lead")).alias("i"), F.col("earliest")[0].alias("e")))  # as many as a segment has windows
     windows = written(windows.groupBy("parent", "parent_also").agg(of_parent.alias("own")).select(F.col("parent").alias("content"), F.col("parent_also").alias("also"), "own"), "hot-windows")
+    dropped(segments)
+    swept(spark)
     later = F.filter("own", lambda w: ~((w["e"]["doc_id"] == F.col("doc_id")) & (w["e"]["th"] == F.col("th")) & (w["e"]["at"] == F.col("first") + w["i"])))
     hot = to_places(windows).select("doc_id", "th", F.transform(later, lambda w: F.col("first") + w["i"]).alias("s")).where("size(s) > 0")
-    spans = cold.unionByName(hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("starts"), F.lit(False).alias("copied"))
-    whole = copies.select("doc_id", "th", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copied"))
-    return spans.unionByName(whole)
+    starts = cold.unionByName(hot).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    parts = starts.mapInArrow(tidy(_covered(size)), "doc_id bigint, th bigint, spans array<int>").withColumn("copied", F.lit(False))
+    whole = copies.select("doc_id", "th", F.array().cast("array<int>").alias("spans"), F.lit(True).alias("copied"))
+    out = written(parts.unionByName(whole), "repeats")
+    for done in (copies, some, leaders, earliest, windows):
+        dropped(done)
+    swept(spark)
+    return out
 
 
-def _mask(n: int, starts, copied: bool, size: int) -> np.ndarray:
+def _mask(n: int, spans, copied: bool, size: int) -> np.ndarray:
     if copied:
         return np.full(n, n >= size)
     mark = np.zeros(n + 1, dtype=np.int64)
-    starts = np.asarray(starts, dtype=np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + size, -1)
+    mark[spans[::2]] = 1
+    mark[spans[1::2]] = -1
     return np.cumsum(mark[:n]) > 0
 
 
-def _digested(starts_of, copied_of, size):
+def _digested(spans_of, copied_of, size):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             counts, removed, out = [], [], []
-            for text, starts, copied in zip(*(b.column(c).to_pylist() for c in ("text", starts_of, copied_of)), strict=True):
+            for text, spans, copied in zip(*(b.column(c).to_pylist() for c in ("text", spans_of, copied_of)), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 counts.append(len(words))
                 gone = 0
-                if starts or copied:
-                    mask = _mask(len(words), starts, bool(copied), size)
+                if spans or copied:
+                    mask = _mask(len(words), spans, bool(copied), size)
                     gone = int(mask.sum())
                     words = [words[i] for i in np.flatnonzero(~mask).tolist()]
                 removed.append(gone)
@@ -339,14 +373,14 @@ def _digested(starts_of, copied_of, size):
     return run
 
 
-def _stripped(starts_of, copied_of, size):
+def _stripped(spans_of, copied_of, size):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             texts = b.column("text").to_pylist()
-            for i, (starts, copied) in enumerate(zip(b.column(starts_of).to_pylist(), b.column(copied_of).to_pylist(), strict=True)):
-                if texts[i] and (starts or copied):
-                    texts[i] = _without(texts[i], starts, bool(copied), size)
-            rest = {n: pa.array(texts, b.column(n).type) if n == "text" else b.column(n) for n in b.schema.names if n not in (starts_of, copied_of)}
+            for i, (spans, copied) in enumerate(zip(b.column(spans_of).to_pylist(), b.column(copied_of).to_pylist(), strict=True)):
+                if texts[i] and (spans or copied):
+                    texts[i] = _without(texts[i], spans, bool(copied), size)
+            rest = {n: pa.array(texts, b.column(n).type) if n == "text" else b.column(n) for n in b.schema.names if n not in (spans_of, copied_of)}
             yield pa.record_batch(list(rest.values()), names=list(rest))
 
     return run
@@ -355,39 +389,39 @@ def _stripped(starts_of, copied_of, size):
 _WORD = re.compile("[^ \t\n\v\f\r]+")
 
 
-def _without(text: str, starts, copied: bool, size: int) -> str:
+def _without(text: str, spans, copied: bool, size: int) -> str:
     """The text less the words that go, each with the white space ahead of it."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    gone = _mask(len(spans), starts, copied, size)
+    words = [m.span() for m in _WORD.finditer(text)]
+    gone = _mask(len(words), spans, copied, size)
     if not gone.any():
         return text
     parts: list[str] = []
     for j in np.flatnonzero(~gone).tolist():
-        parts.append(text[spans[j - 1][1] if j and parts else spans[j][0] : spans[j][1]])
+        parts.append(text[words[j - 1][1] if j and parts else words[j][0] : words[j][1]])
     return "".join(parts)
 
 
 def _joined(docs: DataFrame, size: int, **options) -> tuple[DataFrame, str, str]:
-    """docs with two columns more, starts and copied, whose names are returned too."""
+    """docs with two columns more, spans and copied, whose names are returned too."""
     text = F.coalesce("text", F.lit(""))
     th = F.xxhash64(text)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
     keyed = docs.select(id_.alias("doc_id"), th.alias("th"), F.xxhash64(F.lit(7), text).alias("also"), "text")
-    found = written(repeats(keyed, size=size, **options), "repeats")
-    doc, hash_, starts, copied = free_names(docs.columns, "__doc", "__th", "__starts", "__copied")
-    found = found.select(F.col("doc_id").alias(doc), F.col("th").alias(hash_), F.col("starts").alias(starts), F.col("copied").alias(copied))
-    small = (found.agg(F.sum(F.size(starts) + 4)).first()[0] or 0) <= 16 * options.get("broadcast_rows", 150_000)
+    found = repeats(keyed, size=size, **options)
+    doc, hash_, spans, copied = free_names(docs.columns, "__doc", "__th", "__spans", "__copied")
+    found = found.select(F.col("doc_id").alias(doc), F.col("th").alias(hash_), F.col("spans").alias(spans), F.col("copied").alias(copied))
+    small = (found.agg(F.sum(F.size(spans) + 4)).first()[0] or 0) <= 16 * options.get("broadcast_rows", 150_000)
     joined = docs.withColumns({doc: id_, hash_: th}).join(F.broadcast(found) if small else found, [doc, hash_], "left")
-    return joined.drop(doc, hash_), starts, copied
+    return joined.drop(doc, hash_), spans, copied
 
 
 def dedup_digest(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
-    joined, starts, copied = _joined(docs.select("doc_id", "text"), size, **options)
-    return joined.mapInArrow(tidy(_digested(starts, copied, size)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    joined, spans, copied = _joined(docs.select("doc_id", "text"), size, **options)
+    return joined.mapInArrow(tidy(_digested(spans, copied, size)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """docs, all columns, with the repeats removed from text."""
-    joined, starts, copied = _joined(docs, size, **options)
-    return joined.mapInArrow(tidy(_stripped(starts, copied, size)), fields(docs.schema))
+    joined, spans, copied = _joined(docs, size, **options)
+    return joined.mapInArrow(tidy(_stripped(spans, copied, size)), fields(docs.schema))

@@ -1,10 +1,14 @@
 """Substring deduplication against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
-from citytables.llm.substring import Words, dedup_digest, dedup_texts
+from pyspark.sql import functions as F
+
+from citytables.llm.common import shared_dir
+from citytables.llm.substring import Words, dedup_digest, dedup_texts, repeats
 
 SCHEMA = "doc_id long, text string, th string, spans int"
 
@@ -68,3 +72,16 @@ def test_words_and_empty(spark):
     assert [w.of(i) for i in range(4)] == [[b"a", b"bc", "dé".encode()], [], [], [b"bc"]]
     assert w.prints[1] == w.prints[3] and len(set(w.prints.tolist())) == 3
     assert dedup_digest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_what_repeats_leave_on_disk(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long), (2, f"x {long} y"), (3, f"{long} z {long}"), (4, long), (5, " ".join(f"w{i}" for i in range(7, 40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    for kw in ({}, {"hot_segments": 0}, {"hot_rows": 1, "broadcast_rows": 0}):
+        got = repeats(df.select("doc_id", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(7), "text").alias("also"), "text"), **kw)
+        assert {r["doc_id"]: (r["spans"], r["copied"]) for r in got.collect()} == {2: ([1, 301], False), 3: ([0, 300, 301, 601], False), 4: ([], True), 5: ([0, 33], False)}
+        left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+        assert len(left) == 1 and left.pop().startswith("repeats-")
+        before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
