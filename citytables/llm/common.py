@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -55,12 +54,6 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def swept(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: shuffle files of finished steps stay on the executors' disks until it does."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def lookup(rows: DataFrame, known: DataFrame, on: list[str], places: str, hot: int) -> DataFrame:
     """rows with the columns that known has for their key (one row a key; rows without one are left out).
 
@@ -92,6 +85,7 @@ def fields(schema) -> str:
 def _give_back() -> None:
     """Return the memory that this worker has freed to the system: an idle worker lives on beside the next stage's."""
     import ctypes
+    import gc
 
     import pyarrow as pa
 
