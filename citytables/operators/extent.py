@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citytables.functions.spatial import affine, box, grid_cell, hilbert, overlaps
+from citytables.functions.spatial import affine, box, grid_cell, hilbert, identity, overlaps
 
 SIX = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
 
@@ -22,11 +22,31 @@ def model_extent(extents: DataFrame) -> DataFrame:
     return extents.agg(*[F.min(c).alias(c) for c in SIX[:3]], *[F.max(c).alias(c) for c in SIX[3:]])
 
 
+def line_ends(points: DataFrame, by: str) -> DataFrame:
+    """The points (x, y, z) that can be at an edge of a box after some matrix.
+
+    Of the points on a line along an axis only both ends can: sums and products keep order when they are rounded, so
+    results are the same to the last bit. Numbers that aren't finite are kept each.
+    """
+    points = points.select(by, "x", "y", "z")
+    for own in "zyx":
+        other = [c for c in "xyz" if c != own]
+        odd = F.when(F.col(own).isNull() | F.isnan(own) | (F.abs(own) == float("inf")), F.col(own))
+        ends = points.groupBy(by, *other, odd.alias("__odd")).agg(F.min(own).alias("__low"), F.max(own).alias("__high"))
+        points = ends.select(by, *other, F.explode(F.array_distinct(F.array("__low", "__high"))).alias(own))
+    return points
+
+
 def instance_extents(instances: DataFrame, template_vertices: DataFrame) -> DataFrame:
-    """Box of each instance: its template's vertices, by its matrix, then moved to its reference point (rx, ry, rz)."""
-    rows = instances.join(template_vertices, "template_geometry_id")
-    x, y, z = affine(F.col("transform_matrix"), F.col("x"), F.col("y"), F.col("z"))
-    return rows.groupBy("geometry_id").agg(*box([x + F.col("rx"), y + F.col("ry"), z + F.col("rz")]))
+    """Box of each instance: its template's vertices, by its matrix, then moved to its (finite) reference point (rx, ry, rz).
+
+    Vertices meet each different matrix of their template once, not each instance: to move a box moves its points, rounded alike.
+    """
+    placed = instances.withColumn("__m", F.coalesce("transform_matrix", identity()))
+    turns = placed.select("template_geometry_id", "__m").distinct().join(line_ends(template_vertices, "template_geometry_id"), "template_geometry_id")
+    boxes = turns.groupBy("template_geometry_id", "__m").agg(*box(affine(F.col("__m"), F.col("x"), F.col("y"), F.col("z"))))
+    moved = [(f, f"{m}_{a}", F.col(f"{m}_{a}") + F.col(f"r{a}")) for m, f in (("min", F.min), ("max", F.max)) for a in "xyz"]
+    return placed.join(boxes, ["template_geometry_id", "__m"]).groupBy("geometry_id").agg(*[f(c).alias(n) for f, n, c in moved])
 
 
 def bbox_query(extents: DataFrame, window: tuple[float, float, float, float]) -> DataFrame:

@@ -167,3 +167,29 @@ def test_scalars(spark):
     i = spark.createDataFrame([(1, 5, None, 1.0, 2.0, 3.0)], "geometry_id long, template_geometry_id long, transform_matrix array<double>, rx double, ry double, rz double")
     t = spark.createDataFrame([(5, 0.0, 0.0, 0.0), (5, 1.0, 1.0, 1.0)], "template_geometry_id long, x double, y double, z double")
     assert tuple(extent.instance_extents(i, t).first()) == (1, 1.0, 2.0, 3.0, 2.0, 3.0, 4.0)
+
+
+def _joined(plan):
+    """The largest number of rows that a join of a finished plan (without adaptive execution) made."""
+    kids = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.getClass().getSimpleName() else 0
+    return max([own, *[_joined(kids.apply(i)) for i in range(kids.size())]])
+
+
+def test_instances_of_a_large_template(spark):
+    """Vertices aren't paired with each instance, and boxes are those of all points."""
+    turn = [0.1, -0.7, 0.3, 100.0, 0.9, 0.2, -0.4, 50.0, -0.6, 0.1, 0.8, 0.0, 0.0, 0.0, 0.0, 1.0]
+    dots = [(k % 2, (k * 37 % 91) / 7, (k * 53 % 83) / 3, (k * 29 % 101) / 9) for k in range(400)] + [(0, None, 900.0, 1.0), (1, 1.0, 2.0, float("inf")), (2, 5.0, 6.0, None)]
+    placed = [(k, k % 4, [v * (1 + k % 3) for v in turn] if k % 5 else None, k / 7, -k / 3, k * 11.0) for k in range(300)] + [(7, 0, turn, -1e6, 0.0, 0.0)]
+    i = spark.createDataFrame(placed, "geometry_id bigint, template_geometry_id bigint, transform_matrix array<double>, rx double, ry double, rz double")
+    t = spark.createDataFrame(dots, "template_geometry_id bigint, x double, y double, z double")
+    x, y, z = spatial.affine(F.col("transform_matrix"), F.col("x"), F.col("y"), F.col("z"))
+    want = i.join(t, "template_geometry_id").groupBy("geometry_id").agg(*spatial.box([x + F.col("rx"), y + F.col("ry"), z + F.col("rz")]))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = extent.instance_extents(i, t)
+        got = df.collect()
+        assert _joined(df._jdf.queryExecution().executedPlan()) < 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect())) and len(got) == 226
