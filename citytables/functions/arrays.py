@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it (functions of array members else repeat it for each)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def offsets(parts: Column) -> Column:
     """Start of each part in the flattened array: running sums of the sizes, from 0."""
     sizes = F.transform(parts, lambda p: F.size(p))
@@ -24,8 +31,8 @@ def flatten_levels(nested: Column, depth: int) -> list[Column]:
 
 def unflatten(children: Column, starts: Column) -> Column:
     """Arrays of children, one for each start; the last ends with the children."""
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(children)))
-    return F.zip_with(starts, ends, lambda a, z: F.slice(children, a + 1, z - a))
+    ends = lambda c: F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(c)))
+    return bound(children, lambda c: F.zip_with(starts, ends(c), lambda a, z: F.slice(c, a + 1, z - a)))
 
 
 def offsets_consistent(starts: Column, n_children: Column) -> Column:

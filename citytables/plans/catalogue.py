@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citytables.functions import arrays, attributes, spatial
 from citytables.operators import extent, filters, index, merge, selection, validate
 from citytables.plans.adapter import GEO, OBJ, edges, features, geometries, objects, vertices
-from citytables.session import materialised, table
+from citytables.session import materialised, spread, table
 from citytables.sources import document, model
 from citytables.sources.dataset import schema_of
 
@@ -513,7 +513,7 @@ def validate_geometries(spark, sf_dir):
 
 def _house_documents(spark, sf_dir):
     """A document for each customer: a house of two surfaces, with semantics, a material and a texture."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_custkey")
     num = lambda *v: F.array(*[F.lit(x).cast("int") if not hasattr(x, "_jc") else x.cast("int") for x in v])
     none = F.lit(None).cast("int")
     geometry = F.struct(

@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all cores by its keys: for narrow rows ahead of much work for each, as one row group of a file is one task."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir).
 

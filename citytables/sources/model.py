@@ -7,12 +7,13 @@ so numbers, strings, lists and nulls keep their kind. A document is one row on b
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citytables.functions.arrays import flatten_levels, unflatten
+from citytables.functions.arrays import bound, flatten_levels, unflatten
 from citytables.functions.spatial import dequantize, parse_lod, parse_object_type, parse_version, quantize
 from citytables.functions.values import parse_contact_role, parse_contact_type, parse_image_type, parse_semantic_type, parse_texture_type, parse_wrap_mode
 from citytables.schema import GEOMETRY_TYPES, TABLES
@@ -35,6 +36,37 @@ _VARIANTS = "map<string,variant>"
 _GEOMETRY = "type:string,lod:string,boundaries:string,semantics:struct<surfaces:array<map<string,variant>>,values:string>,material:map<string,struct<value:string,values:string>>,texture:map<string,struct<values:string>>,template:bigint,transformationMatrix:array<double>"
 
 
+#: Objects of a document up to which their geometries are numbered in its row; those of larger ones are numbered by a window.
+FEW = 256
+
+
+class Tables(Mapping):
+    """Tables by name. Each is planned, and the steps that it shares with others are written, when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __or__(self, other: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        return {**self, **other}
+
+    def __ror__(self, other: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        return {**other, **self}
+
+
 def _typed(names: dict[str, tuple[str, str]]) -> str:
     return ",".join(f"`{n}`:{kind}" for n, (_, kind) in names.items())
 
@@ -52,45 +84,51 @@ def _indices(text: Column) -> Column:
 
 def _fit(values: Column, n: Column, size: Column) -> Column:
     """n values: cut or filled up with nulls; numbers that aren't below size are null."""
-    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: _below(F.try_element_at(values, i), size))
+    n = F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
+    known = F.coalesce(F.transform(values, lambda v: _below(v, size)), F.array().cast("array<bigint>"))
+    return bound(known, lambda k: F.concat(F.slice(k, F.lit(1), n), F.array_repeat(F.lit(None).cast("bigint"), F.greatest(n - F.size(k), F.lit(0)))))
 
 
 def _below(value: Column, size: Column) -> Column:
     return F.when((value >= 0) & (value < size), value)
 
 
-def _boundaries(kind: Column, text: Column) -> dict[str, Column]:
-    value = {n: F.lit(None).cast("array<int>") for n in OFFSETS}
-    for name, depth in GEOMETRY_TYPES.items():
-        if depth:
-            flat = flatten_levels(F.from_json(text, "array<" * depth + "int" + ">" * depth), depth)
-            own = ["vertex_indices", *(["line_offsets"] if depth == 2 else ["ring_offsets", "surface_offsets", "shell_offsets", "solid_offsets"][: depth - 1])]
-            for column, x in zip(own, flat, strict=True):
-                value[column] = F.when(kind == name, x).otherwise(value[column])
-    return value
+def _boundaries(kind: Column, text: Column) -> Column:
+    """The flat boundaries as a struct of OFFSETS, each text parsed once."""
+    none = F.lit(None).cast("array<int>")
+    out = F.lit(None).cast("struct<" + ",".join(f"{n}:array<int>" for n in OFFSETS) + ">")
+    for depth in sorted(set(GEOMETRY_TYPES.values()) - {0}):
+        own = ["vertex_indices", *(["line_offsets"] if depth == 2 else ["ring_offsets", "surface_offsets", "shell_offsets", "solid_offsets"][: depth - 1])]
+
+        found = lambda nested: dict(zip(own, flatten_levels(nested, depth), strict=True))  # noqa: B023, E731
+        value = bound(F.from_json(text, "array<" * depth + "int" + ">" * depth), lambda nested: F.struct(*[found(nested).get(n, none).alias(n) for n in OFFSETS]))  # noqa: B023
+        out = F.when(kind.isin([k for k, d in GEOMETRY_TYPES.items() if d == depth]), value).otherwise(out)
+    return out
 
 
 def _checked_type(kind: Column) -> Column:
     return F.when(kind.isin(*GEOMETRY_TYPES), kind).otherwise(F.raise_error(F.concat(F.lit("unknown geometry type: "), F.coalesce(kind, F.lit("null")))))
 
 
-def _explicit(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All tables, each with doc_key and its canonical columns and types."""
-    out = {}
-    for name in TABLES:
-        if name in tables:
-            out[name] = tables[name].select("doc_key", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(name)])
-    return out
+def _each(rows: DataFrame, columns: list, of: Column | str, pos: str, item: str) -> DataFrame:
+    """The columns with the place and item of each member of an array. Outer, then filtered: of a plain posexplode Spark infers filters
+    on the array, which it moves below shuffles and works out again, the parsing of the array included."""
+    return rows.select(*columns, F.posexplode_outer(of).alias(pos, item)).where(F.col(pos).isNotNull())
+
 
+def _explicit(name: str, df: DataFrame) -> DataFrame:
+    """A table with doc_key and its canonical columns and types."""
+    return df.select("doc_key", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(name)])
 
-def _assignments(rows: DataFrame, id_col: str, n_materials: Column, prefix: str) -> dict[str, DataFrame]:
+
+def _assignments(rows: DataFrame, id_col: str, n_materials: Column, prefix: str) -> dict[str, Callable[[], DataFrame]]:
     """Long-form semantics, materials and ring textures of geometry rows with flat boundaries."""
     depth = F.when(F.col("geometry_type") == "MultiPoint", 1).when(F.col("geometry_type") == "MultiLineString", 2).otherwise(3)
     n = F.when(depth == 1, F.size("vertex_indices")).when(depth == 2, F.size("line_offsets")).otherwise(F.size("surface_offsets"))
     n_semantics = F.coalesce(F.size("g.semantics.surfaces"), F.lit(0))
     semantic = F.transform(_fit(_indices(F.col("g.semantics.values")), n, n_semantics), lambda i: i + F.col("semantic_start"))
     have = rows.where(F.col("g.semantics").isNotNull() & F.col("vertex_indices").isNotNull())
-    semantics = materialised(have.select("doc_key", id_col, depth.alias("depth"), F.posexplode(semantic).alias("ordinal", "semantic_id")))
+    semantics = cache(lambda: materialised(have.select("doc_key", id_col, depth.alias("depth"), F.posexplode(semantic).alias("ordinal", "semantic_id"))))
     surfaces = rows.where("surface_offsets is not null and size(surface_offsets) > 0")
     themes = surfaces.select("doc_key", id_col, "n_materials", F.size("surface_offsets").alias("n"), F.explode("g.material").alias("theme", "t"))
     no_value = F.raise_error(F.concat(F.lit("material theme without value or values: "), F.col("theme")))
@@ -115,111 +153,158 @@ def _assignments(rows: DataFrame, id_col: str, n_materials: Column, prefix: str)
     if prefix:
         kind = F.when(F.col("depth") == 1, "point").when(F.col("depth") == 2, "linestring").otherwise("surface").alias("primitive_type")
         return {
-            "template_geometry_semantics": semantics.select("doc_key", id_col, kind, F.col("ordinal").alias("primitive_ordinal"), "semantic_id"),
-            "template_geometry_materials": materials.select("doc_key", id_col, F.lit("surface").alias("primitive_type"), F.col("surface_ordinal").alias("primitive_ordinal"), "theme", "material_id"),
-            "template_geometry_ring_textures": textures,
+            "template_geometry_semantics": lambda: semantics().select("doc_key", id_col, kind, F.col("ordinal").alias("primitive_ordinal"), "semantic_id"),
+            "template_geometry_materials": lambda: materials.select("doc_key", id_col, F.lit("surface").alias("primitive_type"), F.col("surface_ordinal").alias("primitive_ordinal"), "theme", "material_id"),
+            "template_geometry_ring_textures": lambda: textures,
         }
-    of = lambda d, name: semantics.where(F.col("depth") == d).select("doc_key", id_col, F.col("ordinal").alias(name), "semantic_id")
+    of = lambda d, name: lambda: semantics().where(F.col("depth") == d).select("doc_key", id_col, F.col("ordinal").alias(name), "semantic_id")
     return {
         "geometry_point_semantics": of(1, "point_ordinal"), "geometry_linestring_semantics": of(2, "linestring_ordinal"), "geometry_surface_semantics": of(3, "surface_ordinal"),
-        "geometry_surface_materials": materials, "geometry_ring_textures": textures,
+        "geometry_surface_materials": lambda: materials, "geometry_ring_textures": lambda: textures,
     }
 
 
-def read_models(docs: DataFrame) -> dict[str, DataFrame]:
+def read_models(docs: DataFrame) -> Mapping[str, DataFrame]:
     """The canonical tables of documents or features (doc_key, value), each with doc_key.
 
     A root without a kind, an unknown version, object or geometry type, a child that isn't there, and a feature
-    without an id that names one of its objects are errors while reading.
+    without an id that names one of its objects are errors while reading the tables that they belong to. A table reads
+    only the members that it holds; geometries are parsed once for all of theirs.
     """
-    # objects keep their order, which variants don't
-    r = docs.select("doc_key", F.from_json("value", _VARIANTS).alias("m"), F.from_json("value", "struct<CityObjects:map<string,string>>").alias("plain"))
-    appearance = F.from_json(F.to_json(F.col("m")["appearance"]), f"struct<materials:array<struct<{_typed(MATERIAL)}>>,textures:array<struct<{_typed(TEXTURE)}>>,`vertices-texture`:array<array<float>>,`default-theme-material`:string,`default-theme-texture`:string>")
-    templates = F.from_json(F.to_json(F.col("m")["geometry-templates"]), f"struct<templates:array<struct<{_GEOMETRY}>>,`vertices-templates`:array<array<double>>>")
-    objects_of = F.map_entries("plain.CityObjects")
-    text = lambda name: F.col("m")[name].cast("string")
+    docs = docs.select("doc_key", "value")
+    looks = f"struct<materials:array<struct<{_typed(MATERIAL)}>>,textures:array<struct<{_typed(TEXTURE)}>>,`vertices-texture`:array<array<float>>,`default-theme-material`:string,`default-theme-texture`:string>"
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    base = r.select(
-        "doc_key", "m", appearance.alias("a"), templates.alias("t"), objects_of.alias("objects"),
-        F.from_json(F.to_json(F.col("m")["transform"]), "struct<scale:array<double>,translate:array<double>>").alias("transform"), F.from_json(F.to_json(F.col("m")["metadata"]), _VARIANTS).alias("meta"),
-    )
-    pools = [size("a.materials").alias("n_materials"), size("a.textures").alias("n_textures"), size("a.`vertices-texture`").alias("n_uv")]
-
-    out: dict[str, DataFrame] = {}
-    kind = F.when(text("type").isNotNull(), text("type")).otherwise(F.raise_error(F.lit("a root without a type")))
-    is_feature = text("type").endswith("Feature")
-    named = F.when(is_feature & ~F.exists("objects", lambda o: o["key"].eqNullSafe(text("id"))), F.raise_error(F.lit("a feature's id names none of its objects"))).otherwise(text("id"))
-    meta = lambda name: F.col("meta")[name].cast("string")
-    contact = F.from_json(F.to_json(F.col("meta")["pointOfContact"]), "struct<role:string,contactType:string>")
-    known_contact = F.struct(parse_contact_role(contact["role"]), parse_contact_type(contact["contactType"])).isNotNull()  # or an error
-    out["metadata"] = base.select(
-        "doc_key", F.coalesce(meta("identifier"), F.lit("citymodel")).alias("citymodel_id"), F.when(is_feature & text("version").isNull(), F.lit(None)).otherwise(parse_version(text("version"))).alias("format_version"),
-        kind.alias("citymodel_kind"), F.when(is_feature, named).alias("feature_root_id"), *[meta(n).alias(c) for n, c in METADATA.items()],
-        F.from_json(F.to_json(F.col("meta")["geographicalExtent"]), "array<double>").alias("geographical_extent"), F.col("a.`default-theme-material`").alias("default_material_theme"),
-        F.col("a.`default-theme-texture`").alias("default_texture_theme"), F.when(known_contact, F.to_json(F.col("meta")["pointOfContact"])).alias("point_of_contact"),
-        _extra(F.col("m"), ROOT).alias("root_extra"), _extra(F.col("meta"), (*METADATA, "geographicalExtent", "pointOfContact")).alias("metadata_extra"),
-    )
-    extension = F.from_json(F.to_json(F.col("m")["extensions"]), "map<string,struct<url:string,version:string>>")
-    out["extensions"] = base.select("doc_key", F.explode(extension).alias("extension_name", "e")).select("doc_key", "extension_name", F.col("e.url").alias("uri"), "e.version")
-    points = base.select("doc_key", "transform", F.posexplode(F.from_json(F.to_json(F.col("m")["vertices"]), "array<array<double>>")).alias("vertex_id", "v"))
-    out["vertices"] = points.select("doc_key", "vertex_id", *[dequantize(F.col("v")[i], F.coalesce(F.col("transform.scale")[i], F.lit(1.0)), F.coalesce(F.col("transform.translate")[i], F.lit(0.0))).alias(c) for i, c in enumerate("xyz")])
-    template_points = base.select("doc_key", F.posexplode("t.`vertices-templates`").alias("template_vertex_id", "v"))
-    out["template_vertices"] = template_points.select("doc_key", "template_vertex_id", *[F.col("v")[i].alias(c) for i, c in enumerate("xyz")])
-    out["texture_vertices"] = base.select("doc_key", F.posexplode("a.`vertices-texture`").alias("uv_id", "v")).select("doc_key", "uv_id", F.col("v")[0].alias("u"), F.col("v")[1].alias("v"))
-    out["materials"] = base.select("doc_key", F.posexplode("a.materials").alias("material_id", "x")).select("doc_key", "material_id", *[F.col(f"x.{n}").alias(c) for n, (c, _) in MATERIAL.items()])
-    known_texture = {"type": parse_image_type, "wrapMode": parse_wrap_mode, "textureType": parse_texture_type}
-    out["textures"] = base.select("doc_key", F.posexplode("a.textures").alias("texture_id", "x")).select("doc_key", "texture_id", *[known_texture.get(n, lambda c: c)(F.col(f"x.{n}")).alias(c) for n, (c, _) in TEXTURE.items()])
-
-    entries = base.select("doc_key", *pools, F.posexplode("objects").alias("cityobject_ix", "e"))
-    parsed = entries.select("doc_key", "n_materials", "n_textures", "n_uv", "cityobject_ix", F.col("e.key").alias("cityobject_id"), F.from_json("e.value", _VARIANTS).alias("o"), F.from_json("e.value", f"struct<parents:array<string>,children:array<string>,geographicalExtent:array<double>,geometry:array<struct<{_GEOMETRY}>>>").alias("p"))
-    parsed = materialised(parsed)
-    out["cityobjects"] = parsed.select(
-        "doc_key", "cityobject_id", "cityobject_ix", parse_object_type(F.col("o")["type"].cast("string")).alias("object_type"), F.col("p.geographicalExtent").alias("geographical_extent"),
-        F.to_json(F.col("o")["attributes"]).alias("attributes"), _extra(F.col("o"), OBJECT).alias("extra"),
-    )
-    children = parsed.select("doc_key", F.col("cityobject_ix").alias("parent_cityobject_ix"), F.posexplode("p.children").alias("child_ordinal", "cityobject_id"))
-    there = parsed.select("doc_key", "cityobject_id", F.col("cityobject_ix").alias("found"))
-    found = F.coalesce("found", F.raise_error(F.concat(F.lit("unknown object: "), F.col("cityobject_id"))))
-    out["cityobject_children"] = children.join(there, ["doc_key", "cityobject_id"], "left").select("doc_key", "parent_cityobject_ix", "child_ordinal", found.alias("child_cityobject_ix"))
-
-    # numbers run on through the objects of a document, templates last
-    n_geometries, n_semantics = size("p.geometry"), F.aggregate(F.coalesce("p.geometry", F.array().cast(f"array<struct<{_GEOMETRY}>>")), F.lit(0), lambda n, g: n + size(g["semantics"]["surfaces"]))
-    before = Window.partitionBy("doc_key").orderBy("cityobject_ix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parsed.select("doc_key", "cityobject_ix", F.coalesce(F.sum(n_geometries).over(before), F.lit(0)).alias("geometry_start"), F.coalesce(F.sum(n_semantics).over(before), F.lit(0)).alias("semantic_base"), n_semantics.alias("n_semantics"))
-    starts = materialised(starts)
-    geometry_rows = parsed.join(starts.drop("n_semantics"), ["doc_key", "cityobject_ix"]).select("doc_key", "n_materials", "n_textures", "n_uv", "cityobject_ix", "geometry_start", "semantic_base", F.col("p.geometry").alias("all"), F.posexplode("p.geometry").alias("geometry_ordinal", "g"))
-    own_start = F.aggregate(F.slice("all", F.lit(1), F.col("geometry_ordinal")), F.lit(0).cast("bigint"), lambda n, g: n + size(g["semantics"]["surfaces"]))
-    geometry_rows = geometry_rows.withColumns({"geometry_id": F.col("geometry_start") + F.col("geometry_ordinal"), "semantic_start": F.col("semantic_base") + own_start}).drop("all")
-    totals = starts.groupBy("doc_key").agg(F.sum("n_semantics").alias("semantic_base"))
-    template_rows = base.join(totals, "doc_key", "left").select("doc_key", *pools, F.coalesce("semantic_base", F.lit(0)).alias("semantic_base"), F.col("t.templates").alias("all"), F.posexplode("t.templates").alias("template_geometry_id", "g"))
-    template_start = F.aggregate(F.slice("all", F.lit(1), F.col("template_geometry_id")), F.lit(0).cast("bigint"), lambda n, g: n + size(g["semantics"]["surfaces"]))
-    template_rows = template_rows.withColumn("semantic_start", F.col("semantic_base") + template_start).drop("all")
+    n_surfaces = lambda all_: F.aggregate(F.coalesce(all_, F.array().cast(f"array<struct<{_GEOMETRY}>>")), F.lit(0).cast("bigint"), lambda n, g: n + size(g["semantics"]["surfaces"]))
+    member = lambda name, kind: F.from_json(F.to_json(F.from_json("value", f"struct<`{name}`:variant>")[name]), kind)
+    # objects keep their order, which variants don't
+    objects = F.map_entries(F.from_json("value", "struct<CityObjects:map<string,string>>")["CityObjects"]).alias("objects")
+    entries = _each(docs.select("doc_key", objects), ["doc_key"], "objects", "cityobject_ix", "e")
+    look = docs.select("doc_key", member("appearance", looks).alias("a"))
+    pools = {"n_materials": size("a.materials"), "n_textures": size("a.textures"), "n_uv": size("a.`vertices-texture`")}
+
+    def metadata() -> DataFrame:
+        base = docs.select("doc_key", F.from_json("value", _VARIANTS).alias("m"), objects)
+        base = base.select("doc_key", "m", "objects", F.from_json(F.to_json(F.col("m")["appearance"]), looks).alias("a"), F.from_json(F.to_json(F.col("m")["metadata"]), _VARIANTS).alias("meta"))
+        text = lambda name: F.col("m")[name].cast("string")
+        kind = F.when(text("type").isNotNull(), text("type")).otherwise(F.raise_error(F.lit("a root without a type")))
+        is_feature = text("type").endswith("Feature")
+        named = F.when(is_feature & ~F.exists("objects", lambda o: o["key"].eqNullSafe(text("id"))), F.raise_error(F.lit("a feature's id names none of its objects"))).otherwise(text("id"))
+        meta = lambda name: F.col("meta")[name].cast("string")
+        contact = F.from_json(F.to_json(F.col("meta")["pointOfContact"]), "struct<role:string,contactType:string>")
+        known_contact = F.struct(parse_contact_role(contact["role"]), parse_contact_type(contact["contactType"])).isNotNull()  # or an error
+        return base.select(
+            "doc_key", F.coalesce(meta("identifier"), F.lit("citymodel")).alias("citymodel_id"), F.when(is_feature & text("version").isNull(), F.lit(None)).otherwise(parse_version(text("version"))).alias("format_version"),
+            kind.alias("citymodel_kind"), F.when(is_feature, named).alias("feature_root_id"), *[meta(n).alias(c) for n, c in METADATA.items()],
+            F.from_json(F.to_json(F.col("meta")["geographicalExtent"]), "array<double>").alias("geographical_extent"), F.col("a.`default-theme-material`").alias("default_material_theme"),
+            F.col("a.`default-theme-texture`").alias("default_texture_theme"), F.when(known_contact, F.to_json(F.col("meta")["pointOfContact"])).alias("point_of_contact"),
+            _extra(F.col("m"), ROOT).alias("root_extra"), _extra(F.col("meta"), (*METADATA, "geographicalExtent", "pointOfContact")).alias("metadata_extra"),
+        )
+
+    def extensions() -> DataFrame:
+        each = _each(docs, ["doc_key"], F.map_entries(member("extensions", "map<string,struct<url:string,version:string>>")), "pos", "e")
+        return each.select("doc_key", F.col("e.key").alias("extension_name"), F.col("e.value.url").alias("uri"), "e.value.version")
+
+    def vertices() -> DataFrame:
+        points = _each(docs, ["doc_key", member("transform", "struct<scale:array<double>,translate:array<double>>").alias("transform")], member("vertices", "array<array<double>>"), "vertex_id", "v")
+        return points.select("doc_key", "vertex_id", *[dequantize(F.col("v")[i], F.coalesce(F.col("transform.scale")[i], F.lit(1.0)), F.coalesce(F.col("transform.translate")[i], F.lit(0.0))).alias(c) for i, c in enumerate("xyz")])
+
+    def template_vertices() -> DataFrame:
+        points = _each(docs, ["doc_key"], member("geometry-templates", "struct<`vertices-templates`:array<array<double>>>")["vertices-templates"], "template_vertex_id", "v")
+        return points.select("doc_key", "template_vertex_id", *[F.col("v")[i].alias(c) for i, c in enumerate("xyz")])
+
+    def texture_vertices() -> DataFrame:
+        return _each(look, ["doc_key"], "a.`vertices-texture`", "uv_id", "v").select("doc_key", "uv_id", F.col("v")[0].alias("u"), F.col("v")[1].alias("v"))
+
+    def materials() -> DataFrame:
+        return _each(look, ["doc_key"], "a.materials", "material_id", "x").select("doc_key", "material_id", *[F.col(f"x.{n}").alias(c) for n, (c, _) in MATERIAL.items()])
+
+    def textures() -> DataFrame:
+        known = {"type": parse_image_type, "wrapMode": parse_wrap_mode, "textureType": parse_texture_type}
+        return _each(look, ["doc_key"], "a.textures", "texture_id", "x").select("doc_key", "texture_id", *[known.get(n, lambda c: c)(F.col(f"x.{n}")).alias(c) for n, (c, _) in TEXTURE.items()])
+
+    def cityobjects() -> DataFrame:
+        rows = entries.select("doc_key", F.col("e.key").alias("cityobject_id"), "cityobject_ix", F.from_json("e.value", _VARIANTS).alias("o"), F.from_json("e.value", "struct<geographicalExtent:array<double>,geometry:array<struct<type:string,lod:string>>>").alias("p"))
+        known = F.forall(F.coalesce("p.geometry", F.array().cast("array<struct<type:string,lod:string>>")), lambda g: _checked_type(g["type"]).isNotNull() & (g["lod"].isNull() | parse_lod(g["lod"]).isNotNull()))  # or an error
+        return rows.select(
+            "doc_key", "cityobject_id", "cityobject_ix", F.when(known, parse_object_type(F.col("o")["type"].cast("string"))).alias("object_type"), F.col("p.geographicalExtent").alias("geographical_extent"),
+            F.to_json(F.col("o")["attributes"]).alias("attributes"), _extra(F.col("o"), OBJECT).alias("extra"),
+        )
+
+    def cityobject_children() -> DataFrame:
+        of = F.from_json("e.value", "struct<children:array<string>>")["children"]
+        children = materialised(_each(entries, ["doc_key", F.col("cityobject_ix").alias("parent_cityobject_ix")], of, "child_ordinal", "cityobject_id"))
+        there = entries.join(children.select("doc_key").distinct(), "doc_key", "left_semi").select("doc_key", F.col("e.key").alias("cityobject_id"), F.col("cityobject_ix").alias("found"))
+        found = F.coalesce("found", F.raise_error(F.concat(F.lit("unknown object: "), F.col("cityobject_id"))))
+        return materialised(children.join(there, ["doc_key", "cityobject_id"], "left").select("doc_key", "parent_cityobject_ix", "child_ordinal", found.alias("child_cityobject_ix")))
 
     def flat(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("geometry_type", _checked_type(F.col("g.type"))).withColumn("lod", F.when(F.col("g.lod").isNotNull(), parse_lod(F.col("g.lod"))))
-        rows = rows.withColumns(_boundaries(F.col("geometry_type"), F.col("g.boundaries")))
-        return materialised(rows.withColumn("n_rings", size("ring_offsets")))
+        rows = rows.withColumn("geometry_type", _checked_type(F.col("g.type"))).withColumns({"lod": F.when(F.col("g.lod").isNotNull(), parse_lod(F.col("g.lod"))), "b": _boundaries(F.col("geometry_type"), F.col("g.boundaries"))})
+        return materialised(rows.select("*", "b.*", size("g.semantics.surfaces").alias("n_surfaces")).drop("b").withColumn("n_rings", size("ring_offsets")))
 
-    g, t = flat(geometry_rows), flat(template_rows)
-    null = F.lit(None).cast("string").alias("extra")
-    plain = g.where("geometry_type <> 'GeometryInstance'")
-    out["geometries"] = plain.select("doc_key", "geometry_id", "cityobject_ix", "geometry_ordinal", "geometry_type", "lod", null)
-    out["geometry_boundaries"] = plain.select("doc_key", "geometry_id", *OFFSETS)
-    point = F.from_json("g.boundaries", "array<bigint>")[0]
-    out["geometry_instances"] = g.where("geometry_type = 'GeometryInstance'").select(
-        "doc_key", "geometry_id", "cityobject_ix", "geometry_ordinal", "lod", F.col("g.template").alias("template_geometry_id"), point.alias("reference_point_vertex_id"), F.col("g.transformationMatrix").alias("transform_matrix"), null
-    )
-    out["template_geometries"] = t.select("doc_key", "template_geometry_id", "geometry_type", "lod", null)
-    out["template_geometry_boundaries"] = t.select("doc_key", "template_geometry_id", *OFFSETS)
-    out |= _assignments(g, "geometry_id", F.col("n_materials"), "") | _assignments(t, "template_geometry_id", F.col("n_materials"), "template_")
+    # numbers run on through the objects of a document, templates last
+    @cache
+    def g() -> DataFrame:
+        of = lambda text: F.from_json(text, f"struct<geometry:array<struct<{_GEOMETRY}>>>")["geometry"]
+        whole = docs.select("doc_key", objects, member("appearance", looks).alias("a")).select("doc_key", "objects", *[c.alias(n) for n, c in pools.items()])
+        small = whole.select("doc_key", *pools, F.when(F.size("objects") <= FEW, F.transform("objects", lambda e: of(e["value"]))).alias("of"))
+        small = small.withColumns({"geometries": F.transform("of", size), "semantics": F.transform("of", n_surfaces)})
+        small = _each(small, ["doc_key", *pools, "geometries", "semantics"], "of", "cityobject_ix", "all")
+        ahead = lambda c: F.aggregate(F.slice(c, F.lit(1), F.col("cityobject_ix")), F.lit(0).cast("bigint"), lambda a, n: a + n)
+        rows = small.select("doc_key", *pools, "cityobject_ix", "all", ahead("geometries").alias("geometry_start"), ahead("semantics").alias("semantic_base"))
+        large = _each(whole, ["doc_key", *pools], F.when(F.size("objects") > FEW, F.col("objects")), "cityobject_ix", "e")
+        large = materialised(large.select("doc_key", *pools, "cityobject_ix", of(F.col("e.value")).alias("all")))
+        if not large.isEmpty():
+            before = Window.partitionBy("doc_key").orderBy("cityobject_ix").rowsBetween(Window.unboundedPreceding, -1)
+            counts = large.select("doc_key", "cityobject_ix", size("all").alias("geometries"), n_surfaces(F.col("all")).alias("semantics"))
+            starts = counts.select("doc_key", "cityobject_ix", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in (("geometry_start", "geometries"), ("semantic_base", "semantics"))])
+            rows = rows.unionByName(large.join(starts, ["doc_key", "cityobject_ix"]))
+        rows = _each(rows, ["*"], "all", "geometry_ordinal", "g")
+        rows = rows.withColumns({"geometry_id": F.col("geometry_start") + F.col("geometry_ordinal"), "semantic_start": F.col("semantic_base") + n_surfaces(F.slice("all", F.lit(1), F.col("geometry_ordinal")))})
+        return flat(rows.drop("all"))
+
+    @cache
+    def t() -> DataFrame:
+        rows = docs.select("doc_key", "value", member("geometry-templates", f"struct<templates:array<struct<{_GEOMETRY}>>>")["templates"].alias("all"))
+        rows = _each(rows, ["doc_key", "value"], F.when(F.size("all") > 0, F.array("all")), "pos", "all")
+        rows = materialised(rows.select("doc_key", "all", member("appearance", looks).alias("a")).select("doc_key", "all", *[c.alias(n) for n, c in pools.items()]))
+        totals = g().where("n_surfaces > 0").join(rows.select("doc_key"), "doc_key", "left_semi").groupBy("doc_key").agg(F.max(F.col("semantic_start") + F.col("n_surfaces")).alias("semantic_base"))
+        rows = rows.join(totals, "doc_key", "left").select("doc_key", *pools, F.coalesce("semantic_base", F.lit(0)).alias("semantic_base"), "all")
+        rows = _each(rows, ["*"], "all", "template_geometry_id", "g")
+        return flat(rows.withColumn("semantic_start", F.col("semantic_base") + n_surfaces(F.slice("all", F.lit(1), F.col("template_geometry_id")))).drop("all"))
 
-    surfaces = g.select("doc_key", "semantic_start", F.col("g.semantics.surfaces").alias("s")).unionByName(t.select("doc_key", "semantic_start", F.col("g.semantics.surfaces").alias("s")))
-    one = surfaces.select("doc_key", "semantic_start", F.size("s").alias("n"), F.posexplode("s").alias("pos", "x"))
-    one = one.withColumns({"semantic_id": F.col("semantic_start") + F.col("pos"), "parent": _below(F.try_variant_get(F.col("x")["parent"], "$", "bigint"), F.col("n"))})
-    out["semantics"] = one.select("doc_key", "semantic_id", parse_semantic_type(F.col("x")["type"].cast("string")).alias("semantic_type"), (F.col("semantic_start") + F.col("parent")).alias("parent_semantic_id"), _extra(F.col("x"), SEMANTIC).alias("attributes"))
-    links = one.select("doc_key", F.col("semantic_id").alias("parent_semantic_id"), "semantic_start", "n", F.posexplode(F.try_variant_get(F.col("x")["children"], "$", "array<bigint>")).alias("child_ordinal", "c"))
-    out["semantic_children"] = links.where("c >= 0 and c < n").select("doc_key", "parent_semantic_id", "child_ordinal", (F.col("semantic_start") + F.col("c")).alias("child_semantic_id"))
-    return _explicit(out)
+    null = F.lit(None).cast("string").alias("extra")
+    plain = lambda: g().where("geometry_type <> 'GeometryInstance'")
+
+    def geometry_instances() -> DataFrame:
+        point = F.from_json("g.boundaries", "array<bigint>")[0]
+        return g().where("geometry_type = 'GeometryInstance'").select(
+            "doc_key", "geometry_id", "cityobject_ix", "geometry_ordinal", "lod", F.col("g.template").alias("template_geometry_id"), point.alias("reference_point_vertex_id"), F.col("g.transformationMatrix").alias("transform_matrix"), null
+        )
+
+    @cache
+    def assigned(prefix: str) -> dict[str, Callable[[], DataFrame]]:
+        return _assignments(t() if prefix else g(), f"{prefix}geometry_id", F.col("n_materials"), prefix)
+
+    def one_semantic() -> DataFrame:
+        surfaces = g().select("doc_key", "semantic_start", F.col("g.semantics.surfaces").alias("s")).unionByName(t().select("doc_key", "semantic_start", F.col("g.semantics.surfaces").alias("s")))
+        one = surfaces.select("doc_key", "semantic_start", F.size("s").alias("n"), F.posexplode("s").alias("pos", "x"))
+        return one.withColumns({"semantic_id": F.col("semantic_start") + F.col("pos"), "parent": _below(F.try_variant_get(F.col("x")["parent"], "$", "bigint"), F.col("n"))})
+
+    def semantics() -> DataFrame:
+        return one_semantic().select("doc_key", "semantic_id", parse_semantic_type(F.col("x")["type"].cast("string")).alias("semantic_type"), (F.col("semantic_start") + F.col("parent")).alias("parent_semantic_id"), _extra(F.col("x"), SEMANTIC).alias("attributes"))
+
+    def semantic_children() -> DataFrame:
+        links = one_semantic().select("doc_key", F.col("semantic_id").alias("parent_semantic_id"), "semantic_start", "n", F.posexplode(F.try_variant_get(F.col("x")["children"], "$", "array<bigint>")).alias("child_ordinal", "c"))
+        return links.where("c >= 0 and c < n").select("doc_key", "parent_semantic_id", "child_ordinal", (F.col("semantic_start") + F.col("c")).alias("child_semantic_id"))
+
+    makers = {f.__name__: f for f in (metadata, extensions, vertices, template_vertices, texture_vertices, semantics, semantic_children, materials, textures, geometry_instances, cityobjects, cityobject_children)}
+    makers |= {
+        "geometries": lambda: plain().select("doc_key", "geometry_id", "cityobject_ix", "geometry_ordinal", "geometry_type", "lod", null), "geometry_boundaries": lambda: plain().select("doc_key", "geometry_id", *OFFSETS),
+        "template_geometries": lambda: t().select("doc_key", "template_geometry_id", "geometry_type", "lod", null), "template_geometry_boundaries": lambda: t().select("doc_key", "template_geometry_id", *OFFSETS),
+    }
+    prefix_of = lambda name: "template_" if name.startswith("template_") else ""
+    made = lambda name: makers[name]() if name in makers else assigned(prefix_of(name))[name]()
+    return Tables({name: lambda name=name: _explicit(name, made(name)) for name in TABLES})
 
 
 def one_model(tables: dict[str, DataFrame], doc_key) -> dict[str, DataFrame]:
@@ -384,7 +469,7 @@ def write_models(tables: dict[str, DataFrame], scale: tuple[float, float, float]
     uv = _listed(t["texture_vertices"], "uv_id", F.to_json(F.array("u", "v")), "vertices-texture")
     extensions = t["extensions"].groupBy("doc_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("extension_name", F.struct(F.col("uri").alias("url"), "version").alias("e"))))).alias("extensions"))
     rows = t["metadata"]
-    for part in (city_objects, vertices, pool("materials", "material_id", MATERIAL), pool("textures", "texture_id", TEXTURE), uv, templates, template_vertices, extensions, least, *_themes(t)):
+    for part in (city_objects, vertices, pool("materials", "material_id", MATERIAL), pool("textures", "texture_id", TEXTURE), uv, templates, template_vertices, extensions, least, _themes(t, "material"), _themes(t, "texture")):
         rows = rows.join(part, "doc_key", "left")
     themed = lambda name, have: F.when(F.col(name).isNotNull() & ~F.coalesce(F.array_contains(have, F.col(name)), F.lit(False)), F.raise_error(F.concat(F.lit("no assignment has the default theme "), F.col(name)))).otherwise(F.col(name))
     look = F.struct("materials", "textures", F.col("`vertices-texture`"), themed("default_material_theme", "material_themes").alias("default-theme-material"), themed("default_texture_theme", "texture_themes").alias("default-theme-texture"))
@@ -407,18 +492,15 @@ def write_models(tables: dict[str, DataFrame], scale: tuple[float, float, float]
     return rows.select("doc_key", F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"CityObjects":'), F.coalesce("city_objects", F.lit("{}")), F.lit("}")).alias("value"))
 
 
-def _themes(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The themes in use: doc_key with a set for materials, and one for textures."""
-    m = t["geometry_surface_materials"].select("doc_key", "theme").unionByName(t["template_geometry_materials"].select("doc_key", "theme"))
-    x = t["geometry_ring_textures"].select("doc_key", "theme").unionByName(t["template_geometry_ring_textures"].select("doc_key", "theme"))
-    return m.groupBy("doc_key").agg(F.collect_set("theme").alias("material_themes")), x.groupBy("doc_key").agg(F.collect_set("theme").alias("texture_themes"))
+def _themes(t: Mapping[str, DataFrame], kind: str) -> DataFrame:
+    """The themes in use: doc_key with a set; kind: material or texture."""
+    plain, of_templates = {"material": ("geometry_surface_materials", "template_geometry_materials"), "texture": ("geometry_ring_textures", "template_geometry_ring_textures")}[kind]
+    return t[plain].select("doc_key", "theme").unionByName(t[of_templates].select("doc_key", "theme")).groupBy("doc_key").agg(F.collect_set("theme").alias(f"{kind}_themes"))
 
 
-def has_theme(t: dict[str, DataFrame], kind: str, theme: str) -> DataFrame:
+def has_theme(t: Mapping[str, DataFrame], kind: str, theme: str) -> DataFrame:
     """doc_key of the models in which a geometry or a template has this theme; kind: material or texture."""
-    m, x = _themes(t)
-    rows, name = (m, "material_themes") if kind == "material" else (x, "texture_themes")
-    return rows.where(F.array_contains(name, theme)).select("doc_key")
+    return _themes(t, kind).where(F.array_contains(f"{kind}_themes", theme)).select("doc_key")
 
 
 def models_to_text(spark: SparkSession, tables: dict[str, DataFrame], path: str, **options) -> None:

@@ -154,3 +154,19 @@ def test_values(spark):
     for f in (values.parse_wrap_mode, values.parse_texture_type, values.parse_image_type, values.parse_contact_role, values.parse_contact_type, values.parse_semantic_type):
         with pytest.raises(Exception, match="unknown"):
             one.select(f(one.t)).collect()
+
+
+def test_tables_are_made_when_asked_for(spark, monkeypatch):
+    """Documents are parsed where they were dealt to, not ahead of it; a table by itself writes only its own steps; large documents are numbered alike."""
+    written, write = [], model.materialised
+    monkeypatch.setattr(model, "materialised", lambda df: written.append(df) or write(df))
+    docs = spark.createDataFrame([(0, json.dumps(DOC)), (1, json.dumps(PLAIN))], "doc_key int, value string").repartition(3, "doc_key")
+    t = model.read_models(docs)
+    assert t["cityobjects"].count() == 4 and not written
+    few = {n: sorted(map(repr, t[n].collect())) for n in ("geometries", "semantics", "geometry_surface_materials")}
+    for df in written:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan.partition("RepartitionByExpression")[2]
+    monkeypatch.setattr(model, "FEW", 1)
+    other = model.read_models(docs)
+    assert {n: sorted(map(repr, other[n].collect())) for n in few} == few
